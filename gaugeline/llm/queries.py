@@ -8,18 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode
+from .graph_index import nearest
+from .language import identify
+from .media import media_columns
 from .minhash import near_duplicates
+from .mixing import mix
+from .pii import find
 from .suffix import remove_repeats
+from .toxicity import score
+from .warc import archive_pages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_graph_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, top=5)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(_documents(spark, sf_dir))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir), weights=(5.0, 2.0, 1.0), share=1.5, most=2).drop("source")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
 
@@ -28,9 +47,36 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), length=100)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_bpe": op2_bpe,
-    "op5_minhash": op5_minhash,
-    "op6_suffix_array": op6_suffix_array,
+    f.__name__: f
+    for f in (
+        op1_graph_index,
+        op2_bpe,
+        op3_pii,
+        op4_mixing,
+        op5_minhash,
+        op6_suffix_array,
+        op7_media,
+        op8_toxicity,
+        op9_warc,
+        op10_language,
+    )
 }
+#: Words and targets are plain SQL; the other operators are tested against brute force, a round trip or held-out rows.
 ORACLE_SQL: dict[str, str] = {}

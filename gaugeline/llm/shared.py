@@ -81,8 +81,9 @@ class Powers:
 _POWERS = Powers()
 
 
-def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Blocks (first row, row after the last, bytes, offsets from 0) of a string column; null counts as empty."""
+def text_blocks(column: pa.Array, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks (first row, row after the last, bytes, offsets from 0) of a string column, each of ``rows`` rows at
+    most; null counts as empty."""
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string())
@@ -95,7 +96,7 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     start = 0
     while start < n:
         stop = int(np.searchsorted(bounds, bounds[start] + BLOCK_BYTES, "right")) - 1
-        stop = min(n, max(stop, start + 1))
+        stop = min(n, start + rows, max(stop, start + 1))
         yield start, stop, data[bounds[start] : bounds[stop]], bounds[start : stop + 1] - bounds[start]
         start = stop
 
