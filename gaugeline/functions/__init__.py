@@ -1 +1 @@
-"""."""
+"""Labels and column functions."""

@@ -1 +1 @@
-"""."""
+"""Jobs over deliveries, journal and readings."""

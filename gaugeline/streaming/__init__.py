@@ -1 +1 @@
-"""."""
+"""Stream drivers."""
