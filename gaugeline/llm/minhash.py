@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ _U = np.uint64
 BAND_PERMUTATIONS = 3
 #: With 40 bands a pair at similarity 0.8 is missed with probability 5e-6, one at 0.85 with 2e-9.
 BANDS = 40
+#: Documents in a block of the exact comparison.
+BLOCK = 512
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, size: int, codes: np.ndarray, breaks: np.ndarray) -> list[np.ndarray]:
@@ -126,6 +129,79 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _block_links(percent: int):
+    """Links of two blocks of documents: shared shingles of all their pairs by matrix products, and of the links found
+    only as many as it takes to join the components they connect."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows[rows["block"] == rows["i"]]
+        two = rows[rows["block"] == rows["j"]]
+        na, nb = (np.array([len(x) for x in side["shingles"]]) for side in (one, two))
+        found = {"a": [], "b": []}
+        if len(one) and len(two):
+            ta, tb = np.concatenate(one["shingles"].to_list()), np.concatenate(two["shingles"].to_list())
+            ra, rb = np.repeat(np.arange(len(one)), na), np.repeat(np.arange(len(two)), nb)
+            common = np.intersect1d(ta, tb)
+            same = np.zeros((len(one), len(two)), np.float32)
+            if len(common):
+                ca, cb = np.searchsorted(common, ta), np.searchsorted(common, tb)
+                ia = common[np.minimum(ca, len(common) - 1)] == ta
+                ib = common[np.minimum(cb, len(common) - 1)] == tb
+                ra, ca, rb, cb = ra[ia], ca[ia], rb[ib], cb[ib]
+                for at in range(0, len(common), 4096):
+                    left, right = np.zeros((len(one), 4096), np.float32), np.zeros((len(two), 4096), np.float32)
+                    pa_, pb_ = (ca >= at) & (ca < at + 4096), (cb >= at) & (cb < at + 4096)
+                    left[ra[pa_], ca[pa_] - at] = 1
+                    right[rb[pb_], cb[pb_] - at] = 1
+                    same += left @ right.T
+            linked = 100 * same >= percent * (na[:, None] + nb[None, :] - same)
+            comp_a, comp_b = one["comp"].to_numpy(), two["comp"].to_numpy()
+            linked &= comp_a[:, None] != comp_b[None, :]
+            key_a, key_b = one["key"].to_numpy(), two["key"].to_numpy()
+            root: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for r, c in zip(*np.nonzero(linked)):
+                x, y = top(comp_a[r]), top(comp_b[c])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found["a"].append(key_a[r])
+                    found["b"].append(key_b[c])
+        return pd.DataFrame({k: np.array(v, np.int64) for k, v in found.items()})
+
+    return run
+
+
+def _links_across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket that lie in different components so far.
+
+    Buckets with such members are gathered into the groups that they connect, a group is cut into blocks of BLOCK
+    documents, and each pair of a group's blocks is compared exactly in one task: memory is bounded, and only links
+    leave the task, never the pairs compared. Small groups share blocks.
+    """
+    known = shared.join(labels, shared.key == labels.node, "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
+    known = stage(known, "known")
+    mixed = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("head")).filter("x < y")
+    left = stage(known.join(mixed.select("bucket", "head"), "bucket").select("key", "comp", "head").distinct(), "mixed")
+    groups = components(left.select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
+    nodes = left.select("key", "comp").distinct().join(groups, F.col("key") == groups.node).select("key", left.comp, groups.comp.alias("grp"))
+    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("comp", "grp")
+    packs = max(1, groups.count() // BLOCK)
+    small = F.col("members") <= BLOCK // 8
+    pack = F.when(small, F.pmod(F.xxhash64("grp"), F.lit(packs))).otherwise(F.col("grp"))
+    blocks = F.when(small, F.lit(1)).otherwise(F.ceil(F.col("members") / BLOCK)).cast("int")
+    dealt = nodes.join(sizes, "grp").select("key", "comp", small.alias("small"), pack.alias("pack"), blocks.alias("blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "comp", "small", "pack", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = dealt.join(sets, "key").select("small", "pack", "i", "j", "block", "key", "comp", "shingles")
+    return full.groupBy("small", "pack", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -167,16 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links = stage(_confirmed(first, sets, percent), "links")
     labels = components(links)
 
-    # Buckets whose members are not all in one component yet: every pair across components, each once.
-    known = shared.join(labels, shared.key == labels.node, "left").select("bucket", "key", "n", F.coalesce("comp", "key").alias("comp"))
-    known = stage(known, "known")
-    mixed = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
-    left = known.join(mixed, "bucket")
-    one = left.select("bucket", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    two = left.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    across = one.join(two, "bucket").filter("a < b AND ca <> cb").filter(_close(percent)).select("a", "b", "na", "nb").distinct()
-    across = stage(across.join(first.select("a", "b"), ["a", "b"], "left_anti"), "across")
-    more = _confirmed(across, sets, percent)
+    more = _links_across(shared, labels, sets, percent)
     labels = components(links.unionByName(more))
 
     comps = classes.join(labels, classes.key == labels.node, "left").select(classes.key, "rep", F.coalesce("comp", classes.key).alias("comp"))
