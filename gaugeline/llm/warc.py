@@ -14,6 +14,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -190,7 +191,7 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
     while here in follows:
         kept.append(here)
         here = follows[here]
-    return pd.DataFrame({"file": [group["file"].iloc[0]] * len(kept), "offset": kept})
+    return pd.DataFrame({"id": np.full(len(kept), group["id"].iloc[0], np.int64), "offset": np.array(kept, np.int64)})
 
 
 def read_archives(spark: SparkSession, files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -227,9 +228,9 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, range_byte
     if not damaged.isEmpty():
         raise ValueError(f"the record chain breaks in {damaged.first()['file']}")
     entered = found.join(reached.withColumnRenamed("at", "offset").withColumn("entered", F.lit(True)), ["file", "offset"], "left")
-    slim = entered.select("file", "start", "offset", "successor", F.coalesce("entered", F.lit(False)).alias("entered"))
-    kept = slim.groupBy("file", "start").applyInPandas(_walk, "file string, offset long")
-    return found.join(kept, ["file", "offset"]).drop("start", "successor", "leaves")
+    slim = entered.select(F.xxhash64("file").alias("id"), "start", "offset", "successor", F.coalesce("entered", F.lit(False)).alias("entered"))
+    kept = slim.groupBy("id", "start").applyInPandas(_walk, "id long, offset long")
+    return found.withColumn("id", F.xxhash64("file")).join(kept, ["id", "offset"]).drop("id", "start", "successor", "leaves")
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
