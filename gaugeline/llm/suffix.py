@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _POWERS, byte_codes, mix64, stage, text_blocks
+from .shared import _POWERS, byte_codes, discard, mix64, stage, text_blocks
 
 
 
@@ -239,7 +239,7 @@ def _removal_batches():
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(doc_id, first, stop): stretches of UTF-8 bytes that some earlier text holds too; stretches may overlap.
+    """(doc_id, spans): stretches (first, stop) of UTF-8 bytes that some earlier text holds too; they may overlap.
 
     Later copies of a whole text are not listed: remove_repeats settles them by digest.
     """
@@ -248,11 +248,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUC
     often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     hits = anchors.join(often, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("hits"))
     hits = stage(hits, "hits")
+    discard(anchors)
     contexts = texts.join(hits, "doc_id").select("doc_id", "text", "hits")
     contexts = stage(
         contexts.mapInArrow(_context_batches(length), "gram long, context long, doc_id long, start int, size int, bytes binary"),
         "contexts",
     )
+    discard(hits)
     slim = contexts.select("gram", "context", "doc_id", "start", "size")
     firsts = stage(slim.groupBy("gram", "context").agg(F.min(F.struct("doc_id", "start")).alias("at")), "firsts")
     copies = slim.join(firsts, ["gram", "context"]).filter(F.struct("doc_id", "start") != F.col("at"))
@@ -270,7 +272,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUC
     earliest = exploded.groupBy("suffix").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     wide = exploded.join(earliest, "suffix").filter(F.struct("doc_id", "first") != F.col("at"))
     wide = wide.select("doc_id", "first", (F.col("first") + length).alias("stop"))
-    return copies.unionByName(inner).unionByName(wide)
+    spans = stage(copies.unionByName(inner).unionByName(wide).groupBy("doc_id").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "spans")
+    discard(contexts, firsts, several)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -285,7 +289,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUC
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = stage(docs.select("doc_id", F.sha2(text, 256).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes")), "digests")
     spans = repeated_spans(docs, length, max_bucket)
-    spans = stage(spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "spans")
     changed = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("sha")).join(spans, "doc_id")
     changed = changed.select("doc_id", "text", "spans", "sha").mapInArrow(
         _removal_batches(), "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string"
