@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import CATALOG, policy
 from ..operators import commissioning, journal, monitoring, projection, rollup, timeline, validate
 from ..sources import events as source
+from ..sources import wire
 
 NOW = "2024-02-01 00:00:00"
 
@@ -409,6 +410,19 @@ def r6(e):
     return counts.join(types, "tipo_de_conteudo").select("tipo_de_conteudo", "classe_de_dado", "registros")
 
 
+@_query("s1_decode_shipments", """SELECT ship AS shipment_id, s AS numero_de_sequencia, up AS tempo_ligado_ms, versao AS versao_do_esquema, dev AS id_do_dispositivo, tipo AS tipo_de_conteudo,
+ CASE WHEN tipo = 'amostra_escalar' THEN CAST(CAST(value AS FLOAT) AS DOUBLE) END AS valor, CASE WHEN tipo = 'leitura_de_contador' THEN s * 10 END AS contagem_acumulada,
+ CASE WHEN tipo = 'transicao_digital' THEN k % 8 >= 4 END AS ativo, CASE WHEN tipo = 'saude_da_origem' THEN -40 - k END AS dbm,
+ CASE WHEN tipo = 'descritor_da_origem' THEN CASE WHEN user_id % 7 = 0 THEN 3 ELSE 4 END END AS canais FROM d""")
+def s1(e):
+    envelopes, _ = wire.split_refused(wire.decode_shipments(wire.encode_shipments(source.deliveries(e))))
+    return envelopes.select(
+        "shipment_id", "numero_de_sequencia", "tempo_ligado_ms", F.col("versao_do_esquema").cast("int").alias("versao_do_esquema"), "id_do_dispositivo", "tipo_de_conteudo",
+        "amostra_escalar.valor", "leitura_de_contador.contagem_acumulada", "transicao_digital.ativo", F.col("saude_da_origem.dbm").cast("int").alias("dbm"),
+        F.when(F.col("descritor_da_origem").isNotNull(), F.size("descritor_da_origem.canais")).alias("canais"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: (lambda spark, sf_dir, f=f: _plain(f(_events(spark, sf_dir)))) for name, f in Q.items()
 }
