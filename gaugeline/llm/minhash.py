@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Words, byte_codes, mix64, stage, text_blocks, lower_table, white_space
+from .shared import Words, byte_codes, carried, mix64, stage, text_blocks, lower_table, white_space
 
 _U = np.uint64
 #: A band holds both values of so many permutations; a pair at 0.8 meets in a band with probability 0.8**6.
@@ -83,8 +83,9 @@ def _signature_batches(size: int, bands: int):
                         pa.array(sizes),
                         pa.array(key.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(hashes.ravel().view(np.int64))),
+                        *(c.slice(lo, hi - lo) for c in batch.columns[2:]),
                     ],
-                    ["doc_id", "n_shingles", "key", "bands"],
+                    ["doc_id", "n_shingles", "key", "bands", *batch.schema.names[2:]],
                 )
 
     return run
@@ -105,11 +106,10 @@ def _set_batches(size: int):
     return run
 
 
-def signatures(docs: DataFrame, shingle: int = 5, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the whole shingle set) and the hash of each band; no bands for empty sets."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _signature_batches(shingle, bands), "doc_id long, n_shingles long, key long, bands array<long>"
-    )
+def signatures(docs: DataFrame, shingle: int = 5, bands: int = BANDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, key (hash of the whole shingle set), the hash of each band (none for empty sets), ``carry``."""
+    columns = ["doc_id long", "n_shingles long", "key long", "bands array<long>", *carried(docs, carry)]
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *carry).mapInArrow(_signature_batches(shingle, bands), ", ".join(columns))
 
 
 def _close(percent: int):
@@ -202,12 +202,14 @@ def _links_across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent
     return full.groupBy("small", "pack", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, group_key, and the columns of ``carry``.
 
     Words are split at ASCII white space and A-Z are lower-cased. A document's set holds its distinct word shingles;
     with fewer words than a shingle the whole sequence is its one member; without words it is empty. Documents are
-    linked when ``100 * shared >= percent * united``; component_id is the smallest doc_id reachable over links.
+    linked when ``100 * shared >= percent * united``; component_id is the smallest doc_id reachable over links. group_key,
+    a hash, tells components apart even where rows of two texts repeat one doc_id; it is null where component_id is,
+    and for empty sets.
 
     Documents with equal sets form a class first, so copies are never expanded into pairs. In each band bucket all
     classes are compared with the bucket's leader; components of these links are found; and only pairs that still lie
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     repeat a doc_id stay separate rows, each with the component of its own text. Extra columns are ignored; an empty
     table gives an empty table.
     """
-    found = stage(signatures(docs, shingle, bands), "signatures")
+    found = stage(signatures(docs, shingle, bands, carry), "signatures")
     classes = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
     classes = stage(classes, "classes")
     heads = found.join(classes, (found.key == classes.key) & (found.doc_id == classes.rep)).select(found.key, "n_shingles", "bands")
@@ -248,12 +250,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     comps = classes.join(labels, classes.key == labels.node, "left").select(classes.key, "rep", F.coalesce("comp", classes.key).alias("comp"))
     lowest = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = comps.join(lowest, "comp").select("key", "component_id")
+    of_class = comps.join(lowest, "comp").select("key", "component_id", F.col("comp").alias("group_key"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
     return (
-        found.select("doc_id", "n_shingles", "key")
+        found.select("doc_id", "n_shingles", "key", *carry)
         .join(of_class, "key", "left")
-        .select("doc_id", "n_shingles", own.alias("component_id"))
+        .withColumn("component_id", own)
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .withColumn("group_key", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("group_key")))
+        .select("doc_id", "n_shingles", "component_id", "kept", "group_key", *carry)
     )

@@ -69,20 +69,20 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list[str], size
     return joined.withColumn(out, F.col("_ahead") + F.col("_within")).drop("_ahead", "_within", *[f"_{k}" for k in [*keys, bucket]])
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, source, and the columns of ``carry``.
 
     taken is the number of words the mix takes from the document, repeats counted, at most ``most`` times its size.
     Each source's taken words come to its target but for rounding. Order within a source is a hash of doc_id, ties by
-    doc_id and size, so reruns agree and repeated rows, alike in all that is returned, may stand in for each other.
+    doc_id, size and ``carry``, so reruns agree and repeated rows, alike in all that is returned, may stand in for each other.
     Null or blank text has size 0 and gives nothing; null source and null doc_id are values like any other. A table
     without words has targets 0; an empty table gives an empty table. Extra columns are ignored.
     """
-    sized = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
+    sized = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *carry), "sizes")
     goals = stage(targets(sized, weights, share, float(most)), "targets")
     order = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed))
     rows = sized.withColumn("_hash", order).withColumn("_stretch", F.pmod(F.shiftright("_hash", 40), F.lit(STRETCHES)))
-    served = _running(rows, ["source"], "_stretch", ["_hash", "doc_id", "size"], "size", "_before")
+    served = _running(rows, ["source"], "_stretch", ["_hash", "doc_id", "size", *carry], "size", "_before")
     own = goals.select(F.col("source").alias("_source"), "source_size", "target")
     # One row per source: small enough to broadcast in most tables, and Spark checks its size before it does.
     served = stage(served.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "served")
@@ -109,5 +109,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     taken = taken.select(F.col("source").alias("_s"), F.col("_stretch").alias("_t"), "_place", "taken")
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_stretch") == F.col("_t")) & (F.col("_rank") == F.col("_place"))
     return served.join(taken, on, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", *carry
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import carried, stage
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds beyond the base ones: loosely written e-mail addresses, telephone numbers without a plus, account numbers, keys.
@@ -188,7 +188,7 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     vote, bits = votes(text, kind, a, b)
                     row.append({"kind": KINDS.index(kind), "first": a, "stop": b, "vote": vote, "bits": bits})
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, schema)], ["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, schema), *batch.columns[2:]], ["doc_id", "spans", *batch.schema.names[2:]])
 
 
 def reliabilities(counts: Counter, rounds: int = 50) -> tuple[np.ndarray, dict]:
@@ -259,31 +259,31 @@ def _decision_batches(shared):
                 spans.append(",".join(t for _, t in named))
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(BASE))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, pa.array(base_hash, pa.string()), pa.array(spans, pa.string())],
-                ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"],
+                [batch.column(0), *columns, pa.array(base_hash, pa.string()), pa.array(spans, pa.string()), *batch.columns[2:]],
+                ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *batch.schema.names[2:]],
             )
 
     return run
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+def find(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and the columns of ``carry``.
 
     Whole texts are searched; positions are code points, ends exclusive; null counts as empty and has no spans.
     spans lists base spans and those of the other kinds that the classifier accepts, by kind and start. Vote counts
     cover all documents: there are at most 8 * 243 * 64 patterns, and only these counts reach the driver. Repeated
     rows give repeated rows, a null doc_id stays, extra columns are ignored, an empty table gives an empty table.
     """
-    proposed = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _span_batches, "doc_id long, spans array<struct<kind:int,first:int,stop:int,vote:int,bits:int>>"
+    more = carried(docs, carry)
+    proposed = docs.select("doc_id", F.col("text").cast("string").alias("text"), *carry).mapInArrow(
+        _span_batches, ", ".join(["doc_id long", "spans array<struct<kind:int,first:int,stop:int,vote:int,bits:int>>", *more])
     )
     proposed = stage(proposed, "spans")
     patterns = proposed.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.vote", "s.bits").count()
     counts = {(r["kind"], r["vote"], r["bits"]): r["count"] for r in patterns.collect()}
     model = docs.sparkSession.sparkContext.broadcast(span_classifier(counts))
-    return proposed.mapInArrow(
-        _decision_batches(model), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    )
+    columns = ["doc_id long", *(f"n_{k} long" for k in BASE), "base_sha256 string", "spans string", *more]
+    return proposed.mapInArrow(_decision_batches(model), ", ".join(columns))
 
 
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,10 +302,11 @@ def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
 
 
-def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with every span of ``found`` (doc_id, spans) replaced by its kind in angle brackets. doc_id is
-    unique; documents not in ``found`` stay as they are."""
+def redact(docs: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The documents with every span of ``found`` (the keys, spans) replaced by its kind in angle brackets. The keys,
+    nulls included, are unique in ``found``; documents without a row there stay as they are."""
     names = [c for c in docs.columns if c != "text"]
-    joined = docs.join(found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), F.col("doc_id") == F.col("_id"), "left")
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    spans = found.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("spans").alias("_spans"))
+    joined = docs.join(spans, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left")
+    kept = ", ".join(carried(docs, tuple(names)))
     return joined.select("text", "_spans", *names).mapInArrow(_redact_batches, f"text string, {kept}").select(*docs.columns)

@@ -59,6 +59,11 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(docs: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """Schema entries of columns that an operator passes through beside doc_id and text."""
+    return [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     h = h ^ (h >> _U(30))

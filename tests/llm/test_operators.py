@@ -259,3 +259,39 @@ def test_pipeline(spark):
     assert masked.count() == d.count() and pii.find(masked).agg(F.sum("n_email")).first()[0] == 0
     out = corpus_pipeline.run(spark, DIR)
     assert out.count() > 0 and "ids" in out.columns
+
+
+def test_pipeline_stages_on_odd_and_repeated_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline as pipeline
+
+    mine = "personal account " + PROSE[::-1]
+    other = [(5, mine + " mail b.c@d.org", "en", "b", 9, "z", 3), (5, mine + " mail b.c@d.org", "en", "b", 9, "z", 3), (None, PROSE, "en", "b", 9, "z", 3), (None, PROSE, "en", "b", 9, "z", 3)]
+    rows = odd.unionByName(spark.createDataFrame(other, SCHEMA))
+    spark.createDataFrame([(4, 0, 0), (6, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def texts(df):
+        assert df.columns == pipeline.COLUMNS
+        return sorted(texts_of(df), key=str)
+
+    assert texts(pipeline.drop_toxic(spark, rows, str(tmp_path))) == texts(rows.select(*pipeline.COLUMNS))
+    once = pipeline.drop_near_duplicates(spark, rows, "")
+    # 4, 5, 5 and 6 are one group; the other text of 5 is its own, and comes down to one row; rows without id stay.
+    want = sorted([(i, t) for i, t, *_ in ODD if i not in (5, 6, 11)] + [(5, other[0][1]), (None, PROSE), (None, PROSE)], key=str)
+    assert texts(once) == want
+    masked = dict(texts(pipeline.mask_personal_data(spark, once, "")))
+    assert masked[5] == mine + " mail <email>" and "<ip>" in masked[8] and masked[4] == PROSE
+    twice = pipeline.mask_personal_data(spark, rows, "")
+    assert twice.count() == rows.count() and twice.filter("text LIKE '%<email>%'").count() == 3
+    mixed = pipeline.mix_sources(spark, once, "")
+    sizes = {i: len((t or "").split()) for i, t in want}
+    taken = mixed.groupBy("doc_id").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    assert all(0 < r["n"] <= 2 * sizes[r["doc_id"]] * (2 if r["doc_id"] is None else 1) for r in taken)
+    for name, function in pipeline.STAGES:
+        assert function(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_keeps_one_of_two_linked_texts_under_one_id(spark):
+    import corpus_pipeline as pipeline
+
+    rows = spark.createDataFrame([(1, PROSE, "en", "a", 1, "", 0), (1, PROSE + " tail", "en", "a", 1, "", 0), (2, PROSE, "en", "a", 1, "", 0), (3, "an unrelated text", "en", "a", 1, "", 0)], SCHEMA)
+    assert sorted(r["doc_id"] for r in pipeline.drop_near_duplicates(spark, rows, "").collect()) == [1, 3]
