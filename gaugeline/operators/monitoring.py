@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import series_label
@@ -31,6 +31,16 @@ def silent_minutes(readings: DataFrame) -> DataFrame:
     return spine.join(counts, ["id_do_dispositivo", "minuto"], "left").withColumn("registros", F.coalesce("registros", F.lit(0)))
 
 
+def silent_stretches(readings: DataFrame) -> DataFrame:
+    """Runs of minutes without rows between two minutes with rows of a device: found from the counted minutes alone, so
+    no row is made for a silent one."""
+    minutes = readings.select("id_do_dispositivo", F.date_trunc("minute", "instante_observado").alias("minuto")).distinct()
+    before = F.lag("minuto").over(Window.partitionBy("id_do_dispositivo").orderBy("minuto"))
+    steps = minutes.withColumn("antes", before).withColumn("minutos", ((F.unix_micros("minuto") - F.unix_micros("antes")) / 60_000_000).cast("long") - 1)
+    one = F.expr("INTERVAL 1 MINUTE")
+    return steps.filter("minutos > 0").select("id_do_dispositivo", (F.col("antes") + one).alias("primeiro"), (F.col("minuto") - one).alias("ultimo"), "minutos")
+
+
 def discarded(readings: DataFrame) -> DataFrame:
     rows = readings.filter("nome_do_campo = 'discarded_record_count'")
     return rows.groupBy("id_do_dispositivo").agg(F.max("valor_numerico").alias("descartados")).orderBy(F.desc("descartados"), "id_do_dispositivo")

@@ -356,11 +356,22 @@ def d4(e):
     return rollup.increments(rows).select("chave_de_idempotencia", "incremento")
 
 
-@_query("d6_silent_minutes", """, c AS (SELECT date_trunc('minute', obs) AS minuto, dev, count(*) AS n FROM leitura WHERE obs < TIMESTAMP '2024-01-03' GROUP BY 1, 2),
+@_query("d6_silent_minutes", """, c AS (SELECT date_trunc('minute', obs) AS minuto, dev, count(*) AS n FROM leitura GROUP BY 1, 2),
 sp AS (SELECT dev, unnest(generate_series(min(minuto), max(minuto), INTERVAL 1 MINUTE)) AS minuto FROM c GROUP BY 1)
-SELECT sp.dev AS id_do_dispositivo, sp.minuto, coalesce(n, 0) AS registros FROM sp LEFT JOIN c USING (dev, minuto)""")
+SELECT sp.dev AS id_do_dispositivo, date_trunc('hour', sp.minuto)::TIMESTAMP AS hora, count(*) AS minutos, count(*) FILTER (n IS NULL) AS silenciosos, CAST(coalesce(sum(n), 0) AS BIGINT) AS registros
+FROM sp LEFT JOIN c USING (dev, minuto) GROUP BY 1, 2""")
 def d6(e):
-    return monitoring.silent_minutes(_readings(e).filter("instante_observado < TIMESTAMP '2024-01-03 00:00:00'"))
+    hour = F.date_trunc("hour", "minuto").alias("hora")
+    return monitoring.silent_minutes(_readings(e)).groupBy("id_do_dispositivo", hour).agg(
+        F.count(F.lit(1)).alias("minutos"), F.count_if(F.col("registros") == 0).alias("silenciosos"), F.sum("registros").alias("registros")
+    )
+
+
+@_query("d6_silent_stretches", """, c AS (SELECT DISTINCT dev, date_trunc('minute', obs) AS minuto FROM leitura),
+l AS (SELECT *, lag(minuto) OVER (PARTITION BY dev ORDER BY minuto) AS antes FROM c)
+SELECT dev AS id_do_dispositivo, antes + INTERVAL 1 MINUTE AS primeiro, minuto - INTERVAL 1 MINUTE AS ultimo, date_diff('minute', antes, minuto) - 1 AS minutos FROM l WHERE date_diff('minute', antes, minuto) > 1""")
+def d6b(e):
+    return monitoring.silent_stretches(_readings(e))
 
 
 @_query("d7_time_in_state", """, t AS (SELECT dev, txt AS estado, epoch_us(lead(obs) OVER (PARTITION BY dev ORDER BY obs, ses, s)) // 1000 - epoch_us(obs) // 1000 AS dur FROM leitura WHERE campo = 'machine_state')
