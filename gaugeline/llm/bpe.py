@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 WORD_END = "</w>"
 #: Entries a task keeps of words already encoded and of arcs already looked up; a full table is emptied.
-KEPT_WORDS = 500_000
-KEPT_ARCS = 1_000_000
+KEPT_WORDS = 100_000
+KEPT_ARCS = 250_000
 #: Fixed value: the white space of Unicode, as a character class.
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 _LIMIT = 1 << 30
