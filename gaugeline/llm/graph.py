@@ -15,11 +15,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours and then the label of that label (pointer jumping), so
     long chains shrink by half. Labels stay distributed; a round's table is staged, and only the number of changed
-    labels reaches the driver. An empty edge list gives an empty table; loops and repeated edges do no harm.
+    labels reaches the driver. An empty edge list gives an empty table; loops and repeated edges do no harm. The edges
+    are read once: both directions of an edge come from one row, so each node has a label whatever order rows have.
     """
-    both = stage(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
-    )
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = stage(edges.select(ways.alias("way")).select("way.a", "way.b").distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     for _ in range(MAX_ROUNDS):
         near = (

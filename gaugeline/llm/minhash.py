@@ -131,9 +131,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _block_links(percent: int):
     """Links of two blocks of documents: shared shingles of all their pairs by matrix products, and of the links found
-    only as many as it takes to join the components they connect."""
+    only as many as it takes to join the components they connect. Rows go by key, so a rerun finds the same links."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key", kind="stable")
         one = rows[rows["block"] == rows["i"]]
         two = rows[rows["block"] == rows["j"]]
         na, nb = (np.array([len(x) for x in side["shingles"]]) for side in (one, two))
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links = stage(_confirmed(first, sets, percent), "links")
     labels = components(links)
 
-    more = _links_across(shared, labels, sets, percent)
+    more = stage(_links_across(shared, labels, sets, percent), "more")
     labels = components(links.unionByName(more))
 
     comps = classes.join(labels, classes.key == labels.node, "left").select(classes.key, "rep", F.coalesce("comp", classes.key).alias("comp"))

@@ -9,12 +9,13 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gaugeline.llm import bpe, graph_index, language, media, minhash, mixing, pii, suffix, toxicity, warc
+from gaugeline.llm import bpe, graph, graph_index, language, media, minhash, mixing, pii, suffix, toxicity, warc
 from gaugeline.llm.shared import shared_dir
 
 DIR = "/root/testdata/sf0.001"
@@ -89,6 +90,31 @@ def test_minhash_blocks_join_components(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, shingle=4).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_components_read_edges_once(spark, tmp_path):
+    def turned(batches):
+        # Each evaluation of the edge list gives its edges the other way round.
+        for batch in batches:
+            with open(f"{tmp_path}/{len(batch)}", "a+") as f:
+                again = f.tell() % 2
+                f.write("x")
+            yield batch.rename(columns={"a": "b", "b": "a"})[["a", "b"]] if again else batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (9, 8)], "a long, b long").coalesce(1).mapInPandas(turned, "a long, b long")
+    assert {r["node"]: r["comp"] for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+
+
+def test_minhash_block_links_in_any_row_order():
+    rng = np.random.default_rng(3)
+    base = np.arange(40)
+    sets = [np.sort(np.concatenate([base[rng.permutation(40)[:37]], [100 + i]])) for i in range(30)]
+    rows = pd.DataFrame({"small": True, "pack": 0, "i": 0, "j": 0, "block": 0, "key": rng.permutation(30), "comp": 0, "shingles": sets})
+    rows["comp"] = rows["key"]
+    want = minhash._block_links(80)(rows)
+    assert len(want) > 3
+    for seed in range(5):
+        assert minhash._block_links(80)(rows.sample(frac=1, random_state=seed)).equals(want)
+
+
 def brute_removal(rows, length=100):
     seen, out = set(), {}
     for i, t in sorted(set(rows)):
