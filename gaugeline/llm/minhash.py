@@ -47,6 +47,16 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, size: int, codes: np.ndarra
     return out
 
 
+def _set_keys(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each document's whole shingle set; 0 for empty sets."""
+    full = np.flatnonzero(sizes)
+    key = np.zeros(len(sizes), _U)
+    if len(full):
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64)
+        key[full] = mix64(np.add.reduceat(mix64(values ^ _U(0xA5A5A5A5)), starts) + sizes[full].astype(_U))
+    return key
+
+
 def _signature_batches(size: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, breaks = byte_codes(11)[lower_table()], white_space()
@@ -63,10 +73,9 @@ def _signature_batches(size: int, bands: int):
                 full = np.flatnonzero(sizes)
                 values = np.concatenate(sets)
                 starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64) if len(full) else full
-                key = np.zeros(len(sets), _U)
+                key = _set_keys(values, sizes)
                 hashes = np.zeros((len(full), bands), _U)
                 if len(full):
-                    key[full] = mix64(np.add.reduceat(mix64(values ^ _U(0xA5A5A5A5)), starts) + sizes[full].astype(_U))
                     buffer = np.empty_like(values)
                     for p in range(perms):
                         np.bitwise_xor(values, flips[p], out=buffer)
@@ -92,14 +101,22 @@ def _signature_batches(size: int, bands: int):
 
 
 def _set_batches(size: int):
+    """Shingle sets of (key, text) rows; a text whose own key is another one, under a doc_id that repeats, goes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, breaks = byte_codes(11)[lower_table()], white_space()
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
                 sets = _shingles(data, offsets, size, codes, breaks)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                asked = batch.column(0).slice(lo, hi - lo)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                own = (sizes > 0) & (_set_keys(np.concatenate(sets), sizes).view(np.int64) == asked.to_numpy())
+                if not own.any():
+                    continue
+                asked, sets = asked.filter(pa.array(own)), [s for s, o in zip(sets, own) if o]
+                ends = np.concatenate([[0], np.cumsum(sizes[own])])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
+                    [asked, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
                     ["key", "shingles"],
                 )
 

@@ -115,6 +115,15 @@ def test_minhash_block_links_in_any_row_order():
         assert minhash._block_links(80)(rows.sample(frac=1, random_state=seed)).equals(want)
 
 
+def test_minhash_two_texts_under_one_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    # Texts a and b share enough to meet in a bucket (similarity about 0.7), not enough for a link.
+    a, b = " ".join(words), " ".join(words[:165] + [f"v{i}" for i in range(35)])
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + " end")], "doc_id long, text string")
+    groups = [r["group_key"] for r in minhash.near_duplicates(df, shingle=4).orderBy("doc_id").collect()]
+    assert groups[0] != groups[1] and groups[2] in groups[:2]
+
+
 def brute_removal(rows, length=100):
     seen, out = set(), {}
     for i, t in sorted(set(rows)):
