@@ -99,7 +99,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     stop = F.element_at("_bounds", F.col("_part") + 1)
     words = stop - F.element_at("_bounds", F.col("_part"))
     packets = packets.select("source", "_stretch", "_rank", "_part", "_round", words.alias("_words"), (stop / F.col("target")).alias("_finish"))
-    packets = packets.withColumn("_range", F.least(F.floor(F.col("_finish") * RANGES / most), F.lit(RANGES)))
+    # A goal is its target rounded, so goals of a word or more are served by time 2 and fill the budget: later packets
+    # get nothing and need no place in the line.
+    packets = packets.filter("_finish <= 2").withColumn("_range", F.floor(F.col("_finish") * RANGES / 2))
     packets = packets.withColumn("_one", F.lit(1))
     line = _running(packets.withColumnRenamed("_rank", "_place"), ["_one"], "_range", ["_finish", "source", "_stretch", "_place", "_round", "_part"], "_words", "_start")
     budget = goals.agg(F.sum(goal).alias("_budget"))

@@ -207,6 +207,17 @@ def test_mixing(spark, odd, docs):
         assert all(abs(taken[s] - goal[s]) <= len(order) + 1 for s in order)
 
 
+def test_mixing_spreads_a_source_far_above_its_target(spark, monkeypatch):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"))
+    d = d.withColumn("source", F.when(F.col("doc_id") < 1000, "a").when(F.col("doc_id") < 2000, "b").otherwise("c"))
+    seen, running = [], mixing._running
+    monkeypatch.setattr(mixing, "_running", lambda df, keys, bucket, *rest: seen.append((df, bucket)) or running(df, keys, bucket, *rest))
+    got = mixing.mix(d, weights=(8.0, 7.0, 1.0)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(r["taken"] == round(r["target"]) for r in got) and len(got) == 3
+    ranges = [r["count"] for df, bucket in seen if bucket == "_range" for r in df.groupBy(bucket).count().collect()]
+    assert max(ranges) < 100
+
+
 def test_media_round_trip(odd):
     rows = media.media_columns(odd).collect()
     texts = dict(texts_of(odd))
