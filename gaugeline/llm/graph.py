@@ -5,32 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import discard, stage
 
 MAX_ROUNDS = 60
 
 
+def _distinct_edges(edges: DataFrame) -> DataFrame:
+    """Each edge once, the smaller end first, without loops."""
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges to (node, comp): comp is the smallest node reachable.
 
-    Each round takes the smallest label among the neighbours and then the label of that label (pointer jumping), so
-    long chains shrink by half. Labels stay distributed; a round's table is staged, and only the number of changed
-    labels reaches the driver. An empty edge list gives an empty table; loops and repeated edges do no harm. The edges
-    are read once: both directions of an edge come from one row, so each node has a label whatever order rows have.
+    The graph is contracted round by round. In a round every node hops to the neighbour, or stays on itself, whichever
+    a hash drawn for the round ranks first; then each edge is replaced by where its ends have hopped to, and loops and
+    repeats go, so nodes and edges shrink by a constant factor whatever order ids have along a chain. Afterwards the
+    hops are followed from the last round back to the first, and the smallest node of each root is its label. Tables
+    stay distributed and a round's are staged; only whether edges are left reaches the driver. Nodes that have only
+    loops are their own label. Both hops of an edge come from one staged row, so a rerun cannot tear an edge apart.
     """
-    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    both = stage(edges.select(ways.alias("way")).select("way.a", "way.b").distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    for _ in range(MAX_ROUNDS):
-        near = (
-            both.join(labels, both.b == labels.node)
-            .groupBy("a")
-            .agg(F.min("comp").alias("seen"))
-        )
-        step = labels.join(near, labels.node == near.a).select("node", F.least("comp", "seen").alias("low"), F.col("comp").alias("was"))
-        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("next"))
-        labels = stage(step.join(jump, "low").select("node", F.least("low", "next").alias("comp"), "was"), "labels")
-        if labels.filter("comp <> was").isEmpty():
-            return labels.select("node", "comp")
-        labels = labels.select("node", "comp")
-    raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
+    given = stage(edges.select("a", "b").distinct(), "edges")
+    left, hops = stage(_distinct_edges(given), "left"), []
+    for turn in range(MAX_ROUNDS):
+        if left.isEmpty():
+            break
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c).alias("to"))  # noqa: B023, E731
+        ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        near = left.select(ways.alias("way")).select("way.a", "way.b").groupBy("a").agg(F.min(rank("b")).alias("near"))
+        hop = stage(near.select(F.col("a").alias("node"), F.least(rank("a"), "near")["to"].alias("to")), "hops")
+        hops.append(hop)
+        one, two = hop.toDF("a", "to_a"), hop.toDF("b", "to_b")
+        fewer = stage(_distinct_edges(left.join(one, "a").join(two, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), "left")
+        discard(left)
+        left = fewer
+    else:
+        raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
+    roots = None
+    for hop in reversed(hops):
+        # Where a node of this round ends: at the root of the node it hopped to.
+        ends = hop if roots is None else hop.join(roots.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
+        later = stage(ends, "roots")
+        if roots is not None:
+            discard(roots)
+        roots = later
+    nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if roots is None:
+        labels = stage(nodes.withColumn("comp", F.col("node")), "labels")
+    else:
+        # Staged, so that the join on a large component's root is one that Spark can split.
+        lowest = stage(roots.groupBy("to").agg(F.min("node").alias("low")), "lowest")
+        named = roots.join(lowest, "to").select("node", "low")
+        labels = stage(nodes.join(named, "node", "left").select("node", F.coalesce("low", "node").alias("comp")), "labels")
+        discard(lowest, roots)
+    discard(given, left, *hops)
+    return labels

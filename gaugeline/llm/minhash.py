@@ -3,28 +3,37 @@
 Each permutation of a document's shingle hashes gives two signature values, its minimum and its maximum, so half as
 many permutations are evaluated as signature values are kept. Bands of these values propose candidates; a link
 counts only when the full shingle sets confirm it.
+
+Links are found in rounds over groups of bands. A round compares a bucket's members with its leader, and only where
+both lie in different components so far, so a band adds no link that an earlier one has made needless. Buckets whose
+members still lie in several components are compared exactly afterwards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Words, byte_codes, carried, mix64, stage, text_blocks, lower_table, white_space
+from .shared import Words, byte_codes, carried, discard, lower_table, mix64, stage, text_blocks, white_space
 
 _U = np.uint64
 #: A band holds both values of so many permutations; a pair at 0.8 meets in a band with probability 0.8**6.
 BAND_PERMUTATIONS = 3
 #: With 40 bands a pair at similarity 0.8 is missed with probability 5e-6, one at 0.85 with 2e-9.
 BANDS = 40
-#: Documents in a block of the exact comparison.
+#: Bands of each round of links to leaders: the first settle most copies, the others see what is left.
+ROUNDS = (4, 12, 24)
+#: Documents in a block of the exact comparison; buckets with more are divided by rare shingles first.
 BLOCK = 512
+#: Rows and shingles, about, that a task of the exact comparison holds at once.
+PACK_ROWS, PACK_SHINGLES = 1024, 2_000_000
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, size: int, codes: np.ndarray, breaks: np.ndarray) -> list[np.ndarray]:
@@ -146,78 +155,151 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _similar(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of two lists of shingle sets are linked: shared shingles of all pairs by matrix products."""
+    na, nb = (np.array([len(x) for x in side]) for side in (one, two))
+    ta, tb = np.concatenate(one), np.concatenate(two)
+    ra, rb = np.repeat(np.arange(len(one)), na), np.repeat(np.arange(len(two)), nb)
+    common = np.intersect1d(ta, tb)
+    same = np.zeros((len(one), len(two)), np.float32)
+    if len(common):
+        ca, cb = np.searchsorted(common, ta), np.searchsorted(common, tb)
+        ia = common[np.minimum(ca, len(common) - 1)] == ta
+        ib = common[np.minimum(cb, len(common) - 1)] == tb
+        ra, ca, rb, cb = ra[ia], ca[ia], rb[ib], cb[ib]
+        for at in range(0, len(common), 4096):
+            width = min(4096, len(common) - at)
+            left, right = np.zeros((len(one), width), np.float32), np.zeros((len(two), width), np.float32)
+            pa_, pb_ = (ca >= at) & (ca < at + width), (cb >= at) & (cb < at + width)
+            left[ra[pa_], ca[pa_] - at] = 1
+            right[rb[pb_], cb[pb_] - at] = 1
+            same += left @ right.T
+    return 100 * same >= percent * (na[:, None] + nb[None, :] - same)
+
+
 def _block_links(percent: int):
-    """Links of two blocks of documents: shared shingles of all their pairs by matrix products, and of the links found
-    only as many as it takes to join the components they connect. Rows go by key, so a rerun finds the same links."""
+    """Links between the blocks i and j of each bucket in a pack; of those found only as many as it takes to join the
+    components they connect. Rows go by key, so a rerun finds the same links."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key", kind="stable")
-        one = rows[rows["block"] == rows["i"]]
-        two = rows[rows["block"] == rows["j"]]
-        na, nb = (np.array([len(x) for x in side["shingles"]]) for side in (one, two))
-        found = {"a": [], "b": []}
-        if len(one) and len(two):
-            ta, tb = np.concatenate(one["shingles"].to_list()), np.concatenate(two["shingles"].to_list())
-            ra, rb = np.repeat(np.arange(len(one)), na), np.repeat(np.arange(len(two)), nb)
-            common = np.intersect1d(ta, tb)
-            same = np.zeros((len(one), len(two)), np.float32)
-            if len(common):
-                ca, cb = np.searchsorted(common, ta), np.searchsorted(common, tb)
-                ia = common[np.minimum(ca, len(common) - 1)] == ta
-                ib = common[np.minimum(cb, len(common) - 1)] == tb
-                ra, ca, rb, cb = ra[ia], ca[ia], rb[ib], cb[ib]
-                for at in range(0, len(common), 4096):
-                    left, right = np.zeros((len(one), 4096), np.float32), np.zeros((len(two), 4096), np.float32)
-                    pa_, pb_ = (ca >= at) & (ca < at + 4096), (cb >= at) & (cb < at + 4096)
-                    left[ra[pa_], ca[pa_] - at] = 1
-                    right[rb[pb_], cb[pb_] - at] = 1
-                    same += left @ right.T
-            linked = 100 * same >= percent * (na[:, None] + nb[None, :] - same)
+        found_a, found_b = [], []
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for (_, i, j), part in rows.sort_values("key", kind="stable").groupby(["bucket", "i", "j"], sort=True):
+            one, two = part[part["block"] == i], part[part["block"] == j]
+            if not len(one) or not len(two):
+                continue
             comp_a, comp_b = one["comp"].to_numpy(), two["comp"].to_numpy()
-            linked &= comp_a[:, None] != comp_b[None, :]
+            linked = _similar(one["shingles"].to_list(), two["shingles"].to_list(), percent) & (comp_a[:, None] != comp_b[None, :])
             key_a, key_b = one["key"].to_numpy(), two["key"].to_numpy()
-            root: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                while root.get(x, x) != x:
-                    x = root[x]
-                return x
-
             for r, c in zip(*np.nonzero(linked)):
                 x, y = top(comp_a[r]), top(comp_b[c])
                 if x != y:
                     root[max(x, y)] = min(x, y)
-                    found["a"].append(key_a[r])
-                    found["b"].append(key_b[c])
-        return pd.DataFrame({k: np.array(v, np.int64) for k, v in found.items()})
+                    found_a.append(key_a[r])
+                    found_b.append(key_b[c])
+        return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
 
     return run
 
 
-def _links_across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one bucket that lie in different components so far.
+def _unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, key, n) rows, with the component so far of each key, of buckets that hold several components. Of
+    buckets with the same members one is enough."""
+    comp = F.col("key")
+    if labels is not None:
+        members, comp = members.join(labels, members.key == labels.node, "left"), F.coalesce("comp", "key")
+    known = stage(members.select("bucket", "key", "n", comp.alias("comp")), "known")
+    every = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("key") % (1 << 40)).alias("who"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("too"))
+    one = every.filter("x < y").groupBy("members", "who", "too").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
+    one = stage(one, "unsettled")
+    rows = stage(known.join(one, "bucket"), "mixed")
+    discard(known, one)
+    return rows
+
 
-    Buckets with such members are gathered into the groups that they connect, a group is cut into blocks of BLOCK
-    documents, and each pair of a group's blocks is compared exactly in one task: memory is bounded, and only links
-    leave the task, never the pairs compared. Small groups share blocks.
+def _by_rare_shingles(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Divide large buckets: (bucket, key, n) rows whose buckets are those of a bucket and one of its shingles.
+
+    A set of n shingles that is linked with another shares one of its first n - ceil(percent * n / 100) + 1 shingles
+    with it, in any order that is the same for both. With the rarest of the bucket first, these are seldom shared by
+    texts that merely follow one pattern, so no link is lost and few pairs are left. Shingles of one member go.
+    """
+    full = large.join(sets, "key").select("bucket", "key", "n", F.explode("shingles").alias("shingle"))
+    often = stage(full.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("times")), "often")
+    rarest = Window.partitionBy("bucket", "key").orderBy("times", "shingle")
+    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    rows = full.join(often, ["bucket", "shingle"]).withColumn("place", F.row_number().over(rarest)).filter((F.col("place") <= first) & (F.col("times") > 1))
+    return rows.select(F.xxhash64("bucket", "shingle").alias("bucket"), "key", "n")
+
+
+def _links_inside(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket that lie in different components so far, from (bucket, key, n, comp, members).
+
+    A bucket is cut into blocks of BLOCK documents, and each pair of its blocks is compared exactly: memory is bounded,
+    and only links leave the task, never the pairs compared. Small buckets share a task.
     """
-    known = shared.join(labels, shared.key == labels.node, "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
-    known = stage(known, "known")
-    mixed = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("head")).filter("x < y")
-    left = stage(known.join(mixed.select("bucket", "head"), "bucket").select("key", "comp", "head").distinct(), "mixed")
-    groups = components(left.select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
-    nodes = left.select("key", "comp").distinct().join(groups, F.col("key") == groups.node).select("key", left.comp, groups.comp.alias("grp"))
-    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("comp", "grp")
-    packs = max(1, groups.count() // BLOCK)
-    small = F.col("members") <= BLOCK // 8
-    pack = F.when(small, F.pmod(F.xxhash64("grp"), F.lit(packs))).otherwise(F.col("grp"))
-    blocks = F.when(small, F.lit(1)).otherwise(F.ceil(F.col("members") / BLOCK)).cast("int")
-    dealt = nodes.join(sizes, "grp").select("key", "comp", small.alias("small"), pack.alias("pack"), blocks.alias("blocks"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "comp", "small", "pack", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = dealt.join(sets, "key").select("small", "pack", "i", "j", "block", "key", "comp", "shingles")
-    return full.groupBy("small", "pack", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    size = dealt.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    packs = max(1, size[0] // PACK_ROWS, size[1] // PACK_SHINGLES)
+    dealt = dealt.select("bucket", "i", "j", "block", "key", "comp", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(packs)).alias("pack"))
+    return dealt.join(sets, "key").groupBy("pack").applyInPandas(_block_links(percent), "a long, b long")
+
+
+def _class_labels(docs: DataFrame, heads: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, comp): the component of each class (key, rep, n, bands) that has a link."""
+    members = heads.select("key", "n", F.posexplode("bands").alias("band", "bucket"))
+    leaders = members.groupBy("bucket").agg(F.min("key").alias("lead"), F.min_by("n", "key").alias("lead_n"), F.max("key").alias("last"))
+    leaders = stage(leaders.filter("lead < last").drop("last"), "leaders")
+    shared = stage(members.join(leaders, "bucket"), "buckets")
+    wanted = shared.select("key").distinct()
+    texts = heads.join(wanted, "key").select(F.col("rep").alias("doc_id"), "key")
+    sets = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(texts, "doc_id").select("key", "text")
+    sets = sets.mapInArrow(_set_batches(shingle), "key long, shingles array<long>")
+    # Rows that repeat a doc_id and its text give one set.
+    sets = stage(sets.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "sets")
+
+    labels, low = None, 0
+    for width in ROUNDS:
+        pairs = shared.filter(F.col("band").between(low, low + width - 1) & (F.col("key") != F.col("lead")))
+        pairs = pairs.select(F.col("lead").alias("a"), F.col("key").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
+        pairs = pairs.filter(_close(percent)).distinct()
+        if labels is not None:
+            for end in ("a", "b"):
+                pairs = pairs.join(labels.toDF(end, f"comp_{end}"), end, "left")
+            pairs = pairs.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).drop("comp_a", "comp_b")
+        pairs = stage(pairs, "pairs")
+        links = stage(_confirmed(pairs, sets, percent), "links")
+        labels = _joined(labels, links)
+        discard(pairs, links)
+        low += width
+
+    left = _unsettled(shared.select("bucket", "key", "n"), labels)
+    found = [_links_inside(left.filter(F.col("members") <= BLOCK), sets, percent)]
+    large = left.filter(F.col("members") > BLOCK)
+    divided = [] if large.isEmpty() else [_unsettled(_by_rare_shingles(large, sets, percent), labels)]
+    found += [_links_inside(rows, sets, percent) for rows in divided]
+    links = stage(reduce(DataFrame.unionByName, found), "more")
+    labels = _joined(labels, links)
+    discard(leaders, shared, sets, left, links, *divided)
+    return labels
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links. A component so far counts as a star around its label."""
+    if labels is None:
+        return components(links)
+    after = components(links.unionByName(labels.toDF("a", "b")))
+    discard(labels)
+    return after
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -229,46 +311,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     a hash, tells components apart even where rows of two texts repeat one doc_id; it is null where component_id is,
     and for empty sets.
 
-    Documents with equal sets form a class first, so copies are never expanded into pairs. In each band bucket all
-    classes are compared with the bucket's leader; components of these links are found; and only pairs that still lie
-    in different components of a bucket are compared afterwards, so a large group of near copies costs about one
-    comparison per member and no link between different texts is lost.
+    Documents with equal sets form a class first, so copies are never expanded into pairs, and a class is joined with
+    its documents only through tables that Spark can split at a hot key. In each band bucket classes are compared with
+    the bucket's leader, round by round, and only pairs that still lie in different components of a bucket are
+    compared afterwards, so a large group of near copies costs about one comparison per member and no link between
+    different texts is lost.
 
     Null or blank text: empty set, linked with nothing. Null doc_id: a row with null component_id, kept. Rows that
     repeat a doc_id stay separate rows, each with the component of its own text. Extra columns are ignored; an empty
     table gives an empty table.
     """
     found = stage(signatures(docs, shingle, bands, carry), "signatures")
-    classes = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = stage(classes, "classes")
-    heads = found.join(classes, (found.key == classes.key) & (found.doc_id == classes.rep)).select(found.key, "n_shingles", "bands")
-    # Rows that repeat a doc_id with the same text give the same head twice; buckets treat it as one.
-    members = heads.select("key", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("key").alias("lead"), F.min_by("n", "key").alias("lead_n"), F.max("key").alias("last"))
-    shared = stage(members.join(leaders.filter("lead < last").drop("last"), "bucket"), "buckets")
-
-    first = stage(
-        shared.filter("key <> lead")
-        .select(F.col("lead").alias("a"), F.col("key").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
-        .filter(_close(percent))
-        .distinct(),
-        "pairs",
-    )
-    wanted = shared.select("key").distinct()
-    texts = found.join(wanted, "key").join(classes, (found.key == classes.key) & (found.doc_id == classes.rep))
-    texts = texts.select("doc_id", wanted.key).distinct()
-    sets = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(texts, "doc_id").select("key", "text")
-    sets = sets.mapInArrow(_set_batches(shingle), "key long, shingles array<long>")
-    sets = stage(sets, "sets")
-    links = stage(_confirmed(first, sets, percent), "links")
-    labels = components(links)
-
-    more = stage(_links_across(shared, labels, sets, percent), "more")
-    labels = components(links.unionByName(more))
-
-    comps = classes.join(labels, classes.key == labels.node, "left").select(classes.key, "rep", F.coalesce("comp", classes.key).alias("comp"))
-    lowest = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = comps.join(lowest, "comp").select("key", "component_id", F.col("comp").alias("group_key"))
+    heads = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key")
+    # Equal sets have equal sizes and bands, so any row of a class may give them.
+    heads = stage(heads.agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    labels = _class_labels(docs, heads, shingle, percent)
+
+    linked = stage(labels.join(heads.select(F.col("key").alias("node"), "rep"), "node"), "linked")
+    lowest = stage(linked.groupBy("comp").agg(F.min("rep").alias("component_id")), "lowest")
+    of_link = linked.join(lowest, "comp").select(F.col("node").alias("key"), "component_id", F.col("comp").alias("group_key"))
+    of_class = heads.select("key", "rep").join(of_link, "key", "left")
+    of_class = stage(of_class.select("key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("group_key", "key").alias("group_key")), "groups")
+    discard(heads, labels, linked, lowest)
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
     return (

@@ -25,11 +25,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees. Where that is unset, as in tests, a
-    temporary folder of this machine is set as checkpoint folder first."""
+    temporary folder of this machine is set as checkpoint folder first; on a cluster that is an error, since executors
+    would write to folders of their own."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
         base = spark.sparkContext.getCheckpointDir() or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.sparkContext.setCheckpointDir(base)
     base = base if "://" in base or base.startswith("file:") else f"file://{base}"

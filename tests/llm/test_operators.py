@@ -77,7 +77,11 @@ def test_minhash(request, name):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_minhash_blocks_join_components(spark):
+@pytest.mark.parametrize("block", [512, 3])
+def test_minhash_exact_comparison_joins_components(spark, monkeypatch, block):
+    # No leader settles anything, and with blocks of 3 buckets are divided by their rare shingles.
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, sets, percent: pairs.select("a", "b").limit(0))
     base = [f"w{i}" for i in range(150)]
     rows = []
     for d in range(40):
@@ -90,6 +94,16 @@ def test_minhash_blocks_join_components(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, shingle=4).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_components_of_chains_stars_and_loops(spark):
+    chain = [(i, i + 1) for i in range(300)]
+    star = [(1000, i) for i in range(1001, 1200)]
+    other = [(3000, 3000), (5, 5), (2001, 2000), (2000, 2001)]
+    rows = spark.createDataFrame(chain + star + other, "a long, b long")
+    want = {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1200)} | {3000: 3000, 2000: 2000, 2001: 2000}
+    assert {r["node"]: r["comp"] for r in graph.components(rows).collect()} == want
+    assert graph.components(rows.limit(0)).count() == 0
+
+
 def test_components_read_edges_once(spark, tmp_path):
     def turned(batches):
         # Each evaluation of the edge list gives its edges the other way round.
@@ -107,7 +121,7 @@ def test_minhash_block_links_in_any_row_order():
     rng = np.random.default_rng(3)
     base = np.arange(40)
     sets = [np.sort(np.concatenate([base[rng.permutation(40)[:37]], [100 + i]])) for i in range(30)]
-    rows = pd.DataFrame({"small": True, "pack": 0, "i": 0, "j": 0, "block": 0, "key": rng.permutation(30), "comp": 0, "shingles": sets})
+    rows = pd.DataFrame({"bucket": 7, "i": 0, "j": 0, "block": 0, "key": rng.permutation(30), "comp": 0, "pack": 0, "shingles": sets})
     rows["comp"] = rows["key"]
     want = minhash._block_links(80)(rows)
     assert len(want) > 3
