@@ -163,7 +163,8 @@ def test_suffix(request, name, most):
 def test_bpe_matches_library(spark, odd, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    more = spark.createDataFrame([(90, "aaaaaaa bbbb<|endoftext|>x Σς İ l'd'll ½²"), (91, "zzz<|startoftext|>")], "doc_id long, text string")
+    tricky = ["aaaaaaa bbbb<|endoftext|>x Σς İ l'd'll ½²", "zzz<|startoftext|>", "<|endoftext|><|endoftext|> a", "'s''s'sa !'s x's's 'really it' 've'v", "a\x1cb\x85c\u3000d e\u0301 \u0301"]
+    more = spark.createDataFrame([(90 + i, t) for i, t in enumerate(tricky)] + [(None, "no id")], "doc_id long, text string")
     df = odd.select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text")).unionByName(more)
     want = {}
     for i, t in texts_of(df):
@@ -178,6 +179,47 @@ def test_bpe_matches_library(spark, odd, docs):
     assert all(digest[i] == w[2] for i, w in want.items())
 
 
+def test_bpe_compiled_arcs_follow_from_the_gadgets():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        automaton = bpe.TextEncoder(f.read()).automaton
+    rng = np.random.default_rng(1)
+    common = np.argsort(automaton.born)[:3000]
+    state, label = rng.choice(common, 20000), rng.choice(common, 20000)
+    got = automaton.has_arc(state, label)
+    assert got.tolist() == [not automaton.taken_away(s, t, 1 << 30) for s, t in zip(state.tolist(), label.tolist())]
+    assert 0.02 < got.mean() < 0.98
+
+
+def test_bpe_small_automaton_against_merging():
+    letters = "ab"
+    merges = [("a", "a"), ("a", "b</w>"), ("b", "aa"), ("aa", "b"), ("b", "b"), ("aab", "b</w>"), ("baa", "aab"), ("bb", "a</w>")]
+    tokens = [*letters, *(c + "</w>" for c in letters), *(u + v for u, v in merges)]
+    automaton = bpe.MergeAutomaton({t: i for i, t in enumerate(tokens)}, merges)
+
+    def merged(word):
+        parts = [*word[:-1], word[-1] + "</w>"]
+        while found := min(((merges.index(p), i) for i, p in enumerate(zip(parts, parts[1:])) if p in merges), default=None):
+            parts[found[1] : found[1] + 2] = ["".join(parts[found[1] : found[1] + 2])]
+        return [tokens.index(p) for p in parts]
+
+    words = ["".join(letters[n >> i & 1] for i in range(size)) for size in range(1, 12) for n in range(1 << size)]
+    want = [merged(w) for w in words]
+    assert [automaton.encode(w) for w in words] == want
+    ids, count = automaton.walk(np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0, *map(len, words)]))
+    assert ids.tolist() == sum(want, []) and count.tolist() == [len(w) for w in want]
+
+
+def test_bpe_long_and_colliding_words(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = bpe.TextEncoder(f.read())
+    texts = ["ab " * 700 + "x" * 900 + " it's 'really!'s 12½ naïve " + "é" * 300, "", "one"]
+    want = [x.tolist() for x in encoder.encode(texts)]
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 100)
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    monkeypatch.setattr(bpe, "mix64", lambda h: h * np.uint64(0))
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
 def test_pii_base_spans_match_patterns():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
