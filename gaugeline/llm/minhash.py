@@ -4,9 +4,9 @@ Each permutation of a document's shingle hashes gives two signature values, its
 many permutations are evaluated as signature values are kept. Bands of these values propose candidates; a link
 counts only when the full shingle sets confirm it.
 
-Links are found in rounds over groups of bands. A round compares a bucket's members with its leader, and only where
-both lie in different components so far, so a band adds no link that an earlier one has made needless. Buckets whose
-members still lie in several components are compared exactly afterwards.
+The members of a bucket are compared with its leader first, the one that shares buckets with most others: in a group of
+near copies that is the text they come from, so a group costs about one comparison per member. Where a bucket still
+holds several components, the members outside its largest one are then compared exactly with all others.
 """
 
 from __future__ import annotations
@@ -28,10 +28,8 @@ _U = np.uint64
 BAND_PERMUTATIONS = 3
 #: With 40 bands a pair at similarity 0.8 is missed with probability 5e-6, one at 0.85 with 2e-9.
 BANDS = 40
-#: Bands of each round of links to leaders: the first settle most copies, the others see what is left.
-ROUNDS = (4, 12, 24)
-#: Documents in a block of the exact comparison; buckets with more are divided by rare shingles first.
-BLOCK = 512
+#: Documents in a block of the exact comparison; buckets with more than so many are divided by rare shingles first.
+BLOCK, LARGE = 512, 8192
 #: Rows and shingles, about, that a task of the exact comparison holds at once.
 PACK_ROWS, PACK_SHINGLES = 1024, 2_000_000
 
@@ -209,44 +207,65 @@ def _block_links(percent: int):
 
 
 def _unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, key, n) rows, with the component so far of each key, of buckets that hold several components. Of
-    buckets with the same members one is enough."""
+    """Rows of (bucket, key, n, weight) in buckets that hold several components, with the component so far of each key
+    and the number of members. Of buckets with the same members one is enough."""
     comp = F.col("key")
     if labels is not None:
         members, comp = members.join(labels, members.key == labels.node, "left"), F.coalesce("comp", "key")
-    known = stage(members.select("bucket", "key", "n", comp.alias("comp")), "known")
-    every = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("key") % (1 << 40)).alias("who"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("too"))
-    one = every.filter("x < y").groupBy("members", "who", "too").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
+    known = stage(members.select("bucket", "key", "n", "weight", comp.alias("comp")), "known")
+    who = F.struct(F.sum(F.xxhash64("key") % (1 << 40)), F.bit_xor(F.xxhash64("key", F.lit(1)))).alias("who")
+    every = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members"), who)
+    one = every.filter("x < y").groupBy("members", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
+    # Staged, so that Spark can split the join at a bucket with very many members.
     one = stage(one, "unsettled")
     rows = stage(known.join(one, "bucket"), "mixed")
     discard(known, one)
     return rows
 
 
+def _leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of each bucket's leader, the key with the largest weight, and its other members."""
+    best = F.struct("weight", "key")
+    lead = rows.groupBy("bucket").agg(F.max_by(F.struct(F.col("key").alias("a"), F.col("n").alias("na")), best).alias("lead"))
+    lead = stage(lead.select("bucket", "lead.*"), "leaders")
+    pairs = rows.join(lead, "bucket").filter("key <> a").select("a", F.col("key").alias("b"), "na", F.col("n").alias("nb"))
+    pairs = stage(pairs.filter(_close(percent)).distinct(), "pairs")
+    discard(lead)
+    return pairs
+
+
 def _by_rare_shingles(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Divide large buckets: (bucket, key, n) rows whose buckets are those of a bucket and one of its shingles.
+    """Divide large buckets: (bucket, key, n, weight) rows whose buckets are those of a bucket and one of its shingles.
 
     A set of n shingles that is linked with another shares one of its first n - ceil(percent * n / 100) + 1 shingles
     with it, in any order that is the same for both. With the rarest of the bucket first, these are seldom shared by
     texts that merely follow one pattern, so no link is lost and few pairs are left. Shingles of one member go.
     """
-    full = large.join(sets, "key").select("bucket", "key", "n", F.explode("shingles").alias("shingle"))
+    full = large.join(sets, "key").select("bucket", "key", "n", "weight", F.explode("shingles").alias("shingle"))
     often = stage(full.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("times")), "often")
     rarest = Window.partitionBy("bucket", "key").orderBy("times", "shingle")
     first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     rows = full.join(often, ["bucket", "shingle"]).withColumn("place", F.row_number().over(rarest)).filter((F.col("place") <= first) & (F.col("times") > 1))
-    return rows.select(F.xxhash64("bucket", "shingle").alias("bucket"), "key", "n")
+    return rows.select(F.xxhash64("bucket", "shingle").alias("bucket"), "key", "n", "weight")
 
 
 def _links_inside(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of one bucket that lie in different components so far, from (bucket, key, n, comp, members).
 
-    A bucket is cut into blocks of BLOCK documents, and each pair of its blocks is compared exactly: memory is bounded,
-    and only links leave the task, never the pairs compared. Small buckets share a task.
+    Members outside the bucket's largest component are cut into blocks of BLOCK, and so is that component. Each of the
+    former blocks is compared exactly with all blocks: memory is bounded, and only links leave the task, never the
+    pairs compared. Small buckets share a task.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("own")).groupBy("bucket")
+    most = stage(parts.agg(F.max(F.struct("own", "comp")).alias("most")).select("bucket", "most.own", F.col("most.comp").alias("largest")), "largest")
+    dealt = rows.join(most, "bucket")
+    outside = F.ceil((F.col("members") - F.col("own")) / BLOCK).cast("int")
+    inside = F.col("comp") == F.col("largest")
+    count = F.when(inside, F.ceil(F.col("own") / BLOCK).cast("int")).otherwise(F.col("outside"))
+    block = F.when(inside, F.col("outside")).otherwise(0) + F.pmod(F.xxhash64("key"), count).cast("int")
+    dealt = dealt.withColumn("outside", outside).withColumn("block", block)
+    others = F.when(inside, F.col("outside")).otherwise(F.col("outside") + F.ceil(F.col("own") / BLOCK).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     size = dealt.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     packs = max(1, size[0] // PACK_ROWS, size[1] // PACK_SHINGLES)
@@ -256,49 +275,32 @@ def _links_inside(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _class_labels(docs: DataFrame, heads: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, comp): the component of each class (key, rep, n, bands) that has a link."""
-    members = heads.select("key", "n", F.posexplode("bands").alias("band", "bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("key").alias("lead"), F.min_by("n", "key").alias("lead_n"), F.max("key").alias("last"))
-    leaders = stage(leaders.filter("lead < last").drop("last"), "leaders")
-    shared = stage(members.join(leaders, "bucket"), "buckets")
-    wanted = shared.select("key").distinct()
-    texts = heads.join(wanted, "key").select(F.col("rep").alias("doc_id"), "key")
+    members = heads.select("key", "n", F.explode("bands").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = stage(sizes, "sizes")
+    shared = stage(members.join(sizes, "bucket"), "buckets")
+    weights = stage(shared.groupBy("key").agg(F.sum("size").alias("weight")), "weights")
+    rows = shared.join(weights, "key").drop("size")
+    texts = heads.join(weights.select("key"), "key").select(F.col("rep").alias("doc_id"), "key")
     sets = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(texts, "doc_id").select("key", "text")
     sets = sets.mapInArrow(_set_batches(shingle), "key long, shingles array<long>")
     # Rows that repeat a doc_id and its text give one set.
     sets = stage(sets.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "sets")
 
-    labels, low = None, 0
-    for width in ROUNDS:
-        pairs = shared.filter(F.col("band").between(low, low + width - 1) & (F.col("key") != F.col("lead")))
-        pairs = pairs.select(F.col("lead").alias("a"), F.col("key").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
-        pairs = pairs.filter(_close(percent)).distinct()
-        if labels is not None:
-            for end in ("a", "b"):
-                pairs = pairs.join(labels.toDF(end, f"comp_{end}"), end, "left")
-            pairs = pairs.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).drop("comp_a", "comp_b")
-        pairs = stage(pairs, "pairs")
-        links = stage(_confirmed(pairs, sets, percent), "links")
-        labels = _joined(labels, links)
-        discard(pairs, links)
-        low += width
-
-    left = _unsettled(shared.select("bucket", "key", "n"), labels)
-    found = [_links_inside(left.filter(F.col("members") <= BLOCK), sets, percent)]
-    large = left.filter(F.col("members") > BLOCK)
+    first = _unsettled(rows, None)
+    pairs = _leader_pairs(first, percent)
+    links = stage(_confirmed(pairs, sets, percent), "links")
+    labels = components(links)
+
+    left = _unsettled(first.drop("comp", "members"), labels)
+    found = [_links_inside(left.filter(F.col("members") <= LARGE), sets, percent)]
+    large = left.filter(F.col("members") > LARGE)
     divided = [] if large.isEmpty() else [_unsettled(_by_rare_shingles(large, sets, percent), labels)]
     found += [_links_inside(rows, sets, percent) for rows in divided]
-    links = stage(reduce(DataFrame.unionByName, found), "more")
-    labels = _joined(labels, links)
-    discard(leaders, shared, sets, left, links, *divided)
-    return labels
-
-
-def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after more links. A component so far counts as a star around its label."""
-    if labels is None:
-        return components(links)
-    after = components(links.unionByName(labels.toDF("a", "b")))
-    discard(labels)
+    more = stage(reduce(DataFrame.unionByName, found), "more")
+    # A component so far counts as a star around its label.
+    after = components(more.unionByName(labels.toDF("a", "b")))
+    discard(sizes, shared, weights, sets, first, pairs, links, left, labels, more, *divided)
     return after
 
 
@@ -313,9 +315,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Documents with equal sets form a class first, so copies are never expanded into pairs, and a class is joined with
     its documents only through tables that Spark can split at a hot key. In each band bucket classes are compared with
-    the bucket's leader, round by round, and only pairs that still lie in different components of a bucket are
-    compared afterwards, so a large group of near copies costs about one comparison per member and no link between
-    different texts is lost.
+    one leader, and only pairs that then still lie in different components of a bucket are compared afterwards, so no
+    link between different texts is lost.
 
     Null or blank text: empty set, linked with nothing. Null doc_id: a row with null component_id, kept. Rows that
     repeat a doc_id stay separate rows, each with the component of its own text. Extra columns are ignored; an empty
