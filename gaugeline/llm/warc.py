@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import RangeReader, attempt_name, open_fs
-from .shared import shared_dir, stage
+from .shared import discard, shared_dir, stage
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a file that one task reads for candidates, and bytes fed to the inflater at a time.
 RANGE_BYTES, FEED = 4 << 20, 1 << 15
+#: Bytes of files that a reading task gets, about: several ranges.
+TASK_BYTES = 16 << 20
 FILE_BYTES = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 END = b"\r\n\r\n"
@@ -107,7 +109,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, level: int = 6
     and the others revisit it; smaller payloads, and rows without page_id, are always responses.
     """
     rows = pages.select("page_id", "url", "payload", F.sha1("payload").alias("digest"))
-    first = rows.filter((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = rows.filter((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).groupBy("digest")
+    # Payloads that occur once need no partner. Staged, so that Spark can split the join at a frequent payload.
+    first = stage(first.agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages")).filter("pages > 1").drop("pages"), "firsts")
     refers = F.when((F.octet_length("payload") >= least) & (F.col("page_id") > F.col("first")), F.col("first"))
     joined = rows.join(first, "digest", "left").select("page_id", "url", "payload", refers.alias("first"))
     return stage(joined.mapInArrow(_write_batches(folder, level), "file string, size long"), "archives")
@@ -194,17 +198,24 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": np.full(len(kept), group["id"].iloc[0], np.int64), "offset": np.array(kept, np.int64)})
 
 
+def reading_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(file, start, stop, size) of every range, dealt evenly to a number of tasks that grows with the bytes. The rows are
+    so short that Spark would merge them into one task; a given number it keeps."""
+    total = files.agg(F.sum("size")).first()[0] or 0
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start")
+    ranges = files.filter("size > 0").select("file", "size", starts)
+    stop = F.least(F.col("start") + range_bytes, F.col("size")).alias("stop")
+    return ranges.select("file", "start", stop, "size").repartition(max(1, -(-total // TASK_BYTES)))
+
+
 def read_archives(spark: SparkSession, files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of (file, size): file, offset, type, page_id, refers_to, payload_bytes, digest.
 
     Digests of responses are recomputed from the payloads read. A file whose chain does not end at its last byte is
     damaged, and reading fails.
     """
-    stop = F.least(F.col("start") + range_bytes, F.col("size"))
-    ranges = files.filter("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.select("file", "start", stop.alias("stop"), "size").repartition("file", "start")
     found = stage(
-        ranges.mapInArrow(
+        reading_ranges(files, range_bytes).mapInArrow(
             _candidate_batches(folder),
             "file string, start long, offset long, successor long, leaves long, type string, page_id long, refers_to long, payload_bytes long, digest string",
         ),
@@ -214,13 +225,16 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, range_byte
     entries = exits.select("file", "at")
     jumps = exits.join(entries.withColumnRenamed("at", "to"), ["file", "to"]).select("file", "at", "to")
     reached = stage(entries.filter("at = 0"), "reached")
+    old: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
         more = stage(reached.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at")).join(reached, ["file", "at"], "left_anti").distinct(), "more")
         if more.isEmpty():
             break
-        reached = stage(reached.unionByName(more), "reached")
         twice = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
-        jumps = stage(jumps.join(twice, ["file", "to"]).select("file", "at", F.col("then").alias("to")), "jumps")
+        further = stage(jumps.join(twice, ["file", "to"]).select("file", "at", F.col("then").alias("to")), "jumps")
+        wider = stage(reached.unionByName(more), "reached")
+        discard(more, reached, *old)
+        jumps, reached, old = further, wider, [further]
     else:
         raise RuntimeError("pointer jumping did not end")
     ends = exits.join(reached, ["file", "at"]).groupBy("file").agg(F.max("to").alias("last"))
@@ -237,8 +251,10 @@ def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     The html in UTF-8 (null: empty) is written and the archives are read back; all columns come from what was read.
-    Repeated rows give repeated records, of one type. A null url is an empty one. Extra columns are ignored; an empty
-    table gives an empty table.
+    Rows that repeat a page_id and its html give repeated records, of one type; rows that repeat a page_id with another
+    html are records of their own. A null page_id stays and is always a response. A null url is an empty one. A payload
+    of any length is one record, which a task holds whole. Extra columns are ignored; an empty table gives an empty
+    table.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc"
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
