@@ -28,8 +28,8 @@ PAD = 255
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33
 LEVEL = 3
-#: Bytes after which a task starts another shard.
-SHARD_BYTES = 1 << 30
+#: Bytes after which a task starts another shard, and stored bytes that a reading task gets, about.
+SHARD_BYTES, TASK_BYTES = 1 << 30, 16 << 20
 
 
 def pad(raw: bytes) -> bytes:
@@ -146,17 +146,23 @@ def _write_batches(folder: str):
 
 
 def store(docs: DataFrame, folder: str) -> DataFrame:
-    """Write the payloads below ``folder``: doc_id, n_bytes, digest, shard, offset, length.
+    """Write the payloads below ``folder``: doc_id, n_bytes, digest, and shard, offset and length of the stored copy.
 
-    Equal payloads of different tasks are stored once per task; all rows then point to the same copy, the first by
-    shard name and offset, so a row's address depends on its content alone.
+    Equal payloads are stored once per task, under their digest. addresses() picks one copy for all rows of a digest.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         _write_batches(folder), "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
     )
-    rows = stage(rows, "media-rows")
-    one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return rows.select("doc_id", "n_bytes", "digest").join(one, "digest").select("doc_id", "n_bytes", "digest", "at.shard", "at.offset", "at.length")
+    return stage(rows, "media-rows")
+
+
+def addresses(rows: DataFrame) -> DataFrame:
+    """digest, shard, offset, length: the first copy of each digest by shard name and offset, in the order of places.
+    Dealt to a number of tasks that grows with the stored bytes, which Spark does not see in rows this short."""
+    one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    one = stage(one, "addresses")
+    total = one.agg(F.sum("length")).first()[0] or 0
+    return one.repartitionByRange(max(1, -(-total // TASK_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _header_batches(folder: str):
@@ -164,8 +170,8 @@ def _header_batches(folder: str):
         reader = RangeReader(folder)
         for batch in batches:
             rows = [png_header(reader.read(s, o, HEADER)) for s, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            w, h, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(b, pa.int32())], ["digest", "width", "height", "bits"])
+            columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "width", "height", "bits"])
         reader.close()
 
     return run
@@ -184,30 +190,24 @@ def _payload_batches(folder: str):
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), features(payload)))
                 n, digest, tail, size, stored, said = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(tail, pa.int64()), pa.array(size, pa.int64()), pa.array(stored), pa.array(said)],
-                    ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    [batch.column(0), *batch.columns[4:], pa.array(n, pa.int64()), pa.array(digest), pa.array(tail, pa.int64()), pa.array(size, pa.int64()), pa.array(stored), pa.array(said)],
+                    ["digest", *batch.schema.names[4:], "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
         reader.close()
 
     return run
 
 
-def _addresses(rows: DataFrame) -> DataFrame:
-    """One address per digest, in file order within a task."""
-    one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return one.select("digest", "at.shard", "at.offset", "at.length").sortWithinPartitions("shard", "offset")
-
-
-def read_headers(rows: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height and bits of each stored image, from ranges of HEADER bytes."""
-    return _addresses(rows).mapInArrow(_header_batches(folder), "digest string, width int, height int, bits int")
+def read_headers(places: DataFrame, folder: str) -> DataFrame:
+    """(digest, shard, offset, length) with width, height and bits of each stored image, from ranges of HEADER bytes."""
+    return places.mapInArrow(_header_batches(folder), "digest string, shard string, offset long, length long, width int, height int, bits int")
 
 
-def read_payloads(rows: DataFrame, folder: str) -> DataFrame:
-    """Features of each stored payload, from the bytes read back."""
-    return _addresses(rows).mapInArrow(
+def read_payloads(headed: DataFrame, folder: str) -> DataFrame:
+    """Features of each stored payload, from the bytes read back, beside what its header says."""
+    return headed.mapInArrow(
         _payload_batches(folder),
-        "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "digest string, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
 
 
@@ -215,14 +215,15 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     feature, and width, height and bits from the image header.
 
-    Payloads are whole texts in UTF-8, padded; null counts as empty and has a payload of padding. Equal texts have
-    equal values. Repeated rows give repeated rows; a null doc_id stays; extra columns are ignored; an empty table
-    gives an empty table. Files are named by task attempt, so rows of a repeated task never mix with those of another.
+    Payloads are whole texts in UTF-8, padded; null counts as empty and has a payload of padding; a text of any length
+    is one image, which a task holds whole. Equal texts have equal values. Repeated rows give repeated rows; a null
+    doc_id stays; extra columns are ignored; an empty table gives an empty table. Files are named by task attempt, so
+    rows of a repeated task never mix with those of another.
     """
     folder = f"{shared_dir(docs.sparkSession)}/media"
-    rows = stage(store(docs, folder), "media")
-    heads, payloads = read_headers(rows, folder), read_payloads(rows, folder)
-    read = stage(payloads.join(heads, "digest"), "read")
+    rows = store(docs, folder)
+    read = stage(read_payloads(read_headers(addresses(rows), folder), folder), "read")
+    # Both sides are staged, so Spark can split the join at a frequent digest.
     return rows.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")
 
 
