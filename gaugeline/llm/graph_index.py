@@ -1,29 +1,43 @@
 """Approximate nearest neighbours with robust-pruned directed graphs, one per shard.
 
-A shard is a bounded number of vectors. Its graph starts with random arcs; greedy beam searches from the medoid
-propose neighbours for every node, and pruning keeps a proposal only when no kept neighbour is much nearer to it than
-the node itself (distances relaxed by a factor), so arcs stay few and diverse. Arcs are added both ways and pruned
-again. A query walks every shard's graph with a beam, and the shard answers are merged.
+A shard's graph starts with random arcs; greedy beam searches from the medoid propose neighbours for every node, and
+pruning keeps a proposal only when no kept neighbour is much nearer to it than the node itself (distances relaxed by a
+factor), so arcs stay few and diverse. Arcs are added both ways and pruned again where a node has too many. Nodes that
+no path from the start reaches get an arc from the nearest node that one does. Graphs and queries are written to the
+shared folder; a task takes one shard and one block of queries, walks the graph with a beam, and answers are merged.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a shard at most, about.
-SHARD = 4096
+from .files import attempt_name, open_fs
+from .shared import shared_dir, stage
+
+#: Vectors of a shard, about, in small tables, and how many such shards there are before shards grow instead.
+SHARD, SPREAD = 4096, 64
+#: Vectors of a shard at most, about: beyond that the number of shards grows.
+LARGEST = 1 << 17
 #: Queries that visit a shard together.
 BLOCK = 4096
-DEGREE, BUILD_BEAM, QUERY_BEAM, RELAX = 24, 48, 96, 1.2
+DEGREE, BUILD_BEAM, QUERY_BEAM, RELAX = 24, 32, 96, 1.2
+#: Up to so many visits of a block to a shard are tasks of their own; of more, 16 share one.
+VISITS = 4096
+#: Nodes whose arcs a search follows in one step.
+WIDE = 8
 
 
 def beam_search(unit: np.ndarray, arcs: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Greedy searches of many queries at once: the nodes of each beam, nearest first, and their similarities."""
     q, n = len(queries), len(unit)
-    nodes = np.full((q, beam), -1, np.int64)
+    nodes = np.full((q, beam), n, np.int64)
     near = np.full((q, beam), -np.inf, np.float32)
     done = np.ones((q, beam), bool)
     seen = np.zeros((q, n + 1), bool)
@@ -33,26 +47,33 @@ def beam_search(unit: np.ndarray, arcs: np.ndarray, start: int, queries: np.ndar
     seen[:, n] = True
     live = np.arange(q)
     while len(live):
-        first = np.argmin(done[live], axis=1)
-        open_ = ~done[live, first]
-        live, first = live[open_], first[open_]
+        # The nearest nodes not followed yet; beams are sorted, so a stable sort of the marks finds them.
+        first = np.argsort(done[live], axis=1, kind="stable")[:, :WIDE]
+        waits = ~np.take_along_axis(done[live], first, 1)
+        some = waits[:, 0]
+        live, first, waits = live[some], first[some], waits[some]
         if not len(live):
             break
-        done[live, first] = True
-        next_ = arcs[nodes[live, first]]
+        done[live[:, None], first] = True
+        at = np.where(waits, nodes[live[:, None], first], n)
+        next_ = np.sort(arcs[at].reshape(len(live), -1), axis=1)
+        next_[:, 1:][next_[:, 1:] == next_[:, :-1]] = n
         fresh = ~seen[live[:, None], next_]
         seen[live[:, None], next_] = True
-        next_ = np.where(fresh, next_, 0)
-        score = np.einsum("qd,qrd->qr", queries[live], unit[next_])
+        # Only what is new is measured, packed to the left.
+        width = max(1, int(fresh.sum(axis=1).max()))
+        pick = np.argsort(~fresh, axis=1, kind="stable")[:, :width]
+        next_, fresh = np.take_along_axis(next_, pick, 1), np.take_along_axis(fresh, pick, 1)
+        score = np.matmul(unit[np.where(fresh, next_, 0)], queries[live][:, :, None])[:, :, 0]
         score[~fresh] = -np.inf
         all_near = np.concatenate([near[live], score], axis=1)
-        all_nodes = np.concatenate([nodes[live], next_], axis=1)
+        all_nodes = np.concatenate([nodes[live], np.where(fresh, next_, n)], axis=1)
         all_done = np.concatenate([done[live], ~fresh], axis=1)
         best = np.argsort(-all_near, axis=1, kind="stable")[:, :beam]
         near[live] = np.take_along_axis(all_near, best, 1)
         nodes[live] = np.take_along_axis(all_nodes, best, 1)
         done[live] = np.take_along_axis(all_done, best, 1)
-    return nodes, near
+    return np.where(near > -np.inf, nodes, -1), near
 
 
 def robust_prune(unit: np.ndarray, own: np.ndarray, proposed: np.ndarray, degree: int, relax: float) -> np.ndarray:
@@ -78,36 +99,79 @@ def robust_prune(unit: np.ndarray, own: np.ndarray, proposed: np.ndarray, degree
     return kept
 
 
-def build_graph(unit: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX) -> tuple[np.ndarray, int]:
-    """Arcs (n, degree), n where there is none, and the start node."""
+def _reached(arcs: np.ndarray, start: int) -> np.ndarray:
+    """Which nodes a path from the start leads to."""
+    n = len(arcs) - 1
+    reached = np.zeros(n + 1, bool)
+    edge = np.array([start])
+    while len(edge):
+        reached[edge] = True
+        edge = np.unique(arcs[edge])
+        edge = edge[~reached[edge] & (edge < n)]
+    return reached[:n]
+
+
+def _connect(unit: np.ndarray, arcs: np.ndarray, start: int, beam: int) -> np.ndarray:
+    """Arcs with one more, in a column of its own where there is no room, to each node that no path leads to so far:
+    from the nearest node that a search for it finds."""
     n = len(unit)
+    while not (reached := _reached(arcs, start)).all():
+        lost = np.flatnonzero(~reached)[:1024]
+        nodes, _ = beam_search(unit, arcs, start, unit[lost], beam)
+        for source, target in zip(nodes[:, 0].tolist(), lost.tolist()):
+            free = np.flatnonzero(arcs[source] == n)
+            if not len(free):
+                arcs = np.concatenate([arcs, np.full((n + 1, 1), n)], axis=1)
+                free = [arcs.shape[1] - 1]
+            arcs[source, free[0]] = target
+    return arcs
+
+
+def build_graph(unit: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX) -> tuple[np.ndarray, int]:
+    """Arcs of n + 1 rows, n where there is none, and the start node. Every node can be reached from it."""
+    n, room = len(unit), degree + degree // 2
     mean = unit.mean(axis=0)
     start = int(np.argmax(unit @ mean))
     rng = np.random.default_rng(5)
-    arcs = rng.integers(0, n, (n + 1, degree))
-    arcs[n] = n
+    arcs = np.full((n + 1, room), n)
+    arcs[:n, : degree // 2] = rng.integers(0, n, (n, degree // 2))
     for spread in (1.0, relax):
         order = rng.permutation(n)
-        for at in range(0, n, 256):
-            own = order[at : at + 256]
+        for at in range(0, n, 512):
+            own = order[at : at + 512]
             nodes, _ = beam_search(unit, arcs, start, unit[own], beam)
             old = arcs[own]
             kept = robust_prune(unit, own, np.concatenate([nodes, np.where(old < n, old, -1)], axis=1), degree, spread)
-            arcs[own] = kept
+            arcs[own, :degree], arcs[own, degree:] = kept, n
             target, source = kept.ravel(), np.repeat(own, degree)
             real = target < n
             target, source = target[real], source[real]
+            there = (arcs[target] == source[:, None]).any(axis=1)
+            target, source = target[~there], source[~there]
+            if not len(target):
+                continue
             by = np.argsort(target, kind="stable")
             target, source = target[by], source[by]
             heads, first, count = np.unique(target, return_index=True, return_counts=True)
-            back = np.full((len(heads), int(count.max()) if len(count) else 0), -1, np.int64)
-            back[np.repeat(np.arange(len(heads)), count), np.arange(len(target)) - np.repeat(first, count)] = source
-            old = arcs[heads]
-            arcs[heads] = robust_prune(unit, heads, np.concatenate([np.where(old < n, old, -1), back], axis=1), degree, spread)
-    return arcs, start
+            used = (arcs[heads] < n).sum(axis=1)
+            fits = used + count <= room
+            # Arcs go to the left, so that those of a node with room left follow them.
+            arcs[heads] = np.sort(arcs[heads], axis=1)
+            place = np.arange(len(target)) - np.repeat(first, count)
+            light = np.repeat(fits, count)
+            arcs[target[light], np.repeat(used, count)[light] + place[light]] = source[light]
+            if fits.all():
+                continue
+            full = heads[~fits]
+            back = np.full((len(full), int(count[~fits].max())), -1, np.int64)
+            back[np.repeat(np.arange(len(full)), count[~fits]), place[~light]] = source[~light]
+            old = arcs[full]
+            kept = robust_prune(unit, full, np.concatenate([np.where(old < n, old, -1), back], axis=1), degree, spread)
+            arcs[full, :degree], arcs[full, degree:] = kept, n
+    return _connect(unit, arcs, start, beam), start
 
 
-def _index_group(top: int):
+def _index_group(top: int, folder: str):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
         ids = group["vec_id"].to_numpy()
@@ -125,9 +189,28 @@ def _index_group(top: int):
         unit = distinct / np.abs(distinct).max(axis=1, keepdims=True)
         unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
         arcs, start = build_graph(unit) if len(unit) > 1 else (np.full((2, 1), 1), 0)
-        row = {"dim": group["dim"].iloc[0], "shard": group["shard"].iloc[0], "start": start, "nodes": len(unit), "degree": arcs.shape[1]}
-        row |= {"vectors": distinct.tobytes(), "arcs": arcs.astype(np.int32).tobytes(), "members": members.tobytes()}
-        return pd.DataFrame([row])
+        system, path = open_fs(folder)
+        system.create_dir(path)
+        name = attempt_name("graph", ".npz")
+        held = io.BytesIO()
+        np.savez(held, vectors=distinct, unit=unit, arcs=arcs.astype(np.int32), members=members, start=start)
+        with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(held.getbuffer())
+        return pd.DataFrame({"dim": [group["dim"].iloc[0]], "graph": [name]})
+
+    return run
+
+
+def _write_queries(folder: str):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        system, path = open_fs(folder)
+        system.create_dir(path)
+        name = attempt_name("queries", ".npz")
+        held = io.BytesIO()
+        np.savez(held, ids=block["vec_id"].to_numpy(), vectors=np.stack(block["embedding"].to_numpy()).astype(np.float64))
+        with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(held.getbuffer())
+        return pd.DataFrame({"dim": [block["dim"].iloc[0]], "queries": [name]})
 
     return run
 
@@ -139,35 +222,39 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=-1) / np.sqrt((a * a).sum(axis=-1) * (b * b).sum(axis=-1))
 
 
-def _search_group(top: int, beam: int):
-    def run(index: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(index) and len(block):
-            g = index.iloc[0]
-            n = int(g["nodes"])
-            vectors = np.frombuffer(g["vectors"]).reshape(n, -1)
-            arcs = np.frombuffer(g["arcs"], np.int32).reshape(n + 1, int(g["degree"])).astype(np.int64)
-            members = np.frombuffer(g["members"], np.int64).reshape(n, top + 1)
-            unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-            unit = np.concatenate([unit / np.linalg.norm(unit, axis=1, keepdims=True), np.zeros((1, vectors.shape[1]))]).astype(np.float32)
-            for at in range(0, len(block), 256):
-                part = block.iloc[at : at + 256]
-                wanted = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                q = wanted / np.abs(wanted).max(axis=1, keepdims=True)
-                q = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
-                nodes, near = beam_search(unit[:n], arcs, int(g["start"]), q, beam)
-                # A few nodes beyond the wanted number, so that single precision does not decide their order.
-                nodes = nodes[:, : 2 * top + 2]
-                found = near[:, : nodes.shape[1]] > -np.inf
-                rows, slots = np.nonzero(found)
-                score = cosines(wanted[rows], vectors[nodes[rows, slots]])
-                ids = part["vec_id"].to_numpy()
-                flat = pd.DataFrame({"query_id": np.repeat(ids[rows], top + 1), "vec_id": members[nodes[rows, slots]].ravel(), "score": np.repeat(score, top + 1)})
-                flat = flat[(flat["vec_id"] >= 0) & (flat["vec_id"] != flat["query_id"])]
-                flat = flat.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(top)
-                for name in out:
-                    out[name].append(flat[name].to_numpy())
-        return pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0, float if k == "score" else np.int64) for k, v in out.items()})
+def _search(index: dict, ids: np.ndarray, wanted: np.ndarray, top: int, beam: int) -> pd.DataFrame:
+    """The nearest members of one shard for each query of a block."""
+    vectors, unit, arcs, members = index["vectors"], index["unit"], index["arcs"].astype(np.int64), index["members"]
+    found = []
+    for at in range(0, len(ids), 256):
+        own, part = ids[at : at + 256], wanted[at : at + 256]
+        q = part / np.abs(part).max(axis=1, keepdims=True)
+        q = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
+        nodes, _ = beam_search(unit, arcs, int(index["start"]), q, beam)
+        # A few nodes beyond the wanted number, so that single precision does not decide their order.
+        nodes = nodes[:, : 2 * top + 2]
+        rows, slots = np.nonzero(nodes >= 0)
+        score = cosines(part[rows], vectors[nodes[rows, slots]])
+        flat = pd.DataFrame({"query_id": np.repeat(own[rows], top + 1), "vec_id": members[nodes[rows, slots]].ravel(), "score": np.repeat(score, top + 1)})
+        flat = flat[(flat["vec_id"] >= 0) & (flat["vec_id"] != flat["query_id"])]
+        found.append(flat.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(top))
+    return pd.concat(found)
+
+
+def _search_batches(folder: str, top: int, beam: int):
+    def load(name: str) -> dict:
+        system, path = open_fs(folder)
+        with system.open_input_file(f"{path}/{name}") as f:
+            return dict(np.load(io.BytesIO(f.read())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, index = None, {}
+        for batch in batches:
+            for graph, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if graph != last:
+                    last, index = graph, load(graph)
+                block = load(queries)
+                yield pa.RecordBatch.from_pandas(_search(index, block["ids"], block["vectors"], top, beam), preserve_index=False)
 
     return run
 
@@ -180,24 +267,30 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, shard: int = SHAR
     that are null, empty, all zero or hold a null or non-finite component, take no part. Of rows that repeat a vec_id,
     the smallest vector counts. Extra columns are ignored; an empty table gives an empty table.
 
-    Shards hold about ``shard`` vectors whatever their number, dealt by a hash of vec_id, so a group of equal vectors
-    is spread. Queries go to every shard in blocks: no task holds more than one shard's graph and one block.
+    Vectors are dealt to shards by a hash of vec_id, so a group of equal vectors is spread. Small tables have SPREAD
+    shards of ``shard`` vectors at most, so that all cores build; then shards grow, and only beyond LARGEST vectors
+    their number does. Every block of queries visits every shard: a task reads one graph and one block after another
+    from the shared folder, where each is written once, and no vector is shuffled more than once.
     """
     component = "embedding"
     fine = F.col(component).isNotNull() & F.forall(component, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine &= F.exists(component, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(component).cast("array<double>").alias(component))
     rows = rows.filter(F.col("vec_id").isNotNull() & fine).groupBy("vec_id").agg(F.min(component).alias(component)).withColumn("dim", F.size(component))
+    rows = stage(rows, "vectors")
     counts = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards, blocks = max(1, -(-counts[0] // shard)), max(1, -(-counts[1] // BLOCK))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    index = dealt.groupBy("dim", "shard").applyInPandas(
-        _index_group(top), "dim int, shard int, start int, nodes int, degree int, vectors binary, arcs binary, members binary"
-    )
-    index = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    shards = max(1, min(-(-counts[0] // shard), SPREAD), -(-counts[0] // LARGEST))
+    blocks = max(1, -(-counts[1] // BLOCK))
+    folder = f"{shared_dir(vectors.sparkSession)}/graphs"
+    # Explicit numbers of partitions: Spark would merge what is short in bytes but long in work.
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(4 * shards, "dim", "shard")
+    graphs = stage(dealt.groupBy("dim", "shard").applyInPandas(_index_group(top, folder), "dim int, graph string"), "graphs")
     asked = rows.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    keys = ["dim", "shard", "block"]
-    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search_group(top, beam), "query_id long, vec_id long, score double")
+    asked = stage(asked.groupBy("dim", "block").applyInPandas(_write_queries(folder), "dim int, queries string"), "queries")
+    # One short row for each visit, dealt evenly; those of a graph stay together.
+    visits = stage(graphs.join(asked, "dim").select("graph", "queries"), "visits")
+    number = visits.count()
+    visits = visits.repartitionByRange(max(1, min(number, VISITS), number // 16), "graph", "queries").sortWithinPartitions("graph")
+    found = visits.mapInArrow(_search_batches(folder, top, beam), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
