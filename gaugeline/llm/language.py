@@ -12,14 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_blocks
+from .shared import stage, text_blocks
 
 DIM, GRAMS, BITS = 4096, (1, 2, 3), 15
-#: Training sample: about so many texts in all, spread evenly over the languages, of which so many count.
-SAMPLE, MAX_LANGUAGES = 4000, 200
+#: Bounds of the training sample: so many texts in all, spread evenly over the languages, and where there are very many
+#: languages so many of each.
+SAMPLE, LEAST = 4000, 4
 STEPS, RATE, AMBIGUOUS = 150, 0.05, 0.2
 
 
@@ -58,11 +59,14 @@ def codebook(classes: int, bits: int = BITS) -> np.ndarray:
     rng = np.random.default_rng(9)
     bits = max(bits, 4 * int(np.ceil(np.log2(max(classes, 2)))))
     best, far = None, -1
-    for _ in range(300):
+    # Random words of such length hardly ever meet, so with many classes one draw will do.
+    for _ in range(max(1, min(300, 10**7 // classes**2))):
         book = np.where(rng.random((classes, bits)) < 0.5, -1, 1)
         flat = np.abs(book.sum(axis=0)) == classes
         if classes > 1:
             book[rng.integers(0, classes, bits)[flat], np.flatnonzero(flat)] *= -1
+        if classes > 3000:
+            return book
         gaps = (bits - book @ book.T) // 2 + bits * np.eye(classes, dtype=int)
         if gaps.min() > far:
             best, far = book, gaps.min()
@@ -80,7 +84,9 @@ class OutputCodes:
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language index, probability and whether the answer is ambiguous."""
         margin = 4 * np.tanh((x @ self.weights + self.bias) / 4)
-        loss = np.logaddexp(0, -self.book[None, :, :] * margin[:, None, :]) @ self.trust
+        # A bit costs a codeword the one of two losses that its sign selects.
+        up, down = np.logaddexp(0, -margin) * self.trust, np.logaddexp(0, margin) * self.trust
+        loss = up @ (self.book > 0).T + down @ (self.book < 0).T
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         p /= p.sum(axis=1, keepdims=True)
         top = np.sort(p, axis=1)
@@ -116,22 +122,30 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def train(docs: DataFrame, held_out) -> OutputCodes | None:
-    """Fit on a sample of documents with a language that are not held out, chosen by a hash of doc_id; at most
-    MAX_LANGUAGES languages, the most frequent ones, and about SAMPLE texts. None where there is no such document."""
+    """Fit on a sample of documents with a language that are not held out; None where there is no such document.
+
+    Every value of lang is learned: SAMPLE texts are spread evenly over the languages, and where that leaves less than
+    LEAST of each, LEAST of each are taken. The driver holds these as rows of 8 kB. A hash of doc_id and text draws a
+    few more than wanted, and the first of each language by that hash are taken, a repeated row once.
+    """
     rows = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return None
-    each = SAMPLE // len(counts)
-    part = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000
-    chosen = rows.filter(drawn).mapInArrow(_feature_batches, "doc_id long, lang string, x binary").orderBy("doc_id").limit(2 * SAMPLE).collect()
-    if not chosen:
+    counts = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")), "languages")
+    languages = counts.count()
+    if not languages:
         return None
+    each = max(SAMPLE // languages, LEAST)
+    drawn = each + 4 * each**0.5 + 10
+    rows = rows.join(counts, "lang").withColumn("draw", F.xxhash64("doc_id", "text"))
+    rows = rows.filter(F.pmod("draw", F.lit(1 << 40)) < F.lit(drawn * (1 << 40)) / F.col("texts"))
+    rows = rows.groupBy("lang", "draw", "doc_id").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    rows = rows.withColumn("first", first).filter(F.col("first") <= each).select("doc_id", "text", "lang")
+    chosen = rows.mapInArrow(_feature_batches, "doc_id long, lang string, x binary").orderBy("lang", "doc_id", "x").collect()
     names = sorted({r["lang"] for r in chosen})
+    of = {name: i for i, name in enumerate(names)}
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in chosen]).astype(np.float32)
-    return fit(x, np.array([names.index(r["lang"]) for r in chosen]), names)
+    return fit(x, np.array([of[r["lang"]] for r in chosen]), names)
 
 
 def _predict_batches(shared):
@@ -157,8 +171,8 @@ def identify(docs: DataFrame, mod: int = 3, left: int = 1) -> DataFrame:
 
     Predictions read the text only; languages are learned from documents that are not held out. lang_pred is ``und``
     with score 0 where the text is null or has no letter, or where nothing could be learned. Null doc_id is not held
-    out and never a training row. Rows that repeat a doc_id are predicted one by one. Extra columns are ignored; an
-    empty table gives an empty table.
+    out and never a training row. Rows that repeat a doc_id are predicted one by one. Texts of any length are read
+    whole, blocks of about 1 MB at a time. Extra columns are ignored; an empty table gives an empty table.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == left, F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(train(docs, held))
