@@ -24,7 +24,7 @@ BASE = ("email", "ip", "card", "phone")
 #: Kinds beyond the base ones: loosely written e-mail addresses, telephone numbers without a plus, account numbers, keys.
 KINDS = (*BASE, "email_text", "phone_local", "iban", "key")
 LABELERS = ("pattern", "gazetteer", "context", "checksum", "border")
-FEATURES = 6
+FEATURES = 8
 #: Span positions before which labelers look for words, and that far.
 REACH = 40
 
@@ -35,9 +35,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_TEXT = re.compile(r"\b[A-Za-z0-9._%+-]{1,64} (?:\(at\)|\[at\]|at) [A-Za-z0-9-]{1,63} (?:\(dot\)|\[dot\]|dot) [A-Za-z]{2,24}\b")
-_PHONE_LOCAL = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+_PHONE_LOCAL = re.compile(r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-_KEY = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])")
 _WORDS = {
     "email": re.compile(r"e-?mail|contact|write|address|kontakt|courriel|correo", re.I),
     "ip": re.compile(r"\bip\b|host|server|address|login|adresse", re.I),
@@ -46,8 +46,17 @@ _WORDS = {
     "iban": re.compile(r"iban|account|bank|konto|compte|cuenta", re.I),
     "key": re.compile(r"token|secret|key|password|auth|bearer", re.I),
 }
-_ENDINGS = (".com", ".org", ".net", ".edu", ".gov", ".de", ".fr", ".es", ".uk", ".io", ".info")
-_ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "22", "23", "24", "25", "26", "27")
+#: Gazetteers, fixed values: domain endings, issuers' first digits, calling codes, private networks, countries of
+#: account numbers, and how keys of common services begin.
+_ENDINGS = tuple(
+    "." + e
+    for e in "com org net edu gov mil int info biz name pro io co me tv app dev ai at au be bg br ca ch cl cn cz de dk ee es eu fi fr gr hk hr hu ie il in is it jp kr lt lu lv mx nl no nz pe pl pt ro rs ru se sg si sk tr tw ua uk us uy ve za".split()
+)
+_ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "644", "645", "646", "647", "648", "649", "65", "62", "30", "35", "36", "38", "22", "23", "24", "25", "26", "27")
+_CALLING = tuple("+" + c for c in "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 351 352 353 354 358 370 371 372 380 385 386 420 421".split())
+_PRIVATE = ("10.", "127.", "192.168.", "169.254.", *(f"172.{n}." for n in range(16, 32)))
+_COUNTRIES = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split())
+_KEYS = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|(?:sk|pk|rk|gh[opsur]|glpat|xox[abp])[_-].+|AKIA[0-9A-Z]{16}|AIza.{35}|eyJ.+)")
 
 
 def luhn(digits: str) -> bool:
@@ -111,11 +120,6 @@ def _more_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if kind == "key":
-                s = m.group()
-                digits = sum(c.isdigit() for c in s)
-                if not 4 <= digits < len(s):
-                    continue
             if any(a < y and x < b for x, y in used):
                 continue
             used.append((a, b))
@@ -150,27 +154,27 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
         gazetteer = 2 if span.lower().replace(" dot ", ".").replace("(dot)", ".").endswith(_ENDINGS) else 1
         checksum = 2 if span.count("@") == 1 else 1
     elif group == "ip":
-        gazetteer = 2 if span.startswith(("10.", "192.168.", "127.")) else 1
+        gazetteer = 2 if span.startswith(_PRIVATE) else 1
         checksum = 0 if any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 2
     elif group == "card":
         gazetteer = 2 if digits.startswith(_ISSUERS) else 0
         checksum = 2 if luhn(digits) else 0
     elif group == "phone":
-        gazetteer = 2 if span.startswith(("+1", "+3", "+4", "+5")) or "(" in span else 1
+        gazetteer = 2 if span.startswith(_CALLING) or "(" in span else 1
         checksum = 2 if 10 <= len(digits) <= 13 else 0
     elif group == "iban":
-        gazetteer = 2 if span[:2] in ("DE", "FR", "ES", "GB", "IT", "NL", "CH", "AT", "BE") else 1
+        gazetteer = 2 if span[:2] in _COUNTRIES else 1
         checksum = 2 if _mod97(span) else 0
     elif group == "key":
         mix = len(set(span)) / len(span)
-        gazetteer = 2 if re.fullmatch(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?:sk|pk|gh[pous])[_-].*)", span) else 1
+        gazetteer = 2 if _KEYS.fullmatch(span) else 1
         checksum = 2 if mix > 0.25 and len(digits) * 6 >= len(span) else 0
     left, right = text[a - 1 : a], text[b : b + 1]
     border = 0 if left.isalnum() or right.isalnum() else 2
     code = 0
     for v in (pattern, gazetteer, context, checksum, border):
         code = code * 3 + v
-    bits = (named is not None, border == 2, len(span) >= 20, len(digits) * 2 >= len(span), " " in span, left in "\"'=:<([")
+    bits = (named is not None, border == 2, len(span) >= 20, len(digits) * 2 >= len(span), " " in span, left in tuple("\"'=:<(["), digits != "", span != span.lower() and span != span.upper())
     return code, sum(1 << i for i, x in enumerate(bits) if x)
 
 
@@ -271,7 +275,7 @@ def find(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     Whole texts are searched; positions are code points, ends exclusive; null counts as empty and has no spans.
     spans lists base spans and those of the other kinds that the classifier accepts, by kind and start. Vote counts
-    cover all documents: there are at most 8 * 243 * 64 patterns, and only these counts reach the driver. Repeated
+    cover all documents: there are at most 8 * 243 * 256 patterns, and only these counts reach the driver. Repeated
     rows give repeated rows, a null doc_id stays, extra columns are ignored, an empty table gives an empty table.
     """
     more = carried(docs, carry)

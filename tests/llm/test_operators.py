@@ -77,10 +77,11 @@ def test_minhash(request, name):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_minhash_exact_comparison_joins_components(spark, monkeypatch, block):
-    # No leader settles anything, and with blocks of 3 buckets are divided by their rare shingles.
+@pytest.mark.parametrize("block, large", [(512, 8192), (3, 8192), (3, 3)])
+def test_minhash_exact_comparison_joins_components(spark, monkeypatch, block, large):
+    # No leader settles anything; in the last case buckets are divided by their rare shingles.
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LARGE", large)
     monkeypatch.setattr(minhash, "_confirmed", lambda pairs, sets, percent: pairs.select("a", "b").limit(0))
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -94,14 +95,22 @@ def test_minhash_exact_comparison_joins_components(spark, monkeypatch, block):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, shingle=4).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def groups_of(edges):
+    """Components as sets of nodes; each is named by one of them."""
+    found: dict = {}
+    for r in graph.components(edges).collect():
+        found.setdefault(r["comp"], set()).add(r["node"])
+    assert all(comp in nodes for comp, nodes in found.items())
+    return sorted(map(sorted, found.values()))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, i) for i in range(1001, 1200)]
     other = [(3000, 3000), (5, 5), (2001, 2000), (2000, 2001)]
     rows = spark.createDataFrame(chain + star + other, "a long, b long")
-    want = {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1200)} | {3000: 3000, 2000: 2000, 2001: 2000}
-    assert {r["node"]: r["comp"] for r in graph.components(rows).collect()} == want
-    assert graph.components(rows.limit(0)).count() == 0
+    assert groups_of(rows) == [list(range(301)), list(range(1000, 1200)), [2000, 2001]]
+    assert groups_of(rows.limit(0)) == []
 
 
 def test_components_read_edges_once(spark, tmp_path):
@@ -114,7 +123,7 @@ def test_components_read_edges_once(spark, tmp_path):
             yield batch.rename(columns={"a": "b", "b": "a"})[["a", "b"]] if again else batch
 
     edges = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (9, 8)], "a long, b long").coalesce(1).mapInPandas(turned, "a long, b long")
-    assert {r["node"]: r["comp"] for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+    assert groups_of(edges) == [[1, 2, 3, 4], [8, 9]]
 
 
 def test_minhash_block_links_in_any_row_order():
@@ -152,7 +161,7 @@ def brute_removal(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("name, most", [("odd", 200_000), ("docs", 200_000), ("docs", 1)])
+@pytest.mark.parametrize("name, most", [("odd", 1 << 26), ("docs", 1 << 26), ("docs", 1)])
 def test_suffix(request, name, most):
     df = request.getfixturevalue(name)
     want = brute_removal(texts_of(df))
@@ -160,6 +169,49 @@ def test_suffix(request, name, most):
         assert tuple(r)[1:] == want[r["doc_id"]], r["doc_id"]
 
 
+def test_suffix_repeated_ids_and_rows(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    a, x, y = ("".join(RNG.choices(letters, k=800)) for _ in range(3))
+    y = y[:100] + a[200:500] + y[100:]
+    rows = [(1, a), (2, x), (2, y), (3, "z" + y[-200:]), (3, "z" + y[-200:]), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(df, 100).collect())
+    assert got == [(0, 800, 0, 0), (1, 800, 0, 0), (2, 800, 0, 0), (2, 1100, 300, 1), (3, 201, 200, 1), (3, 201, 200, 1)]
+    alone = spark.createDataFrame([(7, x), (7, x), (8, y)], "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["n_removed"]) for r in suffix.remove_repeats(alone, 100).collect()} == {(7, 0), (8, 0)}
+
+
+def test_suffix_factors_against_brute_force():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, 400, dtype=np.uint8)
+    length = 6
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length))
+    texts = [w.tobytes() for w in windows]
+    match = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), length)
+    want = [max((match(t, u) for u in texts[:i]), default=0) for i, t in enumerate(texts)]
+    got = suffix.previous_factors(windows, length)
+    assert [(g, g) if g == length else g < length for g in got] == [(w, w) if w == length else True for w in want]
+
+
+def test_suffix_chunks_are_bounded_by_bytes(spark, monkeypatch):
+    seen, solve = [], suffix.repeated_suffixes
+    monkeypatch.setattr(suffix, "repeated_suffixes", lambda *a: seen.append(int((np.diff(a[4]) - a[5] + 1).sum()) * a[5]) or solve(*a))
+    passage = "".join(RNG.choices("abcdefgh ", k=150))
+    rows = [(i, "".join(RNG.choices("ijklmnop ", k=150)) + passage[i % 7 : 120 + i % 11] + "".join(RNG.choices("qrstuv ", k=150))) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_removal(rows)
+    assert all(tuple(r)[1:] == want[r["doc_id"]] for r in suffix.remove_repeats(table, 100).collect())
+    run = suffix._suffix_batches(100, 50_000)
+    import pyarrow as pa
+
+    size = np.full(2000, 150, np.int32)
+    batch = pa.RecordBatch.from_pydict(
+        {"gram": np.repeat(np.arange(500), 4), "doc_id": np.arange(2000), "row": np.arange(2000), "start": np.zeros(2000, np.int32), "size": size,
+         "bytes": pa.array([bytes(RNG.choices(b"abc", k=150)) for _ in range(2000)], pa.binary())}
+    )
+    assert sum(b.num_rows for b in run([batch])) >= 0 and max(seen[-10:]) < 100_000 and len(seen) > 50
+
+
 def test_bpe_matches_library(spark, odd, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -220,16 +272,63 @@ def test_bpe_long_and_colliding_words(monkeypatch):
     assert [x.tolist() for x in encoder.encode(texts)] == want
 
 
-def test_pii_base_spans_match_patterns():
-    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
+
+def brute_spans(t):
     def ok(kind, s):
         d = re.sub("[^0-9]", "", s)
         return kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in s.split("."))) or (kind == "card" and 13 <= len(d) <= 19 and pii.luhn(d)) or (kind == "phone" and 9 <= len(d) <= 15)
 
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, t) if ok(k, m[0])]
+
+
+def test_pii_base_spans_match_patterns():
     for _ in range(20000):
         t = "".join(RNG.choice("aA1209..@@+- ()%_x5") for _ in range(RNG.randint(0, 50)))
-        assert sorted(pii.base_spans(t)) == sorted((k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, t) if ok(k, m[0]))
+        assert sorted(pii.base_spans(t)) == sorted(brute_spans(t))
+
+
+@pytest.mark.parametrize("name", ["odd", "docs"])
+def test_pii_columns_against_brute_force(request, name):
+    df = request.getfixturevalue(name)
+    texts = dict(texts_of(df))
+    for r in pii.find(df).collect():
+        want = brute_spans(texts[r["doc_id"]] or "")
+        said = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(w[0] == k for w in want) for k in PATTERNS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert spans[: len(said)] == said and all(s.split(":")[0] in pii.KINDS[4:] for s in spans[len(said) :])
+
+
+def test_pii_model_refuses_proposals(spark):
+    words = ["averylonglowercaseword", "donaudampfschifffahrt", "incomprehensibilities"]
+    rows = [(i, f"some {words[i % 3]} here and 9807915762804491 there") for i in range(300)]
+    rows += [(1000 + i, f'the token = "{hashlib.sha1(str(i).encode()).hexdigest()}" of it') for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    proposed = [s for _, t in rows for s in pii._more_spans(t, pii.base_spans(t))]
+    assert len(proposed) == 660 and all(found[i] == "" for i in range(300))
+    assert all(found[1000 + i] == "key:13:53" for i in range(60))
+
+
+def test_pii_reliabilities_are_recovered():
+    rng = np.random.default_rng(6)
+    right = np.array([[[0.8, 0.15, 0.05], [0.1, 0.2, 0.7]], [[0.3, 0.6, 0.1], [0.05, 0.5, 0.45]], [[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]], [[0.9, 0.05, 0.05], [0.15, 0.05, 0.8]], [[0.5, 0.3, 0.2], [0.2, 0.3, 0.5]]])
+    share = {4: 0.2, 7: 0.6}
+    counts: dict = {}
+    for kind, p in share.items():
+        for truth in (rng.random(40000) < p).astype(int):
+            vote = 0
+            for table in right:
+                vote = vote * 3 + int(rng.choice(3, p=table[truth]))
+            counts[kind, vote] = counts.get((kind, vote), 0) + 1
+    table, post = pii.reliabilities(counts, 200)
+    assert np.abs(table - right).max() < 0.03
+    for kind, p in share.items():
+        rows = [(counts[k], q) for k, q in post.items() if k[0] == kind]
+        assert abs(sum(n * q for n, q in rows) / sum(n for n, _ in rows) - p) < 0.03
 
 
 def test_pii_rows_and_redaction(odd):
@@ -239,39 +338,52 @@ def test_pii_rows_and_redaction(odd):
     assert text == "mail <email> at <ip>, <phone>"
 
 
-def test_mixing(spark, odd, docs):
+def check_targets(df, rows):
+    assert len(rows) == df.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    sizes, taken, goal = {}, {}, {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        goal[r["source"]] = r["target"]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    stopped, want = set(), {}
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in stopped)
+        level = left / (sum(weight[s] for s in order if s not in stopped) or 1)
+        want = {s: 2 * sizes[s] if s in stopped else level * weight[s] for s in order}
+        over = {s for s in order if want[s] > 2 * sizes[s] + 1e-9}
+        if not over:
+            break
+        stopped |= over
+    assert all(abs(want[s] - goal[s]) < 1e-6 for s in order)
+    assert all(abs(taken[s] - goal[s]) <= len(order) + 1 for s in order)
+
+
+def test_mixing(odd, docs):
     for df in (odd, docs):
-        rows = mixing.mix(df).collect()
-        assert len(rows) == df.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
-        sizes, taken, goal = {}, {}, {}
-        for r in rows:
-            sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
-            taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
-            goal[r["source"]] = r["target"]
-        order = sorted(sizes, key=lambda s: (s is None, s or ""))
-        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
-        stopped, want = set(), {}
-        while True:
-            left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in stopped)
-            level = left / (sum(weight[s] for s in order if s not in stopped) or 1)
-            want = {s: 2 * sizes[s] if s in stopped else level * weight[s] for s in order}
-            over = {s for s in order if want[s] > 2 * sizes[s] + 1e-9}
-            if not over:
-                break
-            stopped |= over
-        assert all(abs(want[s] - goal[s]) < 1e-6 for s in order)
-        assert all(abs(taken[s] - goal[s]) <= len(order) + 1 for s in order)
+        check_targets(df, mixing.mix(df).collect())
 
 
 def test_mixing_spreads_a_source_far_above_its_target(spark, monkeypatch):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"))
     d = d.withColumn("source", F.when(F.col("doc_id") < 1000, "a").when(F.col("doc_id") < 2000, "b").otherwise("c"))
     seen, running = [], mixing._running
-    monkeypatch.setattr(mixing, "_running", lambda df, keys, bucket, *rest: seen.append((df, bucket)) or running(df, keys, bucket, *rest))
+    monkeypatch.setattr(mixing, "PART_ROWS", 50)
+    monkeypatch.setattr(mixing, "_running", lambda df, *rest: seen.append(df.groupBy("_part").count().collect()) or running(df, *rest))
     got = mixing.mix(d, weights=(8.0, 7.0, 1.0)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert all(r["taken"] == round(r["target"]) for r in got) and len(got) == 3
-    ranges = [r["count"] for df, bucket in seen if bucket == "_range" for r in df.groupBy(bucket).count().collect()]
-    assert max(ranges) < 100
+    assert max(r["count"] for parts in seen for r in parts) < 200 and max(map(len, seen)) > 40
+
+
+def test_mixing_many_sources_and_repeated_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 100)
+    d = spark.range(1500).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 1 + cast(id % 7 as int))").alias("text"))
+    d = d.withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("s"), F.col("doc_id").cast("string"))))
+    check_targets(d, mixing.mix(d).collect())
+    once = {tuple(r) for r in mixing.mix(d).collect()}
+    monkeypatch.setattr(mixing, "PART_ROWS", 37)
+    assert {tuple(r) for r in mixing.mix(d.repartition(5)).collect()} == once
 
 
 def test_media_round_trip(odd):
