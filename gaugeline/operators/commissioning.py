@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import ACTIONS, channel_key, in_force, labels
@@ -31,10 +31,10 @@ def divergences(descriptors: DataFrame, mapping: DataFrame, at) -> DataFrame:
     or unit claims nothing. Ordered by channel text, then kind.
     """
     d = declared_channels(descriptors).select("id_do_dispositivo", "modulo", "canal", F.col("grandeza").alias("dg"), F.col("unidade").alias("du"), F.lit(True).alias("declarado_"))
-    devices = descriptors.filter(F.size("descritor_da_origem.canais") > 0).select("id_do_dispositivo")
     m = configured_at(mapping, at).select(F.col("dispositivo").alias("id_do_dispositivo"), "modulo", "canal", "ponto", F.col("grandeza").alias("cg"), F.col("unidade").alias("cu"))
-    m = m.join(devices, "id_do_dispositivo", "left_semi")
     both = d.join(m, ["id_do_dispositivo", "modulo", "canal"], "full_outer")
+    # Devices without a declared channel drop out here, so that the descriptors are read once.
+    both = both.withColumn("_said", F.max("declarado_").over(Window.partitionBy("id_do_dispositivo"))).filter("_said")
     kind = (
         F.when(F.col("ponto").isNull(), 1)
         .when(F.col("declarado_").isNull(), 2)

@@ -2,31 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def deduplicate(rows: DataFrame) -> DataFrame:
-    """One row per idempotency key: the one with the smallest id, also inside a batch."""
-    first = Window.partitionBy("chave_de_idempotencia").orderBy("id")
+SESSION = ["id_do_dispositivo", "id_da_sessao_de_boot"]
+
+
+def deduplicate(rows: DataFrame, by_session: bool = False) -> DataFrame:
+    """One row per idempotency key, which is device, session and sequence: the one with the smallest id, also inside a
+    batch. With ``by_session`` a session's rows come to one task, for what groups by session next and then needs no
+    further shuffle; without it, a session with very many rows is spread."""
+    if by_session:
+        rows = rows.repartition(*SESSION)
+    first = Window.partitionBy(*SESSION, "numero_de_sequencia").orderBy("id")
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def not_yet_written(batch: DataFrame, journal: DataFrame) -> DataFrame:
     """Rows of a deduplicated batch whose key the journal does not hold. Only sessions present in the batch are read."""
-    sessions = batch.select("id_do_dispositivo", "id_da_sessao_de_boot").distinct()
-    known = journal.join(sessions, ["id_do_dispositivo", "id_da_sessao_de_boot"], "left_semi").select("chave_de_idempotencia")
+    sessions = batch.select(*SESSION).distinct()
+    known = journal.join(sessions, SESSION, "left_semi").select("chave_de_idempotencia")
     return batch.join(known, "chave_de_idempotencia", "left_anti")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder, on any file system that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Append to the journal table, one folder per day of observation."""
     rows.withColumn("dt", F.to_date("instante_observado")).write.mode("append").partitionBy("dt").parquet(path)
 
 
+def read(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The journal table; with days, only their folders are read."""
+    rows = spark.read.parquet(path)
+    rows = rows if since is None else rows.filter(F.col("dt") >= F.lit(since).cast("date"))
+    return rows if until is None else rows.filter(F.col("dt") <= F.lit(until).cast("date"))
+
+
+def read_days(new: DataFrame, path: str, days_before: int = 0) -> DataFrame | None:
+    """What a table with a folder per day holds of the days of ``new`` (its column dt), and so many before; None before
+    the first write or without rows."""
+    if not exists(new.sparkSession, path):
+        return None
+    span = new.agg(F.min("dt"), F.max("dt")).first()
+    if span[0] is None:
+        return None
+    return read(new.sparkSession, path, str(span[0] - timedelta(days=days_before)), str(span[1]))
+
+
 def acknowledge(rows: DataFrame) -> DataFrame:
     """Per shipment: the highest sequence including duplicates, rows written and rows that were duplicates."""
-    first = Window.partitionBy("chave_de_idempotencia").orderBy("id")
+    first = Window.partitionBy(*SESSION, "numero_de_sequencia").orderBy("id")
     marked = rows.withColumn("_new", F.row_number().over(first) == 1)
     return marked.groupBy("shipment_id").agg(
         F.max("numero_de_sequencia").alias("duravel_ate"), F.count_if("_new").alias("gravados"), F.count_if(~F.col("_new")).alias("duplicados")
@@ -68,3 +101,15 @@ def prune(journal: DataFrame, cursors: DataFrame, before) -> DataFrame:
     safe = cursors.agg(F.coalesce(F.min("ultimo_id_projetado"), F.lit(0)).alias("_safe"))
     gone = (F.col("id") <= F.col("_safe")) & (F.col("instante_observado") < F.lit(before).cast("timestamp"))
     return journal.join(F.broadcast(safe)).filter(~gone).drop("_safe")  # one row by construction
+
+
+def prune_days(spark: SparkSession, path: str, cursors: DataFrame, before: str) -> list[str]:
+    """Delete whole days of the journal table: those before ``before`` whose records every consumer has passed. Other
+    rows stay as they are. Returns the days deleted; only ids and counts of days reach the driver."""
+    safe = cursors.agg(F.coalesce(F.min("ultimo_id_projetado"), F.lit(0))).first()[0]
+    days = read(spark, path).filter(F.col("dt") < F.lit(before).cast("date")).groupBy("dt").agg(F.max("id").alias("last")).filter(F.col("last") <= safe)
+    gone = sorted(str(r["dt"]) for r in days.select("dt").collect())
+    for day in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={day}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return gone

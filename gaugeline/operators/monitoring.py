@@ -31,6 +31,21 @@ def silent_minutes(readings: DataFrame) -> DataFrame:
     return spine.join(counts, ["id_do_dispositivo", "minuto"], "left").withColumn("registros", F.coalesce("registros", F.lit(0)))
 
 
+def silent_hours(readings: DataFrame) -> DataFrame:
+    """Every device and hour between its first and last minute with rows: minutes of the hour in that span, silent ones,
+    and rows. Silent minutes are what is left of the span, so no row is made for one."""
+    minutes = records_per_minute(readings)
+    hour = F.date_trunc("hour", "minuto").alias("hora")
+    full = minutes.groupBy("id_do_dispositivo", hour).agg(F.count(F.lit(1)).alias("_full"), F.sum("registros").alias("registros"))
+    span = minutes.groupBy("id_do_dispositivo").agg(F.min("minuto").alias("_a"), F.max("minuto").alias("_z"))
+    hours = F.explode(F.sequence(F.date_trunc("hour", "_a"), F.date_trunc("hour", "_z"), F.expr("INTERVAL 1 HOUR"))).alias("hora")
+    spine = span.select("id_do_dispositivo", "_a", "_z", hours)
+    last = F.least(F.col("_z"), F.col("hora") + F.expr("INTERVAL 59 MINUTES"))
+    count = ((F.unix_seconds(last) - F.unix_seconds(F.greatest("_a", "hora"))) / 60).cast("long") + 1
+    rows = spine.join(full, ["id_do_dispositivo", "hora"], "left").withColumn("minutos", count)
+    return rows.select("id_do_dispositivo", "hora", "minutos", (F.col("minutos") - F.coalesce("_full", F.lit(0))).alias("silenciosos"), F.coalesce("registros", F.lit(0)).alias("registros"))
+
+
 def silent_stretches(readings: DataFrame) -> DataFrame:
     """Runs of minutes without rows between two minutes with rows of a device: found from the counted minutes alone, so
     no row is made for a silent one."""
@@ -122,8 +137,15 @@ def fragmentation(readings: DataFrame) -> DataFrame:
     return rows.withColumn("razao", F.when(F.col("livre") > 0, F.col("maior_bloco") / F.col("livre")))
 
 
+def last_samples(addressed: DataFrame) -> DataFrame:
+    """The last instant of each channel in journal records with an address (modulo, canal)."""
+    rows = addressed.filter("modulo IS NOT NULL").groupBy("id_do_dispositivo", "modulo", "canal")
+    return rows.agg(F.max("instante_observado").alias("ultimo"))
+
+
 def mute_channels(declared: DataFrame, last_samples: DataFrame, now, periods: int = 3) -> DataFrame:
-    """Declared channels (id_do_dispositivo, modulo, canal, periodo_ms) silent for more than so many periods."""
+    """Declared channels (id_do_dispositivo, modulo, canal, periodo_ms) silent for more than so many periods. A channel
+    without samples is mute; one that declares no period, 0, claims nothing."""
     rows = declared.join(last_samples, ["id_do_dispositivo", "modulo", "canal"], "left")
     age = F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis("ultimo")
-    return rows.withColumn("mudo", F.coalesce(age > periods * F.col("periodo_ms"), F.lit(True)))
+    return rows.withColumn("mudo", (F.col("periodo_ms") > 0) & F.coalesce(age > periods * F.col("periodo_ms"), F.lit(True)))

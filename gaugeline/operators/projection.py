@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import CATALOG, COMMON, in_force, out_of_range, struct_of
+from ..sources.wire import decode_contents
+from .journal import read_days
 
 DERIVED = ("instante_estimado", "id_do_ponto_de_medicao", "grandeza", "unidade", "fora_de_faixa", "rotulo_do_motivo")
+#: The stop-reason catalogue comes from one file of 4 MiB at most; a table of so many rows is broadcast, no larger one.
+BROADCAST_REASONS = 100_000
 ROW_KEY = ["id_do_dispositivo", "id_da_sessao_de_boot", "numero_de_sequencia", "nome_do_campo", "instante_observado"]
 
 
@@ -52,7 +56,13 @@ def enrich(resolved: DataFrame, reasons: DataFrame, strict_null_range: bool = Fa
     code = F.when(F.col("id_do_ponto_de_medicao").isNotNull(), F.col("mudanca_de_estado_de_maquina.codigo_do_motivo"))
     known = reasons.select(F.col("codigo").alias("_codigo"), F.col("rotulo").alias("rotulo_do_motivo"))
     rows = resolved.withColumn("fora_de_faixa", flag).withColumn("_motivo", F.when(code != 0, code))
-    joined = rows.join(known, F.col("_motivo") == F.col("_codigo"), "left")
+    on = F.col("_motivo") == F.col("_codigo")
+    if known.limit(BROADCAST_REASONS + 1).count() <= BROADCAST_REASONS:
+        joined = rows.join(F.broadcast(known), on, "left")
+    else:
+        # Only records with a reason move: the others share a null key and would meet in one task.
+        rest = rows.filter("_motivo IS NULL").select("*", F.lit(None).cast("long").alias("_codigo"), F.lit(None).cast("string").alias("rotulo_do_motivo"))
+        joined = rows.filter("_motivo IS NOT NULL").join(known, on, "left").unionByName(rest)
     return joined.withColumn("motivo_desconhecido", F.col("_motivo").isNotNull() & F.col("_codigo").isNull()).drop("_motivo", "_codigo")
 
 
@@ -67,8 +77,8 @@ def split_decodable(journal: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("motivo IS NULL").drop("motivo"), marked.filter("motivo IS NOT NULL")
 
 
-def _entries():
-    """An array of (field, three typed values) for a record, by its content."""
+def _entries(fields: tuple[str, ...] = ()):
+    """An array of (field, three typed values) for a record, by its content; with ``fields`` only those."""
     def entry(name: str, kind: str, value) -> Column:
         return F.struct(
             F.lit(name).alias("nome_do_campo"),
@@ -82,18 +92,22 @@ def _entries():
         at = struct_of(c)
         items = [entry(n, "n", F.coalesce(at("{c}." + p), F.lit(0))) for n, p in (("module_index", "modulo"), ("channel_index", "canal"))] if c.addressed else []
         items += [entry(n, k, at(sql)) for n, k, sql in c.fields]
+        names = [*(("module_index", "channel_index") if c.addressed else ()), *(n for n, _, _ in c.fields)]
+        items = [i for n, i in zip(names, items) if not fields or n in fields]
+        if not items:
+            continue
         array = F.array(*items)
-        if any(n == "asserted_batch_id" for n, _, _ in c.fields):
+        if "asserted_batch_id" in names and (not fields or "asserted_batch_id" in fields):
             array = F.filter(array, lambda x: (x["nome_do_campo"] != "asserted_batch_id") | x["valor_texto"].isNotNull())
         out = F.when(F.col(c.name).isNotNull(), array) if out is None else out.when(F.col(c.name).isNotNull(), array)
     return out
 
 
-def unpivot(enriched: DataFrame) -> DataFrame:
+def unpivot(enriched: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
     """One row per projected field with exactly one of three value columns set. Badges are never projected."""
     extra = [c for c in DERIVED if c in enriched.columns]
     keep = [c for c in COMMON if c in enriched.columns]
-    return enriched.select(*keep, *extra, F.inline(_entries()))
+    return enriched.select(*keep, *extra, F.inline(_entries(fields)))
 
 
 def field_map(journal: DataFrame) -> DataFrame:
@@ -102,16 +116,29 @@ def field_map(journal: DataFrame) -> DataFrame:
     return journal.select(*[c for c in COMMON if c in journal.columns], F.map_from_entries(text).alias("campos"))
 
 
-def project(journal: DataFrame, mapping: DataFrame, reasons: DataFrame, strict_null_range: bool = False) -> DataFrame:
-    """Journal to readings; joins run once per record, before the rows multiply."""
+def project(journal: DataFrame, mapping: DataFrame, reasons: DataFrame, strict_null_range: bool = False, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Journal to readings; joins run once per record, before the rows multiply. With ``fields`` only readings of those
+    are made, and records of contents without any of them are left out before the joins."""
     ok, _ = split_decodable(journal)
-    return unpivot(enrich(resolve(with_address(ok), mapping), reasons, strict_null_range))
+    if fields:
+        own = [c.name for c in CATALOG.by_name.values() if {n for n, _, _ in c.fields} & {*fields} or (c.addressed and {*fields} & {"module_index", "channel_index"})]
+        ok = ok.filter(F.col("tipo_de_conteudo").isin(*own))
+    return unpivot(enrich(resolve(with_address(ok), mapping), reasons, strict_null_range), fields)
 
 
-def write_readings(rows: DataFrame, path: str, known: DataFrame | None = None) -> None:
-    """Append readings that the table does not hold yet, one folder per day; only the days at hand are compared."""
+def reprocess(quarantine: DataFrame, mapping: DataFrame, reasons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decode quarantined records again from their raw bytes: the readings of those that can be decoded now, and the
+    records that stay, each with its reason."""
+    again = decode_contents(quarantine.drop("motivo"))
+    _, rest = split_decodable(again)
+    return project(again, mapping, reasons), rest
+
+
+def write_readings(rows: DataFrame, path: str) -> None:
+    """Append readings that the table does not hold yet, one folder per day. Only the days at hand are read back, so a
+    repeated write changes nothing."""
     new = rows.withColumn("dt", F.to_date("instante_observado")).dropDuplicates(ROW_KEY)
+    known = read_days(new, path)
     if known is not None:
-        days = new.select("dt").distinct()
-        new = new.join(known.join(days, "dt", "left_semi").select(*ROW_KEY), ROW_KEY, "left_anti")
+        new = new.join(known.select(*ROW_KEY), ROW_KEY, "left_anti")
     new.write.mode("append").partitionBy("dt").parquet(path)

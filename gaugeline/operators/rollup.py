@@ -43,3 +43,16 @@ def time_in_state(states: DataFrame, subject: str) -> DataFrame:
     w = Window.partitionBy(subject).orderBy("instante_observado", "id_da_sessao_de_boot", "numero_de_sequencia")
     rows = states.withColumn("_until", F.lead("instante_observado").over(w)).filter("_until IS NOT NULL")
     return rows.groupBy(subject, "estado").agg(F.sum(F.unix_millis("_until") - F.unix_millis("instante_observado")).alias("duracao_ms"), F.count(F.lit(1)).alias("intervalos"))
+
+
+def time_in_state_bucketed(states: DataFrame, subject: str) -> DataFrame:
+    """The same times for subjects with too many transitions for one task: inside days, then the last transition of each
+    day until the first of the next day with any."""
+    order = ["instante_observado", "id_da_sessao_de_boot", "numero_de_sequencia"]
+    days = states.withColumn("_dia", F.to_date("instante_observado"))
+    inner = Window.partitionBy(subject, "_dia").orderBy(*order)
+    rows = days.withColumn("_until", F.lead("instante_observado").over(inner))
+    firsts = days.groupBy(subject, "_dia").agg(F.min("instante_observado").alias("_first"))
+    following = firsts.select(subject, "_dia", F.lead("_first").over(Window.partitionBy(subject).orderBy("_dia")).alias("_next"))
+    rows = rows.join(following, [subject, "_dia"]).withColumn("_until", F.coalesce("_until", "_next")).filter("_until IS NOT NULL")
+    return rows.groupBy(subject, "estado").agg(F.sum(F.unix_millis("_until") - F.unix_millis("instante_observado")).alias("duracao_ms"), F.count(F.lit(1)).alias("intervalos"))

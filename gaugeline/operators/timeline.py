@@ -65,3 +65,16 @@ def transitions(rows: DataFrame, keys: list[str], value: str, order: list[str])
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_b", before).withColumn("_n", first).filter((F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_b"))).drop("_b", "_n")
+
+
+def transitions_bucketed(rows: DataFrame, keys: list[str], value: str, order: str, width: int = 1_000_000) -> DataFrame:
+    """The same transitions, by a whole number ``order`` that no two rows of a key share, for keys with too many rows for
+    one task: inside buckets of ``order``, then each bucket's first row against the last value before it."""
+    rows = rows.withColumn("_bucket", F.expr(f"{order} div {width}"))
+    last = rows.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_bucket")
+    edges = last.select(*keys, "_bucket", F.lag("_last").over(across).alias("_edge"))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    here = rows.withColumn("_inner", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
+    found = here.join(edges, [*keys, "_bucket"]).withColumn("_before", F.coalesce("_inner", "_edge"))
+    return found.filter(F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.v"))).drop("_bucket", "_inner", "_edge", "_before")

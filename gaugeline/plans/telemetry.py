@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.catalog import CATALOG, policy
+from ..functions.catalog import ACTIONS, CATALOG, policy
 from ..operators import commissioning, journal, monitoring, projection, rollup, timeline, validate
 from ..sources import events as source
-from ..sources import wire
+from ..sources import legacy, wire
 
 NOW = "2024-02-01 00:00:00"
 
@@ -19,12 +19,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _journal(e: DataFrame) -> DataFrame:
-    return journal.deduplicate(source.deliveries(e))
+def _journal(e: DataFrame, by_session: bool = False) -> DataFrame:
+    return journal.deduplicate(source.deliveries(e), by_session)
 
 
-def _readings(e: DataFrame) -> DataFrame:
-    return projection.project(_journal(e), source.mapping(e), source.reasons(e))
+def _readings(e: DataFrame, *fields: str) -> DataFrame:
+    return projection.project(_journal(e), source.mapping(e), source.reasons(e), fields=fields)
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def a3(e):
 
 @_query("a4_discarded", "SELECT dev AS id_do_dispositivo, max(num) AS descartados FROM leitura WHERE campo = 'discarded_record_count' GROUP BY 1")
 def a4(e):
-    return monitoring.discarded(_readings(e))
+    return monitoring.discarded(_readings(e, "discarded_record_count"))
 
 
 _GAPS = """max(CASE WHEN campo = 'lost_record_count' THEN num END) AS perdidos, max(CASE WHEN campo = 'first_lost_sequence' THEN num END) AS da_sequencia,
@@ -173,7 +173,7 @@ _GAPS = """max(CASE WHEN campo = 'lost_record_count' THEN num END) AS perdidos,
 
 @_query("a5_admitted_gaps", f"SELECT obs AS instante_observado, dev AS id_do_dispositivo, {_GAPS} GROUP BY 1, 2 ORDER BY 1 DESC, 2 LIMIT 50")
 def a5(e):
-    return monitoring.admitted_gaps(_readings(e))
+    return monitoring.admitted_gaps(_readings(e, "lost_record_count", "first_lost_sequence", "last_lost_sequence"))
 
 
 @_query("a6_unconfigured", """SELECT dev AS id_do_dispositivo, s // 1000 AS milhar, max(CASE WHEN campo = 'module_index' THEN num END) AS modulo, max(CASE WHEN campo = 'channel_index' THEN num END) AS canal,
@@ -192,18 +192,18 @@ def a6b(e):
 @_query("a7_out_of_range", """SELECT ponto AS id_do_ponto_de_medicao, g AS grandeza, u AS unidade, count(*) AS ocorrencias, min(num) AS minimo_visto, max(num) AS maximo_visto FROM leitura
  WHERE fora AND campo = 'value' GROUP BY 1, 2, 3 ORDER BY ocorrencias DESC, 1 LIMIT 50""")
 def a7(e):
-    return monitoring.out_of_range_points(_readings(e))
+    return monitoring.out_of_range_points(_readings(e, "value"))
 
 
 @_query("a8_declared_sources", """SELECT dev AS id_do_dispositivo, max(CASE WHEN campo = 'firmware_version' THEN txt END) AS firmware, max(CASE WHEN campo = 'hardware_model' THEN txt END) AS hardware,
  max(CASE WHEN campo = 'channel_count' THEN num END) AS canais, max(obs) AS ultima FROM leitura WHERE tipo = 'descritor_da_origem' GROUP BY 1""")
 def a8(e):
-    return monitoring.declared_sources(_readings(e))
+    return monitoring.declared_sources(_readings(e, "firmware_version", "hardware_model", "channel_count"))
 
 
 @_query("a8_latest_sources", "SELECT dev AS id_do_dispositivo, arg_max('1.' || (k % 12), (obs, s)) AS firmware, 'hw-' || any_value(user_id % 3) AS hardware, CAST(any_value(CASE WHEN user_id % 7 = 0 THEN 3 ELSE 4 END) AS DOUBLE) AS canais, max(obs) AS ultima FROM j WHERE tipo = 'descritor_da_origem' GROUP BY 1")
 def a8b(e):
-    return monitoring.declared_sources(_readings(e), latest=True)
+    return monitoring.declared_sources(_readings(e, "firmware_version", "hardware_model", "channel_count"), latest=True)
 
 
 @_query("a9_journal_count", "SELECT classe AS classe_de_dado, count(*) AS registros FROM j GROUP BY 1")
@@ -233,13 +233,13 @@ def w2(e):
 
 @_query("w3_anchors", "SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, arg_min(up, id) AS ancora_ms, arg_min(obs, id) AS instante_da_ancora FROM j GROUP BY 1, 2")
 def w3(e):
-    return timeline.anchors(_journal(e))
+    return timeline.anchors(_journal(e, by_session=True))
 
 
 @_query("d1_estimated_instant", """, a AS (SELECT dev, ses, arg_min(up, id) AS a0, arg_min(obs, id) AS ao FROM j GROUP BY 1, 2)
 SELECT chave AS chave_de_idempotencia, CASE WHEN up >= a0 THEN epoch_us(ao) // 1000 + up - a0 END AS estimado_ms FROM j JOIN a USING (dev, ses)""")
 def d1(e):
-    rows = _journal(e)
+    rows = _journal(e, by_session=True)
     return timeline.estimate(rows, timeline.anchors(rows)).select("chave_de_idempotencia", F.unix_millis("instante_estimado").alias("estimado_ms"))
 
 
@@ -249,7 +249,7 @@ SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, b + 1 AS primeira,
 
 @_query("w4_sequence_gaps", _W4)
 def w4(e):
-    return timeline.sequence_gaps(_journal(e))
+    return timeline.sequence_gaps(_journal(e, by_session=True))
 
 
 @_query("w4_sequence_gaps_bucketed", _W4)
@@ -260,7 +260,7 @@ def w4b(e):
 @_query("w5_sampling_pauses", """, p AS (SELECT dev, ses, k % 2 AS m, k % 4 AS c, up - lag(up) OVER (PARTITION BY dev, ses, k % 2, k % 4 ORDER BY up, s) AS passo FROM j WHERE tipo = 'amostra_escalar')
 SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, CAST(m AS BIGINT) AS modulo, CAST(c AS BIGINT) AS canal, max(passo) AS maior_passo_ms, max(passo) > 10800000 AS alarme FROM p WHERE passo IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def w5(e):
-    return timeline.sampling_pauses(projection.with_address(_journal(e).filter("amostra_escalar IS NOT NULL")), 3_600_000)
+    return timeline.sampling_pauses(projection.with_address(_journal(e, by_session=True).filter("amostra_escalar IS NOT NULL")), 3_600_000)
 
 
 @_query("w6_bindings", "SELECT ponto, mdev AS dispositivo, CAST(mm AS BIGINT) AS modulo, CAST(cc AS BIGINT) AS canal, coalesce(de, TIMESTAMP '1970-01-01') AS desde, ate FROM map")
@@ -268,20 +268,32 @@ def w6(e):
     return commissioning.bindings(source.mapping(e))
 
 
-@_query("w7_transitions", """, t AS (SELECT *, k % 6 + 1 AS estado, lag(k % 6 + 1) OVER (PARTITION BY dev, k % 4 ORDER BY id) AS antes FROM j WHERE tipo = 'mudanca_de_estado_de_maquina')
-SELECT chave AS chave_de_idempotencia, CAST(estado AS INTEGER) AS estado FROM t WHERE antes IS NULL OR antes <> estado""")
+_W7 = """, t AS (SELECT *, k % 6 + 1 AS estado, lag(k % 6 + 1) OVER (PARTITION BY dev, k % 4 ORDER BY id) AS antes FROM j WHERE tipo = 'mudanca_de_estado_de_maquina')
+SELECT chave AS chave_de_idempotencia, CAST(estado AS INTEGER) AS estado FROM t WHERE antes IS NULL OR antes <> estado"""
+
+
+def _changes(e):
+    return projection.with_address(_journal(e).filter("mudanca_de_estado_de_maquina IS NOT NULL")).withColumn("estado", F.col("mudanca_de_estado_de_maquina.estado"))
+
+
+@_query("w7_transitions", _W7)
 def w7(e):
-    rows = projection.with_address(_journal(e).filter("mudanca_de_estado_de_maquina IS NOT NULL")).withColumn("estado", F.col("mudanca_de_estado_de_maquina.estado"))
-    return timeline.transitions(rows, ["id_do_dispositivo", "canal"], "estado", ["id"]).select("chave_de_idempotencia", F.col("estado").cast("int").alias("estado"))
+    return timeline.transitions(_changes(e), ["id_do_dispositivo", "canal"], "estado", ["id"]).select("chave_de_idempotencia", F.col("estado").cast("int").alias("estado"))
+
+
+@_query("w7_transitions_bucketed", _W7)
+def w7b(e):
+    return timeline.transitions_bucketed(_changes(e), ["id_do_dispositivo", "canal"], "estado", "id", 500).select("chave_de_idempotencia", F.col("estado").cast("int").alias("estado"))
 
 
 @_query("j5_commissioning", """, dm AS (SELECT * FROM map WHERE mdev IN (SELECT dev FROM dec) AND (de IS NULL OR de <= TIMESTAMP '2024-02-01') AND (ate IS NULL OR TIMESTAMP '2024-02-01' < ate)),
 b AS (SELECT coalesce(dev, mdev) AS dv, coalesce(m, mm) AS m, coalesce(c, cc) AS c, dg, du, g, u, ponto, CASE WHEN ponto IS NULL THEN 1 WHEN dev IS NULL THEN 2 WHEN dg <> g THEN 3 WHEN du <> u THEN 4 END AS n
  FROM dec FULL OUTER JOIN dm ON dev = mdev AND m = mm AND c = cc)
 SELECT dv AS id_do_dispositivo, dv || '@' || m || '/' || c AS canal_texto, ['unconfigured_channel', 'missing_channel', 'quantity_mismatch', 'unit_mismatch'][n] AS especie, ponto,
- CASE n WHEN 1 THEN dg || ' em ' || du WHEN 3 THEN dg WHEN 4 THEN du END AS declarado, CASE n WHEN 2 THEN g || ' em ' || u WHEN 3 THEN g WHEN 4 THEN u END AS esperado FROM b WHERE n IS NOT NULL""")
+ CASE n WHEN 1 THEN dg || ' em ' || du WHEN 3 THEN dg WHEN 4 THEN du END AS declarado, CASE n WHEN 2 THEN g || ' em ' || u WHEN 3 THEN g WHEN 4 THEN u END AS esperado, """ + "[" + ", ".join(f"'{t}'" for t in ACTIONS.values()) + "][n] AS acao FROM b WHERE n IS NOT NULL")
 def j5(e):
-    return commissioning.divergences(commissioning.latest_descriptors(_journal(e)), source.mapping(e), NOW).select("id_do_dispositivo", "canal_texto", "especie", "ponto", "declarado", "esperado")
+    rows = commissioning.divergences(commissioning.latest_descriptors(_journal(e)), source.mapping(e), NOW)
+    return rows.select("id_do_dispositivo", "canal_texto", "especie", "ponto", "declarado", "esperado", "acao")
 
 
 @_query("j6_overlaps", "SELECT DISTINCT ponto FROM map a WHERE EXISTS (SELECT 1 FROM map b WHERE a.mdev = b.mdev AND a.cc = b.cc AND a.de IS DISTINCT FROM b.de AND coalesce(a.de, TIMESTAMP '0001-01-01') < coalesce(b.ate, TIMESTAMP '9999-01-01') AND coalesce(b.de, TIMESTAMP '0001-01-01') < coalesce(a.ate, TIMESTAMP '9999-01-01'))")
@@ -289,6 +301,12 @@ def j6(e):
     return validate.overlaps(source.mapping(e), ["ponto"]).select("ponto").distinct()
 
 
+@_query("j6_overlaps_found", """ SELECT DISTINCT ponto FROM map WHERE cc = 0 AND CAST(substr(mdev, 5) AS INTEGER) % 6 = 0 AND CAST(substr(mdev, 5) AS INTEGER) % 34 <> 0""")
+def j6b(e):
+    rows = source.faulty_mapping(e).withColumn("ponto", F.ltrim("ponto", F.lit("-")))
+    return validate.overlaps(rows, ["ponto"]).select("ponto").distinct()
+
+
 @_query("c1_draft_mapping", """SELECT dev AS id_do_dispositivo, CAST(m AS BIGINT) AS modulo, CAST(c AS BIGINT) AS canal, coalesce(ponto, 'AJUSTAR-' || dev || '-canal-' || c) AS ponto, dg AS grandeza, du AS unidade FROM dec
  LEFT JOIN map ON dev = mdev AND m = mm AND c = cc AND (de IS NULL OR de <= TIMESTAMP '2024-02-01') AND (ate IS NULL OR TIMESTAMP '2024-02-01' < ate)""")
 def c1(e):
@@ -307,22 +325,22 @@ def o2(e):
 
 @_query("o4_value_series", "SELECT obs AS instante_observado, ponto || ' (' || coalesce(u, '?') || ')' AS serie, num AS valor FROM leitura WHERE campo = 'value' AND ponto IS NOT NULL AND obs BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
 def o4(e):
-    return monitoring.value_series(monitoring.between(_readings(e), "2024-01-05", "2024-01-20"))
+    return monitoring.value_series(monitoring.between(_readings(e, "value"), "2024-01-05", "2024-01-20"))
 
 
 @_query("o5_state_changes", "SELECT obs AS instante_observado, coalesce(ponto, dev) AS ponto, txt AS estado, rotulo AS motivo FROM leitura WHERE campo = 'machine_state' ORDER BY obs DESC, dev, ses, s LIMIT 200")
 def o5(e):
-    return monitoring.state_changes(_readings(e))
+    return monitoring.state_changes(_readings(e, "machine_state"))
 
 
 @_query("o6_count_series", "SELECT obs AS instante_observado, coalesce(ponto, dev) AS serie, num AS valor FROM leitura WHERE campo = 'accumulated_count'")
 def o6(e):
-    return monitoring.count_series(_readings(e))
+    return monitoring.count_series(_readings(e, "accumulated_count"))
 
 
 @_query("o7_memory_series", "SELECT obs AS instante_observado, dev || ' — ' || CASE campo WHEN 'heap_free_bytes' THEN 'livre total' ELSE 'maior bloco' END AS serie, num AS valor FROM leitura WHERE campo IN ('heap_free_bytes', 'heap_largest_free_block_bytes')")
 def o7(e):
-    return monitoring.memory_series(_readings(e))
+    return monitoring.memory_series(_readings(e, "heap_free_bytes", "heap_largest_free_block_bytes"))
 
 
 @_query("t8_prune", "SELECT id FROM j WHERE NOT (id <= 5000 AND obs < TIMESTAMP '2024-01-20')")
@@ -361,10 +379,7 @@ sp AS (SELECT dev, unnest(generate_series(min(minuto), max(minuto), INTERVAL 1 M
 SELECT sp.dev AS id_do_dispositivo, date_trunc('hour', sp.minuto)::TIMESTAMP AS hora, count(*) AS minutos, count(*) FILTER (n IS NULL) AS silenciosos, CAST(coalesce(sum(n), 0) AS BIGINT) AS registros
 FROM sp LEFT JOIN c USING (dev, minuto) GROUP BY 1, 2""")
 def d6(e):
-    hour = F.date_trunc("hour", "minuto").alias("hora")
-    return monitoring.silent_minutes(_readings(e)).groupBy("id_do_dispositivo", hour).agg(
-        F.count(F.lit(1)).alias("minutos"), F.count_if(F.col("registros") == 0).alias("silenciosos"), F.sum("registros").alias("registros")
-    )
+    return monitoring.silent_hours(_readings(e))
 
 
 @_query("d6_silent_stretches", """, c AS (SELECT DISTINCT dev, date_trunc('minute', obs) AS minuto FROM leitura),
@@ -374,51 +389,146 @@ def d6b(e):
     return monitoring.silent_stretches(_readings(e))
 
 
-@_query("d7_time_in_state", """, t AS (SELECT dev, txt AS estado, epoch_us(lead(obs) OVER (PARTITION BY dev ORDER BY obs, ses, s)) // 1000 - epoch_us(obs) // 1000 AS dur FROM leitura WHERE campo = 'machine_state')
-SELECT dev AS id_do_dispositivo, estado, CAST(sum(dur) AS BIGINT) AS duracao_ms, count(*) AS intervalos FROM t WHERE dur IS NOT NULL GROUP BY 1, 2""")
+_D7 = """, t AS (SELECT dev, txt AS estado, epoch_us(lead(obs) OVER (PARTITION BY dev ORDER BY obs, ses, s)) // 1000 - epoch_us(obs) // 1000 AS dur FROM leitura WHERE campo = 'machine_state')
+SELECT dev AS id_do_dispositivo, estado, CAST(sum(dur) AS BIGINT) AS duracao_ms, count(*) AS intervalos FROM t WHERE dur IS NOT NULL GROUP BY 1, 2"""
+
+
+def _states(e):
+    return _readings(e, "machine_state").withColumn("estado", F.col("valor_texto"))
+
+
+@_query("d7_time_in_state", _D7)
 def d7(e):
-    return rollup.time_in_state(_readings(e).filter("nome_do_campo = 'machine_state'").withColumn("estado", F.col("valor_texto")), "id_do_dispositivo")
+    return rollup.time_in_state(_states(e), "id_do_dispositivo")
+
+
+@_query("d7_time_in_state_bucketed", _D7)
+def d7b(e):
+    return rollup.time_in_state_bucketed(_states(e), "id_do_dispositivo")
 
 
 @_query("d9_fragmentation", "SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, s AS numero_de_sequencia, CAST(100000 - k * 500 AS DOUBLE) AS livre, CAST((100000 - k * 500) // (1 + k % 5) AS DOUBLE) AS maior_bloco, CAST((100000 - k * 500) // (1 + k % 5) AS DOUBLE) / (100000 - k * 500) AS razao FROM j WHERE tipo = 'saude_da_origem'")
 def d9(e):
-    return monitoring.fragmentation(_readings(e))
+    return monitoring.fragmentation(_readings(e, "heap_free_bytes", "heap_largest_free_block_bytes"))
 
 
-@_query("v_validate", """SELECT id, CASE WHEN event_id % 59 = 0 THEN 'versao do esquema' WHEN event_id % 53 = 0 THEN 'dispositivo' WHEN event_id % 61 = 0 THEN 'tempo ligado' WHEN event_id % 67 = 0 THEN 'tipo de conteudo' END AS motivo FROM d""")
+_FAULT = """CASE WHEN event_id % 83 = 0 THEN 'sem conteudo' WHEN event_id % 59 = 0 THEN 'versao do esquema' WHEN event_id % 53 = 0 THEN 'dispositivo' WHEN event_id % 73 = 0 THEN 'sessao de boot'
+ WHEN event_id % 61 = 0 THEN 'tempo ligado' WHEN event_id % 89 = 0 THEN 'tamanho do conteudo' WHEN event_id % 67 = 0 THEN 'tipo de conteudo' WHEN event_id % 79 = 0 THEN 'conteudo indecifravel'
+ WHEN event_id % 71 = 0 AND tipo IN ('amostra_agregada', 'mudanca_de_estado_de_maquina', 'saude_da_origem', 'lacuna_de_buffer', 'descritor_da_origem') THEN 'regra de ' || tipo END"""
+
+
+@_query("v_validate", f"SELECT id, {_FAULT} AS motivo FROM d")
 def v(e):
     return validate.validate(source.corrupted(source.deliveries(e))).select("id", "motivo")
 
 
-@_query("v_acknowledge_rejected", """, z AS (SELECT ship, s, event_id % 59 = 0 OR event_id % 53 = 0 OR event_id % 61 = 0 OR event_id % 67 = 0 AS mau FROM d)
+@_query("v_acknowledge_rejected", f""", z AS (SELECT ship, s, {_FAULT} IS NOT NULL AS mau FROM d)
 SELECT ship AS shipment_id, coalesce(max(s) FILTER (NOT mau), 0) AS duravel_ate, coalesce(array_to_string(list_sort(list(DISTINCT s) FILTER (mau)), ','), '') AS rejeitadas FROM z GROUP BY 1""")
 def va(e):
     rows = journal.acknowledge_validated(validate.validate(source.corrupted(source.deliveries(e))))
     return rows.withColumn("rejeitadas", F.array_join(F.transform("rejeitadas", lambda x: x.cast("string")), ","))
 
 
-@_query("f5_policies", """SELECT chave AS chave_de_idempotencia, CASE classe WHEN 'sample' THEN 'best_effort' ELSE 'at_least_once' END AS entrega, CAST(CASE classe WHEN 'sample' THEN 5000 ELSE 200 END AS INTEGER) AS latencia_maxima_ms,
- CAST(CASE classe WHEN 'sample' THEN 365 ELSE 1825 END AS INTEGER) AS retencao_final_dias FROM j""")
+@_query("v15_same_identity", "SELECT id FROM d WHERE event_id % 43 <> 0")
+def v15(e):
+    return validate.same_identity(source.receipts(source.deliveries(e))).select("id")
+
+
+_FAULTY = """, f AS (SELECT mdev, mm, cc, CAST(substr(mdev, 5) AS INTEGER) AS n, ponto, ate, de,
+ CASE WHEN CAST(substr(mdev, 5) AS INTEGER) % 34 = 0 AND ate IS NOT NULL THEN ate ELSE de END AS de2,
+ CASE WHEN CAST(substr(mdev, 5) AS INTEGER) % 6 = 0 AND CAST(substr(mdev, 5) AS INTEGER) % 34 <> 0 AND ate IS NOT NULL THEN TIMESTAMP '2024-01-20' ELSE ate END AS ate2 FROM map)"""
+
+
+@_query("v16_mapping_faults", _FAULTY + """ SELECT mdev AS dispositivo, CAST(cc AS BIGINT) AS canal, motivo FROM (SELECT *, CASE WHEN n % 14 = 0 THEN 'ponto' WHEN n % 10 = 0 AND cc = 1 THEN 'grandeza'
+ WHEN n % 22 = 0 AND cc = 2 THEN 'unidade' WHEN n % 26 = 0 AND cc = 2 THEN 'faixa' WHEN de2 >= ate2 THEN 'vigencia' END AS motivo FROM f) WHERE motivo IS NOT NULL""")
+def v16(e):
+    return validate.mapping_faults(source.faulty_mapping(e)).select("dispositivo", "canal", "motivo")
+
+
+@_query("j3_quarantine", """ SELECT id, CASE WHEN event_id % 83 = 0 OR event_id % 67 = 0 THEN 'tipo de conteudo' ELSE 'conteudo indecifravel' END AS motivo FROM d
+ WHERE event_id % 83 = 0 OR event_id % 67 = 0 OR event_id % 79 = 0""")
+def j3(e):
+    return projection.split_decodable(source.corrupted(source.deliveries(e)))[1].select("id", "motivo")
+
+
+@_query("d8_reprocess", """ SELECT id FROM d WHERE event_id % 79 = 0""")
+def d8(e):
+    sent = source.deliveries(e)
+    whole = wire.split_refused(wire.decode_shipments(wire.encode_shipments(sent)))[0].select("shipment_id", "numero_de_sequencia", "conteudo_bruto")
+    names = [c for c in sent.columns if c in CATALOG.by_name]
+    lost = sent.filter("event_id % 79 = 0 OR event_id % 67 = 0").drop(*names).join(whole, ["shipment_id", "numero_de_sequencia"])
+    lost = lost.withColumn("tipo_de_conteudo", F.when(F.col("event_id") % 79 == 0, F.col("tipo_de_conteudo")).otherwise("desconhecido"))
+    again = wire.decode_contents(lost)
+    return projection.split_decodable(again)[0].select("id")
+
+
+@_query("j7_not_yet_written", """, b AS (SELECT * FROM d WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY dev, ses, s ORDER BY id) = 1)
+ SELECT id FROM b WHERE (dev, ses, s) NOT IN (SELECT (dev, ses, s) FROM d WHERE id % 3 <> 0)""")
+def j7(e):
+    rows = source.deliveries(e)
+    return journal.not_yet_written(journal.deduplicate(rows.filter("id % 3 = 0")), journal.deduplicate(rows.filter("id % 3 <> 0"))).select("id")
+
+
+@_query("t9_clock_steps", """, a AS (SELECT dev, ses, arg_min(up, id) AS a0, arg_min(obs, id) AS ao FROM j GROUP BY 1, 2)
+ SELECT id, event_id % 3 <> 0 AND abs((epoch_us(obs) - epoch_us(ao)) * 1000 - (up * 1000000 + CASE WHEN event_id % 19 = 0 THEN 5000000000 ELSE 0 END - a0 * 1000000)) > 1000000000 AS salto_de_relogio
+ FROM d JOIN a USING (dev, ses)""")
+def t9(e):
+    first = timeline.anchors(_journal(e, by_session=True))
+    first = first.select(*timeline.SESSION, "instante_da_ancora", (F.col("ancora_ms") * 1_000_000).alias("decorrido_da_ancora_ns"), F.lit("run-a").alias("id_da_execucao"))
+    return timeline.clock_steps(source.receipts(source.deliveries(e)), first).select("id", "salto_de_relogio")
+
+
+@_query("d5_mute_channels", """, u AS (SELECT dev AS d2, k % 2 AS m2, k % 4 AS c2, max(obs) AS ultimo FROM j WHERE tipo IN ('amostra_escalar', 'leitura_de_contador', 'transicao_digital', 'amostra_agregada', 'mudanca_de_estado_de_maquina') GROUP BY 1, 2, 3)
+ SELECT dev AS id_do_dispositivo, CAST(m AS BIGINT) AS modulo, CAST(c AS BIGINT) AS canal, c * 144000000::BIGINT AS periodo_ms, ultimo,
+ c > 0 AND (ultimo IS NULL OR epoch_us(TIMESTAMP '2024-02-01') // 1000 - epoch_us(ultimo) // 1000 > 3 * c * 144000000::BIGINT) AS mudo FROM dec LEFT JOIN u ON dev = d2 AND m = m2 AND c = c2""")
+def d5(e):
+    rows = _journal(e)
+    declared = commissioning.declared_channels(commissioning.latest_descriptors(rows))
+    declared = declared.select("id_do_dispositivo", "modulo", "canal", F.col("periodo_de_amostragem_ms").alias("periodo_ms"))
+    return monitoring.mute_channels(declared, monitoring.last_samples(projection.with_address(rows)), NOW)
+
+
+@_query("s7_legacy_replay", """ SELECT event_id AS id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'corrupt' ELSE 'ok' END AS estado, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN CAST(event_id % 100 AS DOUBLE) END AS valor
+ FROM (SELECT event_id FROM e WHERE event_id % 2 = 0 ORDER BY 1 LIMIT 1000)""")
+def s7(e):
+    ok, corrupt, _ = legacy.replay_buffer(source.legacy_buffer(e), 1000)
+    good = ok.select("id", F.lit("ok").alias("estado"), F.col("value").cast("double").alias("valor"))
+    return good.unionByName(corrupt.select("id", F.lit("corrupt").alias("estado"), F.lit(None).cast("double").alias("valor")))
+
+
+@_query("o3_legacy_latest", " SELECT ts AS time, event_type AS tag, round(value, 6) AS value FROM e ORDER BY ts DESC, event_type LIMIT 100")
+def o3(e):
+    rows = legacy.read_legacy(e.select(F.col("ts").alias("time"), F.col("event_type").alias("tag"), "value", F.lit("C").alias("unit")))
+    return legacy.latest(rows).select("time", "tag", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@_query("f5_policies", """SELECT chave AS chave_de_idempotencia, CASE classe WHEN 'sample' THEN 'best_effort' ELSE 'at_least_once' END AS entrega, CASE classe WHEN 'sample' THEN 'drop_oldest' ELSE 'record_gap' END AS saturacao,
+ CAST(CASE classe WHEN 'sample' THEN 5000 ELSE 200 END AS INTEGER) AS latencia_maxima_ms, CASE classe WHEN 'sample' THEN 'memory' ELSE 'disk' END AS durabilidade,
+ CAST(CASE classe WHEN 'sample' THEN 7 ELSE 1825 END AS INTEGER) AS retencao_bruta_dias, classe = 'sample' AS agregavel, CAST(CASE classe WHEN 'sample' THEN 365 ELSE 1825 END AS INTEGER) AS retencao_final_dias FROM j""")
 def f5(e):
-    return _journal(e).withColumn("p", policy(F.col("classe_de_dado"))).select("chave_de_idempotencia", "p.entrega", "p.latencia_maxima_ms", "p.retencao_final_dias")
+    return _journal(e).select("chave_de_idempotencia", policy(F.col("classe_de_dado")).alias("p")).select("chave_de_idempotencia", "p.*")
 
 
-@_query("r3_field_map", "SELECT chave AS chave_de_idempotencia, count(*) AS campos FROM leitura GROUP BY 1")
+@_query("r3_field_map", "SELECT chave AS chave_de_idempotencia, string_agg(campo, ',' ORDER BY campo) AS campos, max(CASE WHEN campo IN ('machine_state', 'firmware_version') THEN txt WHEN campo = 'active' THEN CAST(log AS VARCHAR) WHEN campo = 'lost_record_count' THEN CAST(CAST(num AS INTEGER) AS VARCHAR) END) AS valor FROM leitura GROUP BY 1")
 def r3(e):
-    return projection.field_map(_journal(e)).select("chave_de_idempotencia", F.size("campos").cast("long").alias("campos"))
+    value = F.coalesce(*[F.col("campos")[n] for n in ("machine_state", "firmware_version", "active")], F.col("campos")["lost_record_count"].cast("double").cast("int").cast("string"))
+    rows = projection.field_map(_journal(e))
+    return rows.select("chave_de_idempotencia", F.array_join(F.sort_array(F.map_keys("campos")), ",").alias("campos_"), value.alias("valor")).withColumnRenamed("campos_", "campos")
 
 
-@_query("r5_declared_channels", "SELECT dev AS id_do_dispositivo, CAST(m AS BIGINT) AS modulo, CAST(c AS BIGINT) AS canal, dg AS grandeza, du AS unidade FROM dec")
+@_query("r5_declared_channels", "SELECT dev AS id_do_dispositivo, CAST(m AS BIGINT) AS modulo, CAST(c AS BIGINT) AS canal, dg AS grandeza, du AS unidade, c * 144000000::BIGINT AS periodo_de_amostragem_ms FROM dec")
 def r5(e):
     return commissioning.declared_channels(commissioning.latest_descriptors(_journal(e))).drop("declarado_em")
 
 
 @_query("r6_content_types", """, c(tipo, classe) AS (SELECT DISTINCT tipo, classe FROM j)
-SELECT tipo AS tipo_de_conteudo, classe AS classe_de_dado, (SELECT count(*) FROM j WHERE j.tipo = c.tipo) AS registros FROM c""")
+SELECT tipo AS tipo_de_conteudo, classe AS classe_de_dado, CASE tipo """ + " ".join(f"WHEN '{c.name}' THEN '{c.description}'" for c in CATALOG.by_name.values()) + """ END AS descricao,
+ (SELECT count(*) FROM j WHERE j.tipo = c.tipo) AS registros FROM c""")
 def r6(e):
-    types = e.sparkSession.createDataFrame([(c.name, c.data_class) for c in CATALOG.by_name.values()], "tipo_de_conteudo string, classe_de_dado string")
+    types = [(c.name, c.data_class, c.description) for c in CATALOG.by_name.values()]
+    types = e.sparkSession.createDataFrame(types, "tipo_de_conteudo string, classe_de_dado string, descricao string")
     counts = _journal(e).groupBy("tipo_de_conteudo").agg(F.count(F.lit(1)).alias("registros"))
-    return counts.join(types, "tipo_de_conteudo").select("tipo_de_conteudo", "classe_de_dado", "registros")
+    return counts.join(types, "tipo_de_conteudo").select("tipo_de_conteudo", "classe_de_dado", "descricao", "registros")
 
 
 @_query("s1_decode_shipments", """SELECT ship AS shipment_id, s AS numero_de_sequencia, up AS tempo_ligado_ms, versao AS versao_do_esquema, dev AS id_do_dispositivo, tipo AS tipo_de_conteudo,

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.catalog import data_class, idempotency_key
+from ..functions.catalog import CATALOG, data_class, idempotency_key
 
 WEEK_MS = 7 * 86_400_000
 EPOCH = "2024-01-01"
+#: Sampling period that channel n declares, times n; channel 0 declares none.
+PERIOD_MS = 40 * 3_600_000
 
 
 def _content(kind: str, *fields: Column) -> Column:
@@ -29,7 +31,8 @@ def numbered(events: DataFrame) -> DataFrame:
 def channels() -> Column:
     """The four channels that a descriptor declares; some devices swap, omit or rename one."""
     def one(n: int, name: Column, unit: Column) -> Column:
-        return F.struct(F.lit(n % 2).cast("long").alias("modulo"), F.lit(n).cast("long").alias("canal"), name.alias("grandeza"), unit.alias("unidade"))
+        place = F.lit(n % 2).cast("long").alias("modulo"), F.lit(n).cast("long").alias("canal")
+        return F.struct(*place, name.alias("grandeza"), unit.alias("unidade"), F.lit(n * PERIOD_MS).cast("long").alias("periodo_de_amostragem_ms"))
 
     swap = F.col("user_id") % 5 == 0
     a, b = F.lit("temperatura"), F.lit("pressao")
@@ -85,16 +88,29 @@ def deliveries(events: DataFrame) -> DataFrame:
 
 
 def corrupted(rows: DataFrame) -> DataFrame:
-    """Deliveries with the faults that validation looks for, in the order of its rules."""
+    """Deliveries with the faults that validation looks for, in the order of its rules, and raw contents."""
     e = F.col("event_id")
-    return rows.withColumns(
+
+    def spoiled(name: str, field: str, value: Column) -> Column:
+        return F.when(e % 71 == 0, F.col(name).withField(field, value)).otherwise(F.col(name))
+
+    long = F.transform("descritor_da_origem.canais", lambda c: c.withField("unidade", F.repeat(F.lit("u"), 65)))
+    out = rows.withColumns(
         {
             "versao_do_esquema": F.when(e % 59 == 0, 2).otherwise(F.col("versao_do_esquema")),
             "id_do_dispositivo": F.when(e % 53 == 0, F.upper("id_do_dispositivo")).otherwise(F.col("id_do_dispositivo")),
+            "id_da_sessao_de_boot": F.when(e % 73 == 0, "").otherwise(F.col("id_da_sessao_de_boot")),
             "tempo_ligado_ms": F.when(e % 61 == 0, F.lit(1 << 62)).otherwise(F.col("tempo_ligado_ms")),
-            "tipo_de_conteudo": F.when(e % 67 == 0, "desconhecido").otherwise(F.col("tipo_de_conteudo")),
+            "conteudo_bruto": F.repeat(F.lit("x"), F.when(e % 89 == 0, F.when(e % 2 == 0, 0).otherwise(8193)).otherwise(8192)).cast("binary"),
+            "amostra_agregada": spoiled("amostra_agregada", "quantidade", F.lit(0).cast("long")),
+            "mudanca_de_estado_de_maquina": spoiled("mudanca_de_estado_de_maquina", "estado", F.lit(9)),
+            "saude_da_origem": spoiled("saude_da_origem", "maior_bloco", F.col("saude_da_origem.livre") + 1),
+            "lacuna_de_buffer": spoiled("lacuna_de_buffer", "ultima", F.col("lacuna_de_buffer.primeira") - 1),
+            "descritor_da_origem": spoiled("descritor_da_origem", "canais", long),
+            "tipo_de_conteudo": F.when(e % 83 != 0, F.when(e % 67 == 0, "desconhecido").otherwise(F.col("tipo_de_conteudo"))),
         }
     )
+    return out.withColumns({name: F.when(e % 79 != 0, F.col(name)) for name in CATALOG.by_name})
 
 
 def mapping(events: DataFrame) -> DataFrame:
@@ -118,6 +134,42 @@ def mapping(events: DataFrame) -> DataFrame:
     return one.withColumn("ponto", F.concat(F.lit("ponto."), "dispositivo", F.lit("."), F.col("canal").cast("string")))
 
 
+def faulty_mapping(events: DataFrame) -> DataFrame:
+    """The mapping with a fault of each kind, by device: names, quantity, unit, range, validity, and for a sixth of the
+    devices two validities of channel 0 that meet."""
+    u = F.substring("dispositivo", 5, 6).cast("int")
+    late = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return mapping(events).withColumns(
+        {
+            "ponto": F.when(u % 14 == 0, F.concat(F.lit("-"), "ponto")).otherwise(F.col("ponto")),
+            "grandeza": F.when((u % 10 == 0) & (F.col("canal") == 1), "nao_especificado").otherwise(F.concat(F.lit(" "), F.upper("grandeza"))),
+            "unidade": F.when((u % 22 == 0) & (F.col("canal") == 2), "  ").otherwise(F.col("unidade")),
+            "faixa_minima": F.when((u % 26 == 0) & (F.col("canal") == 2), 101.0).otherwise(F.col("faixa_minima")),
+            "vigente_de": F.when((u % 34 == 0) & F.col("vigente_ate").isNotNull(), F.col("vigente_ate")).otherwise(F.col("vigente_de")),
+            "vigente_ate": F.when((u % 6 == 0) & (u % 34 != 0) & F.col("vigente_ate").isNotNull(), late).otherwise(F.col("vigente_ate")),
+        }
+    )
+
+
+def receipts(delivered: DataFrame) -> DataFrame:
+    """Receipts of the deliveries: the gateway's clocks and run, and the device that authenticated."""
+    late = F.when(F.col("event_id") % 19 == 0, 5_000_000_000).otherwise(0)
+    return delivered.select(
+        "id", "event_id", "id_do_dispositivo", "id_da_sessao_de_boot", F.col("instante_observado").alias("instante"), (F.col("tempo_ligado_ms") * 1_000_000 + late).alias("decorrido_ns"),
+        F.when(F.col("event_id") % 3 == 0, "run-b").otherwise("run-a").alias("id_da_execucao"),
+        F.when(F.col("event_id") % 43 == 0, "dev-outro").otherwise(F.col("id_do_dispositivo")).alias("id_autenticado"),
+    )
+
+
+def legacy_buffer(events: DataFrame) -> DataFrame:
+    """Events as rows of the first version's text buffer, some of which cannot be parsed."""
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    return events.select(
+        F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 == 0, "x").otherwise(at).alias("timestamp"), F.col("event_type").alias("tag"),
+        F.when(F.col("event_id") % 7 == 0, "1,5").otherwise((F.col("event_id") % 100).cast("string")).alias("value"), F.lit("C").alias("unit"), (F.col("event_id") % 2).cast("int").alias("synced"),
+    )
+
+
 def reasons(events: DataFrame) -> DataFrame:
     """The stop-reason catalogue, version 1."""
     return events.sparkSession.createDataFrame([(10, "Troca de ferramenta"), (40, "Falha eletrica"), (41, "Falha mecanica")], "codigo long, rotulo string")

@@ -10,6 +10,11 @@ def read_legacy(df: DataFrame) -> DataFrame:
     return df.select(F.col("time").cast("timestamp").alias("time"), F.col("tag").cast("string").alias("tag"), F.col("value").cast("decimal(38,9)").alias("value"), F.col("unit").cast("string").alias("unit"))
 
 
+def append(readings: DataFrame, path: str) -> None:
+    """Append to the readings table, one folder per day."""
+    read_legacy(readings).withColumn("dt", F.to_date("time")).write.mode("append").partitionBy("dt").parquet(path)
+
+
 def latest(readings: DataFrame, limit: int = 100) -> DataFrame:
     return readings.orderBy(F.desc("time"), "tag").limit(limit)
 

@@ -25,7 +25,7 @@ SHIPMENT = {1: ("versao_do_esquema", "u"), 2: ("id_da_instalacao", "s"), 3: ("id
 ENVELOPES = 5
 ENVELOPE = {1: ("numero_de_sequencia", "u"), 2: ("tempo_ligado_ms", "u")}
 ADDRESS = {1: ("modulo", "u"), 2: ("canal", "u")}
-CHANNEL = {2: ("grandeza", "u"), 3: ("unidade", "s")}
+CHANNEL = {2: ("grandeza", "u"), 3: ("unidade", "s"), 4: ("periodo_de_amostragem_ms", "u")}
 CONTENTS: dict[int, tuple[str, bool, dict[int, tuple[str, str]]]] = {
     3: ("amostra_escalar", True, {2: ("valor", "f")}),
     4: ("leitura_de_contador", True, {2: ("contagem_acumulada", "u")}),
@@ -134,15 +134,18 @@ def _envelopes(body: bytes | None) -> list[dict]:
         rows = []
         for position, raw in enumerate(nested[ENVELOPES]):
             row, _ = _message(raw, ENVELOPE)
-            kind, content = 0, b""
+            kind, content, fields = 0, b"", {}
             for number, wire, value in _fields(raw):
                 if number in CONTENTS and wire == 2:
+                    fields = _content(number, value)
                     # Repeats of one content merge, another content takes the place of the one before.
-                    kind, content = number, content + value if number == kind else value
-                    _content(number, value)
+                    content = content + value if number == kind else value
+                    if number == kind:
+                        fields = _content(number, content)
+                    kind = number
             row |= head | {"posicao": position}
             if kind:
-                row |= {"tipo_de_conteudo": CONTENTS[kind][0], "conteudo_bruto": content, CONTENTS[kind][0]: _content(kind, content)}
+                row |= {"tipo_de_conteudo": CONTENTS[kind][0], "conteudo_bruto": content, CONTENTS[kind][0]: fields}
             rows.append(row)
     except Malformed:
         return [{"recusa": "remessa malformada"}]
@@ -155,7 +158,7 @@ def _content_type(number: int) -> str:
     name, addressed, spec = CONTENTS[number]
     columns = [f"{n}: {SQL_TYPE[k]}" for n, k in ([*ADDRESS.values()] if addressed else []) + [*spec.values()]]
     if number == DESCRIPTOR:
-        columns.append("canais: array<struct<modulo: bigint, canal: bigint, grandeza: string, unidade: string>>")
+        columns.append("canais: array<struct<modulo: bigint, canal: bigint, grandeza: string, unidade: string, periodo_de_amostragem_ms: bigint>>")
     return f"{name} struct<{', '.join(columns)}>"
 
 
@@ -192,6 +195,30 @@ def decode_shipments(shipments: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def decode_contents(records: DataFrame) -> DataFrame:
+    """Records with the structs of their contents decoded again from tipo_de_conteudo and conteudo_bruto. A type that is
+    not known, and bytes that are no such content, leave all of them null. Other columns stay."""
+    names = [name for name, _, _ in CONTENTS.values()]
+    numbers = {name: n for n, (name, _, _) in CONTENTS.items()}
+    new = StructType.fromDDL(", ".join(map(_content_type, CONTENTS)))
+    rows = records.drop(*names)
+    schema, types = StructType([*rows.schema.fields, *new.fields]), to_arrow_schema(new)
+
+    def one(kind: str | None, body: bytes | None) -> dict:
+        try:
+            return {kind: _content(numbers[kind], body)} if kind in numbers and body is not None else {}
+        except Malformed:
+            return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(k, b) for k, b in zip(batch.column("tipo_de_conteudo").to_pylist(), batch.column("conteudo_bruto").to_pylist())]
+            decoded = [pa.array([row.get(f.name) for row in found], f.type) for f in types]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *decoded], names=[*batch.schema.names, *types.names])
+
+    return rows.mapInArrow(run, schema)
+
+
 def split_refused(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Envelopes, and the shipments that were refused whole."""
     return decoded.filter("recusa IS NULL").drop("recusa"), decoded.filter("recusa IS NOT NULL").drop(*StructType.fromDDL(DECODED).names[1:])

@@ -1,50 +1,159 @@
-"""Stream drivers over the batch functions: same rows in, same rows out."""
+"""Stream drivers over the batch functions: same rows in, same rows out.
+
+Tables that a micro-batch writes have a folder per batch below the folder of the day, which a repeated batch replaces;
+what tables must hold once, whatever the checkpoint says, is guarded by their keys.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.journal import deduplicate, not_yet_written
-from ..operators.projection import project
+from ..functions.catalog import data_class, idempotency_key
+from ..operators.commissioning import latest_descriptors
+from ..operators.journal import deduplicate, exists, not_yet_written, read_days
+from ..operators.projection import project, reprocess, split_decodable, write_readings
+from ..operators.timeline import SESSION, anchors
 from ..operators.validate import validate
+from ..sources.wire import decode_shipments, split_refused
+
+#: Days before a batch's first that a redelivery may come from: a source's buffer holds no more.
+REPLAY_DAYS = 31
+#: Ids of a batch begin at its number times this.
+BATCH_IDS = 1 << 40
+
+
+def _replace(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a batch's rows to folders of its own, of which a repeated batch leaves none behind."""
+    rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(path)
+
+
+def journal_batch(journal_path: str, replay_days: int = REPLAY_DAYS) -> Callable[[DataFrame, int], None]:
+    """A micro-batch into the journal: validate, deduplicate against the days it may repeat, append by day.
+
+    Only folders of the batch's days and of ``replay_days`` before are read. Rows that a first attempt of the same batch
+    has written do not count as known, so the second attempt writes the same rows again in their place.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        ok = validate(batch).filter("motivo IS NULL").drop("motivo").withColumn("dt", F.to_date("instante_observado")).persist()
+        known = read_days(ok, journal_path, replay_days)
+        rows = deduplicate(ok)
+        if known is not None:
+            rows = not_yet_written(rows, known.filter(F.col("batch_id") != batch_id))
+        _replace(rows, journal_path, batch_id)
+        ok.unpersist()
+
+    return run
+
+
+def identified(envelopes: DataFrame, batch_id: int) -> DataFrame:
+    """Envelopes decoded from one batch's shipments as journal rows: key, class, and an id that grows from batch to
+    batch; within one, a hash of shipment and position orders them, alike in a repeated batch."""
+    key = idempotency_key(F.col("id_do_dispositivo"), F.col("id_da_sessao_de_boot"), F.col("numero_de_sequencia"))
+    tie = F.pmod(F.xxhash64("shipment_id", "posicao"), F.lit(BATCH_IDS))
+    return envelopes.withColumns({"id": F.lit(batch_id * BATCH_IDS) + tie, "chave_de_idempotencia": key, "classe_de_dado": data_class(F.col("tipo_de_conteudo"))})
+
+
+def shipment_batch(journal_path: str, replay_days: int = REPLAY_DAYS) -> Callable[[DataFrame, int], None]:
+    """A micro-batch of binary shipments (shipment_id, instante_observado, payload) into the journal. A shipment that is
+    refused whole has no rows."""
+    write = journal_batch(journal_path, replay_days)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        envelopes, _ = split_refused(decode_shipments(batch))
+        write(identified(envelopes, batch_id), batch_id)
+
+    return run
+
 
+def _start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
+    """``every`` is the time between micro-batches; without it the stream ends when all that is there has been read."""
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
-def _known(spark, path: str, schema) -> DataFrame:
-    """The table so far, empty before its first write."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
+def ingest(deliveries: DataFrame, journal_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Validate, deduplicate and append envelopes. Nothing is refused for being late."""
+    return _start(deliveries, journal_batch(journal_path), checkpoint, every)
 
-def journal_batch(journal_path: str) -> Callable[[DataFrame, int], None]:
-    """A micro-batch into the journal: each batch writes its own folder, so a repeated batch replaces itself."""
+
+def ingest_shipments(shipments: DataFrame, journal_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """The same from binary shipments."""
+    return _start(shipments, shipment_batch(journal_path), checkpoint, every)
+
+
+def read_journal_stream(spark: SparkSession, path: str, schema, files: int = 16) -> DataFrame:
+    """The journal as a stream, so many files a micro-batch at most: what bounds a projection cycle."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def projection(journal: DataFrame, mapping: DataFrame, reasons: DataFrame, readings_path: str, quarantine_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Journal records into readings, and records that cannot be decoded into quarantine. The checkpoint moves after the
+    write; readings are guarded by their row key, so neither a repeated batch nor a new checkpoint writes one twice. Each
+    consumer of the journal has a checkpoint of its own."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _known(spark, journal_path, batch.schema)
-        if "batch_id" in known.columns or known.inputFiles():
-            known = spark.read.parquet(journal_path).filter(F.col("batch_id") != batch_id)
-        ok = validate(batch).filter("motivo IS NULL").drop("motivo")
-        not_yet_written(deduplicate(ok), known).write.mode("overwrite").parquet(f"{journal_path}/batch_id={batch_id}")
+        batch = batch.drop("dt", "batch_id").persist()
+        write_readings(project(batch, mapping, reasons), readings_path)
+        _, lost = split_decodable(batch)
+        _replace(lost.withColumn("dt", F.to_date("instante_observado")), quarantine_path, batch_id)
+        batch.unpersist()
+
+    return _start(journal, run, checkpoint, every)
+
+
+def reprocess_quarantine(spark: SparkSession, quarantine_path: str, mapping: DataFrame, reasons: DataFrame, readings_path: str) -> DataFrame:
+    """Write the readings of quarantined records that can be decoded now; returns those that stay."""
+    readings, rest = reprocess(spark.read.parquet(quarantine_path).drop("dt", "batch_id"), mapping, reasons)
+    write_readings(readings, readings_path)
+    return rest
+
+
+def anchor_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """Anchors of the sessions that a micro-batch of the journal begins: the first record of a session is its anchor for
+    good. Only sessions at hand are compared with the table."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, new = batch.sparkSession, anchors(batch)
+        if exists(spark, path):
+            known = spark.read.parquet(path).filter(F.col("batch_id") != batch_id)
+            new = new.join(known.select(*SESSION), SESSION, "left_anti")
+        new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     return run
 
 
-def ingest(deliveries: DataFrame, journal_path: str, checkpoint: str) -> StreamingQuery:
-    """Validate, deduplicate against the whole journal and append. Nothing is refused for being late."""
-    return deliveries.writeStream.foreachBatch(journal_batch(journal_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def descriptor_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """The latest descriptor of each device in a micro-batch, appended; read_descriptors gives the latest of all."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = latest_descriptors(batch).withColumn("batch_id", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    return run
+
 
+def track(journal: DataFrame, anchors_path: str, descriptors_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keep the tables of anchors and of latest descriptors up to the journal's stream."""
+    first, last = anchor_batch(anchors_path), descriptor_batch(descriptors_path)
 
-def projection(journal: DataFrame, mapping: DataFrame, reasons: DataFrame, readings_path: str, checkpoint: str) -> StreamingQuery:
-    """Journal records into readings; the checkpoint moves after the write, and a repeated batch replaces its folder."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        project(batch, mapping, reasons).write.mode("overwrite").parquet(f"{readings_path}/batch_id={batch_id}")
+        batch = batch.drop("dt", "batch_id").persist()
+        first(batch, batch_id)
+        last(batch, batch_id)
+        batch.unpersist()
+
+    return _start(journal, run, checkpoint, every)
+
+
+def read_anchors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch_id")
+
 
-    return journal.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
+    """The descriptor with the largest journal id of each device."""
+    rows = spark.read.parquet(path).groupBy("id_do_dispositivo").agg(F.max_by(F.struct("descritor_da_origem", "declarado_em", "id"), "id").alias("d"))
+    return rows.select("id_do_dispositivo", "d.*")
 
 
 def counts_per_minute(readings: DataFrame, late: str = "1 hour") -> DataFrame:
