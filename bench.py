@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession
 
 from gaugeline.plans import telemetry
+from gaugeline.sources import events
 
 HEADLINES = ("w1_deduplicate", "r2_long_projection", "a7_out_of_range", "a1_acknowledge", "w4_sequence_gaps", "j5_commissioning", "d2_reaggregate", "v_validate")
 
@@ -23,7 +24,7 @@ def main() -> None:
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    rows = events.deliveries(spark.read.parquet(f"{sf_dir}/events.parquet")).count()
     took = {}
     for name in HEADLINES:
         best = []
@@ -33,7 +34,7 @@ def main() -> None:
             best.append(time.time() - at)
         took[name] = round(min(best), 3)
     print(json.dumps({"metric": "headline_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1],
-                      "events_per_s": {n: round(rows / s) for n, s in took.items()}}))
+                      "deliveries_per_s": {n: round(rows / s) for n, s in took.items()}}))
 
 
 if __name__ == "__main__":

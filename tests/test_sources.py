@@ -67,6 +67,10 @@ def test_round_trip_keeps_every_content(spark):
         # A descriptor's columns come in another order; the next lines look at those.
         assert name == "descritor_da_origem" or a.exceptAll(b).count() == 0
     assert got.filter(F.col("descritor_da_origem").isNotNull()).select(F.explode("descritor_da_origem.canais.grandeza")).distinct().count() == 4
+    periods = got.filter(F.col("descritor_da_origem").isNotNull()).select(F.explode("descritor_da_origem.canais.periodo_de_amostragem_ms").alias("p")).distinct()
+    assert sorted(r["p"] for r in periods.collect()) == [n * source.PERIOD_MS for n in range(4)]
+    again = wire.decode_contents(got)
+    assert again.select("posicao", "shipment_id", "descritor_da_origem").exceptAll(got.select("posicao", "shipment_id", "descritor_da_origem")).count() == 0
 
 
 FILE = """

@@ -9,7 +9,7 @@ from gaugeline.functions.catalog import CATALOG, Catalog, Content, in_force, out
 from gaugeline.operators import commissioning, journal, projection, rollup, timeline, validate
 from gaugeline.plans import telemetry
 from gaugeline.sources import events as source
-from gaugeline.sources import legacy
+from gaugeline.sources import legacy, wire
 from gaugeline.streaming import ingest
 
 DIR = "/root/testdata/sf0.001"
@@ -126,11 +126,106 @@ def test_legacy_buffer_never_blocks(spark):
     assert ok.count() == 1 and corrupt.count() == 2 and marks.count() == 3
 
 
+def keys_of(df):
+    return sorted(r[0] for r in df.select("chave_de_idempotencia").collect())
+
+
 def test_stream_equals_batch(spark, delivered, tmp_path):
-    parts = delivered.repartitionByRange(3, "id")
-    parts.write.parquet(str(tmp_path / "in"))
+    delivered.repartitionByRange(3, "id").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(delivered.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     ingest.ingest(stream, str(tmp_path / "journal"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "journal"))
+    got = journal.read(spark, str(tmp_path / "journal"))
     want = journal.deduplicate(delivered)
-    assert sorted(r[0] for r in got.select("chave_de_idempotencia").collect()) == sorted(r[0] for r in want.select("chave_de_idempotencia").collect())
+    assert keys_of(got) == keys_of(want) and got.select("batch_id").distinct().count() == 3
+    # A new checkpoint sends everything again, and a repeated batch writes its rows in their place.
+    ingest.ingest(stream, str(tmp_path / "journal"), str(tmp_path / "cp2")).awaitTermination()
+    ingest.journal_batch(str(tmp_path / "journal"))(delivered.filter("id < 500"), 0)
+    again = journal.read(spark, str(tmp_path / "journal"))
+    assert keys_of(again.dropDuplicates(["chave_de_idempotencia"])) == keys_of(want) == keys_of(again)
+
+
+def test_binary_stream_anchors_descriptors_and_projection(spark, tmp_path):
+    e = spark.read.parquet(f"{DIR}/events.parquet")
+    delivered, mapping, reasons = source.deliveries(e), source.mapping(e), source.reasons(e)
+    sent = wire.encode_shipments(delivered).select("shipment_id", "instante_observado", "payload")
+    sent.repartitionByRange(2, "instante_observado").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    path = {n: str(tmp_path / n) for n in ("journal", "anchors", "descriptors", "readings", "quarantine")}
+    ingest.ingest_shipments(stream, path["journal"], str(tmp_path / "c1")).awaitTermination()
+    rows = journal.read(spark, path["journal"])
+    assert keys_of(rows) == keys_of(journal.deduplicate(delivered))
+
+    def records():
+        return ingest.read_journal_stream(spark, path["journal"], rows.schema, 20)
+
+    ingest.track(records(), path["anchors"], path["descriptors"], str(tmp_path / "c2")).awaitTermination()
+    got = ingest.read_anchors(spark, path["anchors"])
+    assert got.count() == got.select(*timeline.SESSION).distinct().count() == timeline.anchors(rows).count()
+    latest = commissioning.latest_descriptors(rows).select("id_do_dispositivo", "id")
+    assert sorted(latest.collect()) == sorted(ingest.read_descriptors(spark, path["descriptors"]).select("id_do_dispositivo", "id").collect())
+
+    for checkpoint in ("c3", "c4"):  # the second consumer reads everything again and writes nothing
+        ingest.projection(records(), mapping, reasons, path["readings"], path["quarantine"], str(tmp_path / checkpoint)).awaitTermination()
+        want = projection.project(rows, mapping, reasons)
+        assert spark.read.parquet(path["readings"]).count() == want.count()
+
+    lost = rows.drop("dt", "batch_id").filter("tipo_de_conteudo = 'leitura_de_contador'").withColumn("leitura_de_contador", F.lit(None).cast(rows.schema["leitura_de_contador"].dataType))
+    assert projection.split_decodable(lost)[0].count() == 0
+    lost.withColumn("motivo", F.lit("x")).withColumn("dt", F.to_date("instante_observado")).withColumn("batch_id", F.lit(99)).write.mode("append").partitionBy("dt", "batch_id").parquet(path["quarantine"])
+    rest = ingest.reprocess_quarantine(spark, path["quarantine"], mapping, reasons, str(tmp_path / "mended"))
+    mended = spark.read.parquet(str(tmp_path / "mended"))
+    assert rest.count() == 0 and mended.filter("nome_do_campo = 'accumulated_count'").count() == lost.count() > 0
+
+
+def test_journal_table_readings_and_pruning(spark, delivered, tmp_path):
+    e = spark.read.parquet(f"{DIR}/events.parquet")
+    rows, path = journal.deduplicate(delivered), str(tmp_path / "journal")
+    journal.append(rows, path)
+    assert journal.read(spark, path).count() == rows.count()
+    day = journal.read(spark, path, "2024-01-10", "2024-01-10")
+    assert day.count() == rows.filter("to_date(instante_observado) = DATE '2024-01-10'").count() > 0
+    assert "PartitionFilters: [isnotnull(dt" in day._jdf.queryExecution().toString()
+    readings = projection.project(rows, source.mapping(e), source.reasons(e))
+    for part in (readings.filter("numero_de_sequencia < 4"), readings, readings):
+        projection.write_readings(part, str(tmp_path / "readings"))
+    assert spark.read.parquet(str(tmp_path / "readings")).count() == readings.dropDuplicates(projection.ROW_KEY).count()
+    cursors = spark.createDataFrame([("a", 10**9)], "nome string, ultimo_id_projetado long")
+    assert journal.prune_days(spark, path, cursors.withColumn("ultimo_id_projetado", F.lit(0).cast("long")), "2024-01-11") == []
+    gone = journal.prune_days(spark, path, cursors, "2024-01-11")
+    assert gone and max(gone) == "2024-01-10" and journal.read(spark, path).filter("dt < DATE '2024-01-11'").count() == 0
+    moved = journal.advance(journal.advance(cursors.withColumn("atualizado_em", F.lit(None).cast("timestamp")), "a", 42, None), "b", 7, None)
+    assert {r["nome"]: r["ultimo_id_projetado"] for r in moved.collect()} == {"a": 42, "b": 7}
+
+
+def test_legacy_table(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 00:00:00", "t", "1.5", "C")], "time string, tag string, value string, unit string")
+    legacy.append(rows, str(tmp_path / "old"))
+    legacy.append(rows, str(tmp_path / "old"))
+    assert legacy.latest(legacy.read_legacy(spark.read.parquet(str(tmp_path / "old"))), 5).count() == 2
+
+
+def test_reasons_never_shuffle_the_journal(spark, monkeypatch):
+    plan = telemetry.QUERIES["r2_long_projection"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "_motivo" in plan and not [line for line in plan.split("\n") if "Exchange hashpartitioning(_motivo" in line]
+    e = spark.read.parquet(f"{DIR}/events.parquet")
+    rows = projection.resolve(journal.deduplicate(source.deliveries(e)), source.mapping(e))
+    want = projection.enrich(rows, source.reasons(e)).select("chave_de_idempotencia", "rotulo_do_motivo", "motivo_desconhecido")
+    monkeypatch.setattr(projection, "BROADCAST_REASONS", 1)
+    got = projection.enrich(rows, source.reasons(e)).select("chave_de_idempotencia", "rotulo_do_motivo", "motivo_desconhecido")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.filter("motivo_desconhecido").count() > 0
+
+
+def test_fields_are_filtered_before_the_joins(spark):
+    e = spark.read.parquet(f"{DIR}/events.parquet")
+    args = journal.deduplicate(source.deliveries(e)), source.mapping(e), source.reasons(e)
+    some = projection.project(*args, fields=("value", "machine_state"))
+    want = projection.project(*args).filter("nome_do_campo IN ('value', 'machine_state')")
+    assert some.exceptAll(want).count() == want.exceptAll(some).count() == 0 and some.count() > 0
+
+
+@pytest.mark.parametrize("unit, ok", [("u" * 64, True), ("u" * 65, False), (None, True)])
+def test_unit_length_of_a_descriptor(spark, delivered, unit, ok):
+    rows = delivered.filter("descritor_da_origem IS NOT NULL").limit(3)
+    channels = F.transform("descritor_da_origem.canais", lambda c: c.withField("unidade", F.lit(unit)))
+    checked = validate.validate(rows.withColumn("descritor_da_origem", F.col("descritor_da_origem").withField("canais", channels)))
+    assert {r["motivo"] for r in checked.collect()} == ({None} if ok else {"regra de descritor_da_origem"})
