@@ -36,7 +36,9 @@ def _same_row(other: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic. It learns from labels of the documents at hand."""
+    """Documents that the classifier does not call toxic. It learns from labels of the documents at hand; without rows of
+    both labels all stay. Null and empty texts and null doc_ids are scored like others; rows that repeat a doc_id go or
+    stay by their own text. An empty table gives an empty table."""
     rows, labels = _marked(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")
     toxic = score(rows, labels, carry=(MARK,)).filter("predicted = 1").select("doc_id", MARK).distinct()
     return rows.join(*_same_row(toxic), "left_anti").select(*COLUMNS)
@@ -59,7 +61,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data spans replaced by their kind; n_chars follows the text."""
+    """Personal data spans replaced by their kind; n_chars follows the text. A null text stays null, with null n_chars;
+    every row stays, repeated ones and those without doc_id too, each masked by its own text."""
     rows = _marked(docs)
     found = stage(find(rows, carry=(MARK,)).filter("spans <> ''").select("doc_id", MARK, "spans").distinct(), "pii")
     return redact(rows, found, keys=("doc_id", MARK)).select(*COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
@@ -82,7 +85,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of every row of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of every row of the mix, repeated ones and those without
+    doc_id too; a null text has no tokens."""
     return encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 

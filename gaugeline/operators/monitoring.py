@@ -23,14 +23,6 @@ def records_per_minute(readings: DataFrame) -> DataFrame:
     return readings.groupBy(F.date_trunc("minute", "instante_observado").alias("minuto"), "id_do_dispositivo").agg(F.count(F.lit(1)).alias("registros"))
 
 
-def silent_minutes(readings: DataFrame) -> DataFrame:
-    """Every device and minute between its first and last, zeros included."""
-    counts = records_per_minute(readings)
-    span = counts.groupBy("id_do_dispositivo").agg(F.min("minuto").alias("a"), F.max("minuto").alias("z"))
-    spine = span.select("id_do_dispositivo", F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 MINUTE"))).alias("minuto"))
-    return spine.join(counts, ["id_do_dispositivo", "minuto"], "left").withColumn("registros", F.coalesce("registros", F.lit(0)))
-
-
 def silent_hours(readings: DataFrame) -> DataFrame:
     """Every device and hour between its first and last minute with rows: minutes of the hour in that span, silent ones,
     and rows. Silent minutes are what is left of the span, so no row is made for one."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalog import CATALOG, QUANTITIES, in_force
+from ..functions.catalog import CATALOG, QUANTITIES
 
 MAX_UPTIME_MS = 100 * 365 * 86_400_000
 NAME = r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?\z"
@@ -73,5 +73,3 @@ def overlaps(mapping: DataFrame, keys: list[str]) -> DataFrame:
     same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
     return rows.join(other, same).filter("_id < _id2 AND _a < _z2 AND _a2 < _z").select(*keys, "_id", "_id2")
 
-
-__all__ = ["in_force", "mapping_faults", "name_ok", "overlaps", "reason", "same_identity", "validate"]
