@@ -23,8 +23,8 @@ from .shared import shared_dir, stage
 
 #: Vectors of a shard, about, in small tables, and how many such shards there are before shards grow instead.
 SHARD, SPREAD = 4096, 64
-#: Vectors of a shard at most, about: beyond that the number of shards grows.
-LARGEST = 1 << 17
+#: Bytes of a shard's vectors at most, about: beyond that the number of shards grows.
+LARGEST = 64 << 20
 #: Queries that visit a shard together.
 BLOCK = 4096
 DEGREE, BUILD_BEAM, QUERY_BEAM, RELAX = 24, 32, 96, 1.2
@@ -268,7 +268,7 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, shard: int = SHAR
     the smallest vector counts. Extra columns are ignored; an empty table gives an empty table.
 
     Vectors are dealt to shards by a hash of vec_id, so a group of equal vectors is spread. Small tables have SPREAD
-    shards of ``shard`` vectors at most, so that all cores build; then shards grow, and only beyond LARGEST vectors
+    shards of ``shard`` vectors at most, so that all cores build; then shards grow, and only beyond LARGEST bytes
     their number does. Every block of queries visits every shard: a task reads one graph and one block after another
     from the shared folder, where each is written once, and no vector is shuffled more than once.
     """
@@ -278,8 +278,8 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, shard: int = SHAR
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(component).cast("array<double>").alias(component))
     rows = rows.filter(F.col("vec_id").isNotNull() & fine).groupBy("vec_id").agg(F.min(component).alias(component)).withColumn("dim", F.size(component))
     rows = stage(rows, "vectors")
-    counts = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards = max(1, min(-(-counts[0] // shard), SPREAD), -(-counts[0] // LARGEST))
+    counts = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = max(1, min(-(-counts[0] // shard), SPREAD), -(-8 * counts[2] // LARGEST))
     blocks = max(1, -(-counts[1] // BLOCK))
     folder = f"{shared_dir(vectors.sparkSession)}/graphs"
     # Explicit numbers of partitions: Spark would merge what is short in bytes but long in work.
