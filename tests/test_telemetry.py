@@ -215,6 +215,12 @@ def test_reasons_never_shuffle_the_journal(spark, monkeypatch):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.filter("motivo_desconhecido").count() > 0
 
 
+def test_sessions_share_one_exchange(spark):
+    for name in ("w3_anchors", "w4_sequence_gaps"):
+        plan = telemetry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+        assert plan.count("Exchange hashpartitioning(id_do_dispositivo") == 1, name
+
+
 def test_fields_are_filtered_before_the_joins(spark):
     e = spark.read.parquet(f"{DIR}/events.parquet")
     args = journal.deduplicate(source.deliveries(e)), source.mapping(e), source.reasons(e)
