@@ -296,7 +296,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUC
     slim = contexts.select("gram", "context", "doc_id", "row", "start", "size")
     firsts = stage(slim.groupBy("gram", "context").agg(F.min(at).alias("at"), F.max("size").alias("size")), "firsts")
     copies = slim.drop("size").join(firsts, ["gram", "context"]).filter(at != F.col("at"))
-    copies = copies.select("doc_id", "row", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("stop"))
+    copies = stage(copies.select("doc_id", "row", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("stop")), "copies")
 
     weight = F.sum((F.col("size") - length + 1).cast("long") * length).alias("weight")
     buckets = stage(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), weight).filter("n > 1").drop("n"), "weights")
@@ -305,6 +305,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUC
     # Equal rows of the table give a context twice.
     several = contexts.join(known, keys).dropDuplicates(keys).select("gram", "doc_id", "row", "start", "size", "bytes", "weight")
     several = stage(several, "several")
+    # Only short rows and the buckets' bytes are left when these are shuffled once more.
+    discard(contexts, firsts, buckets)
     sorted_ = several.filter(F.col("weight") <= max_bucket).drop("weight").repartition("gram").sortWithinPartitions("gram")
     inner = sorted_.mapInArrow(_suffix_batches(length, CHUNK_BYTES), "doc_id long, row long, first int, stop int")
 
@@ -316,7 +318,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUC
     wide = wide.select("doc_id", "row", "first", (F.col("first") + length).alias("stop"))
     spans = copies.unionByName(inner).unionByName(wide).groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
     spans = stage(spans, "spans")
-    discard(contexts, firsts, several, buckets)
+    discard(copies, several)
     return spans
 
 
