@@ -66,14 +66,19 @@ def enrich(resolved: DataFrame, reasons: DataFrame, strict_null_range: bool = Fa
     return joined.withColumn("motivo_desconhecido", F.col("_motivo").isNotNull() & F.col("_codigo").isNull()).drop("_motivo", "_codigo")
 
 
-def split_decodable(journal: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of a known type whose content could be decoded, and the rest with a reason, to be tried again later."""
+def decode_error() -> Column:
+    """Why a record cannot be decoded: its type is not known, or its content is missing. Null for the others."""
     missing = None
     for c in CATALOG.by_name.values():
         lost = (F.col("tipo_de_conteudo") == c.name) & F.col(c.name).isNull()
         missing = lost if missing is None else missing | lost
     unknown = ~F.coalesce(F.col("tipo_de_conteudo").isin(*CATALOG.by_name), F.lit(False))
-    marked = journal.withColumn("motivo", F.when(unknown, "tipo de conteudo").when(F.coalesce(missing, F.lit(False)), "conteudo indecifravel"))
+    return F.when(unknown, "tipo de conteudo").when(F.coalesce(missing, F.lit(False)), "conteudo indecifravel")
+
+
+def split_decodable(journal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of a known type whose content could be decoded, and the rest with a reason, to be tried again later."""
+    marked = journal.withColumn("motivo", decode_error())
     return marked.filter("motivo IS NULL").drop("motivo"), marked.filter("motivo IS NOT NULL")
 
 
@@ -111,9 +116,10 @@ def unpivot(enriched: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
 
 
 def field_map(journal: DataFrame) -> DataFrame:
-    """Per record a map of its fields as text."""
+    """Per record a map of its fields as text; a record that cannot be decoded has none, and says why."""
     text = F.transform(_entries(), lambda x: F.struct(x["nome_do_campo"], F.coalesce(x["valor_texto"], x["valor_numerico"].cast("string"), x["valor_logico"].cast("string"))))
-    return journal.select(*[c for c in COMMON if c in journal.columns], F.map_from_entries(text).alias("campos"))
+    error = decode_error().alias("erro_de_decodificacao")
+    return journal.select(*[c for c in COMMON if c in journal.columns], F.map_from_entries(F.when(error.isNull(), text)).alias("campos"), error)
 
 
 def project(journal: DataFrame, mapping: DataFrame, reasons: DataFrame, strict_null_range: bool = False, fields: tuple[str, ...] = ()) -> DataFrame:

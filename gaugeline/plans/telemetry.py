@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.catalog import ACTIONS, CATALOG, policy
+from ..functions.catalog import ACTIONS, CATALOG, page_limit, policy
 from ..operators import commissioning, journal, monitoring, projection, rollup, timeline, validate
 from ..sources import events as source
 from ..sources import legacy, wire
+from ..streaming import ingest
 
 NOW = "2024-02-01 00:00:00"
 
@@ -516,6 +517,23 @@ def r3(e):
     return rows.select("chave_de_idempotencia", F.array_join(F.sort_array(F.map_keys("campos")), ",").alias("campos_"), value.alias("valor")).withColumnRenamed("campos_", "campos")
 
 
+@_query("r3_field_map_errors", """ SELECT dev || ':' || ses || ':' || s AS chave_de_idempotencia, CASE WHEN event_id % 83 = 0 OR event_id % 67 = 0 THEN 'tipo de conteudo' ELSE 'conteudo indecifravel' END AS erro_de_decodificacao
+ FROM d WHERE event_id % 83 = 0 OR event_id % 67 = 0 OR event_id % 79 = 0""")
+def r3b(e):
+    rows = projection.field_map(source.corrupted(source.deliveries(e))).filter("erro_de_decodificacao IS NOT NULL AND campos IS NULL")
+    return rows.select("chave_de_idempotencia", "erro_de_decodificacao")
+
+
+@_query("f13_default_page", "SELECT id, chave AS chave_de_idempotencia FROM j ORDER BY id DESC LIMIT 100")
+def f13(e):
+    return journal.readings_page(_journal(e), page_limit("-3"), latest=True).select("id", "chave_de_idempotencia")
+
+
+@_query("t5_counts_per_minute", "SELECT date_trunc('minute', obs) AS minuto, dev AS id_do_dispositivo, count(*) AS registros FROM leitura GROUP BY 1, 2")
+def t5(e):
+    return ingest.counts_per_minute(_readings(e))
+
+
 @_query("r5_declared_channels", "SELECT dev AS id_do_dispositivo, CAST(m AS BIGINT) AS modulo, CAST(c AS BIGINT) AS canal, dg AS grandeza, du AS unidade, c * 144000000::BIGINT AS periodo_de_amostragem_ms FROM dec")
 def r5(e):
     return commissioning.declared_channels(commissioning.latest_descriptors(_journal(e))).drop("declarado_em")
