@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -30,6 +30,8 @@ BAND_PERMUTATIONS = 3
 BANDS = 40
 #: Documents in a block of the exact comparison; buckets with more than so many are divided by rare shingles first.
 BLOCK, LARGE = 512, 8192
+#: Shingles of a block, about, so that long texts make smaller ones.
+BLOCK_SHINGLES = 1_000_000
 #: Rows and shingles, about, that a task of the exact comparison holds at once.
 PACK_ROWS, PACK_SHINGLES = 1024, 2_000_000
 
@@ -252,19 +254,23 @@ def _by_rare_shingles(large: DataFrame, sets: DataFrame, percent: int) -> DataFr
 def _links_inside(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of one bucket that lie in different components so far, from (bucket, key, n, comp, members).
 
-    Members outside the bucket's largest component are cut into blocks of BLOCK, and so is that component. Each of the
-    former blocks is compared exactly with all blocks: memory is bounded, and only links leave the task, never the
-    pairs compared. Small buckets share a task.
+    Members outside the bucket's largest component are cut into blocks, and so is that component. Each of the former
+    blocks is compared exactly with all blocks: memory is bounded, and only links leave the task, never the pairs
+    compared. Small buckets share a task.
     """
-    parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("own")).groupBy("bucket")
-    most = stage(parts.agg(F.max(F.struct("own", "comp")).alias("most")).select("bucket", "most.own", F.col("most.comp").alias("largest")), "largest")
+    def blocks(members: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+    parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("own"), F.sum("n").alias("mass")).groupBy("bucket")
+    most = parts.agg(F.max(F.struct("own", "comp", "mass")).alias("most"), F.sum("own").alias("all"), F.sum("mass").alias("weighs"))
+    out = blocks(F.col("all") - F.col("most.own"), F.col("weighs") - F.col("most.mass")).alias("outside")
+    most = stage(most.select("bucket", F.col("most.comp").alias("largest"), out, blocks(F.col("most.own"), F.col("most.mass")).alias("within")), "largest")
     dealt = rows.join(most, "bucket")
-    outside = F.ceil((F.col("members") - F.col("own")) / BLOCK).cast("int")
     inside = F.col("comp") == F.col("largest")
-    count = F.when(inside, F.ceil(F.col("own") / BLOCK).cast("int")).otherwise(F.col("outside"))
+    count = F.when(inside, F.col("within")).otherwise(F.col("outside"))
     block = F.when(inside, F.col("outside")).otherwise(0) + F.pmod(F.xxhash64("key"), count).cast("int")
-    dealt = dealt.withColumn("outside", outside).withColumn("block", block)
-    others = F.when(inside, F.col("outside")).otherwise(F.col("outside") + F.ceil(F.col("own") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", block)
+    others = F.when(inside, F.col("outside")).otherwise(F.col("outside") + F.col("within"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     size = dealt.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()

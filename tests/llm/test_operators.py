@@ -77,10 +77,11 @@ def test_minhash(request, name):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-@pytest.mark.parametrize("block, large", [(512, 8192), (3, 8192), (3, 3)])
-def test_minhash_exact_comparison_joins_components(spark, monkeypatch, block, large):
+@pytest.mark.parametrize("block, shingles, large", [(512, 10**6, 8192), (3, 400, 8192), (3, 10**6, 3)])
+def test_minhash_exact_comparison_joins_components(spark, monkeypatch, block, shingles, large):
     # No leader settles anything; in the last case buckets are divided by their rare shingles.
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(minhash, "LARGE", large)
     monkeypatch.setattr(minhash, "_confirmed", lambda pairs, sets, percent: pairs.select("a", "b").limit(0))
     base = [f"w{i}" for i in range(150)]
