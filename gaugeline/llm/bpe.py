@@ -39,7 +39,7 @@ WORD_END = "</w>"
 #: Fixed value: the code points of Unicode's white space.
 SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Characters of a block, about: its distinct words are encoded together. A longer text is cut at white space.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: Longer words, in bytes, are encoded one by one.
 LONG = 256
 GAP, LETTER, NUMBER, OTHER = range(4)

@@ -172,7 +172,7 @@ def identify(docs: DataFrame, mod: int = 3, left: int = 1) -> DataFrame:
     Predictions read the text only; languages are learned from documents that are not held out. lang_pred is ``und``
     with score 0 where the text is null or has no letter, or where nothing could be learned. Null doc_id is not held
     out and never a training row. Rows that repeat a doc_id are predicted one by one. Texts of any length are read
-    whole, blocks of about 1 MB at a time. Extra columns are ignored; an empty table gives an empty table.
+    whole, blocks of about 500 kB at a time. Extra columns are ignored; an empty table gives an empty table.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == left, F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(train(docs, held))
