@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import audit
 from .bpe import encode
 from .graph_index import nearest
 from .language import identify
@@ -63,6 +64,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,12 +81,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_warc,
         op10_language,
+        op13_filter_audit,
     )
 }
-#: Whole pages hashed and grouped are plain SQL, base 32 included: five bits of the hash at a time. What the other
-#: operators do is no SQL (trained models, a tokenizer, stored media) or too slow in it on whole tables (similarity joins,
+#: Whole pages hashed and grouped are plain SQL, base 32 included: five bits of the hash at a time; so are the counts of
+#: the filter audit. What the other operators do is no SQL (trained models, a tokenizer, stored media) or too slow in it on whole tables (similarity joins,
 #: repeated strings, a line of all words); they are tested against brute force, an exact round trip or held-out rows.
 ORACLE_SQL: dict[str, str] = {
+    "op13_filter_audit": audit.ORACLE_SQL,
     "op9_warc": """
 WITH h AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) || '00' AS x FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM h)
