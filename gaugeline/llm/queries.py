@@ -14,6 +14,7 @@ from .language import identify
 from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import mix
+from .packing import pack
 from .pii import find
 from .suffix import remove_repeats
 from .toxicity import score
@@ -65,6 +66,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=256.0, keep=4)
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_warc,
         op10_language,
+        op11_packing,
         op12_whitening,
         op13_filter_audit,
     )
