@@ -11,6 +11,7 @@ holds several components, the members outside its largest one are then compared
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,43 +33,57 @@ BANDS = 40
 BLOCK, LARGE = 512, 8192
 #: Shingles of a block, about, so that long texts make smaller ones.
 BLOCK_SHINGLES = 1_000_000
+#: Bytes of a word above which its hash is a digest: a polynomial hash of long words is easily made to collide.
+LONG = 32
 #: Rows and shingles, about, that a task of the exact comparison holds at once.
 PACK_ROWS, PACK_SHINGLES = 1024, 2_000_000
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, size: int, codes: np.ndarray, breaks: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each document of a block."""
-    words = Words(data, offsets, breaks, codes)
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=b"shingles").digest(), "little")
+
+
+def _shingles(data: np.ndarray, offsets: np.ndarray, size: int, codes: np.ndarray, lower: np.ndarray, breaks: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each document of a block; and for sets of one shingle, 0 for others, a
+    digest of its words."""
+    words = Words(data, offsets, breaks, codes[lower])
     h, first = words.hashes(), words.first
+    for w in np.flatnonzero(words.end - words.begin > LONG):
+        h[w] = _digest(lower[data[words.begin[w] : words.end[w]]].tobytes())
     keys = np.random.default_rng(7).integers(0, 2**63, size, dtype=np.uint64) * _U(2) + _U(1)
     rolled = np.zeros(max(0, len(h) - size + 1), _U)
     for j in range(size):
         rolled += h[j : j + len(rolled)] * keys[j]
     rolled = mix64(rolled + _U(size))
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+    out, alone = [], np.zeros(len(first) - 1, _U)
+    for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
         if b - a >= size:
             out.append(np.unique(rolled[a : b - size + 1]))
         elif b > a:
             out.append(mix64((h[a:b] * keys[: b - a]).sum(dtype=_U, keepdims=True) + _U(b - a)))
         else:
             out.append(rolled[:0])
-    return out
+        if len(out[-1]) == 1:
+            alone[d] = _digest(b" ".join(lower[data[words.begin[w] : words.end[w]]].tobytes() for w in range(a, min(b, a + size))))
+    return out, alone
 
 
-def _set_keys(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hash of each document's whole shingle set; 0 for empty sets."""
+def _set_keys(values: np.ndarray, sizes: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each document's whole shingle set, 128 bits together; 0 for empty sets."""
     full = np.flatnonzero(sizes)
-    key = np.zeros(len(sizes), _U)
-    if len(full):
-        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64)
-        key[full] = mix64(np.add.reduceat(mix64(values ^ _U(0xA5A5A5A5)), starts) + sizes[full].astype(_U))
-    return key
+    keys = []
+    for salt in (0xA5A5A5A5, 0x3C3C3C3C3C3C3C3C):
+        key = np.zeros(len(sizes), _U)
+        if len(full):
+            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64)
+            key[full] = mix64(np.add.reduceat(mix64(values ^ _U(salt)), starts) + sizes[full].astype(_U))
+        keys.append(key)
+    return keys[0].view(np.int64), np.where(sizes == 1, alone, keys[1]).view(np.int64)
 
 
 def _signature_batches(size: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, breaks = byte_codes(11)[lower_table()], white_space()
+        codes, lower, breaks = byte_codes(11), lower_table(), white_space()
         rng = np.random.default_rng(23)
         perms = bands * BAND_PERMUTATIONS
         flips = rng.integers(0, 2**63, perms, dtype=np.uint64)
@@ -77,12 +92,12 @@ def _signature_batches(size: int, bands: int):
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                sets = _shingles(data, offsets, size, codes, breaks)
+                sets, alone = _shingles(data, offsets, size, codes, lower, breaks)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 values = np.concatenate(sets)
                 starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64) if len(full) else full
-                key = _set_keys(values, sizes)
+                key, check = _set_keys(values, sizes, alone)
                 hashes = np.zeros((len(full), bands), _U)
                 if len(full):
                     buffer = np.empty_like(values)
@@ -99,33 +114,36 @@ def _signature_batches(size: int, bands: int):
                     [
                         ids.slice(lo, hi - lo),
                         pa.array(sizes),
-                        pa.array(key.view(np.int64)),
+                        pa.array(key),
+                        pa.array(check),
                         pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(hashes.ravel().view(np.int64))),
                         *(c.slice(lo, hi - lo) for c in batch.columns[2:]),
                     ],
-                    ["doc_id", "n_shingles", "key", "bands", *batch.schema.names[2:]],
+                    ["doc_id", "n_shingles", "key", "check", "bands", *batch.schema.names[2:]],
                 )
 
     return run
 
 
 def _set_batches(size: int):
-    """Shingle sets of (key, text) rows; a text whose own key is another one, under a doc_id that repeats, goes."""
+    """Shingle sets of (id, key, check, text) rows; a text whose own keys are others, under a doc_id that repeats, goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, breaks = byte_codes(11)[lower_table()], white_space()
+        codes, lower, breaks = byte_codes(11), lower_table(), white_space()
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                sets = _shingles(data, offsets, size, codes, breaks)
-                asked = batch.column(0).slice(lo, hi - lo)
+            for lo, hi, data, offsets in text_blocks(batch.column(3)):
+                sets, alone = _shingles(data, offsets, size, codes, lower, breaks)
+                ids, *asked = (batch.column(i).slice(lo, hi - lo) for i in range(3))
                 sizes = np.array([len(s) for s in sets], np.int64)
-                own = (sizes > 0) & (_set_keys(np.concatenate(sets), sizes).view(np.int64) == asked.to_numpy())
+                own = sizes > 0
+                for found, wanted in zip(_set_keys(np.concatenate(sets), sizes, alone), asked):
+                    own &= found == wanted.to_numpy()
                 if not own.any():
                     continue
-                asked, sets = asked.filter(pa.array(own)), [s for s, o in zip(sets, own) if o]
+                ids, sets = ids.filter(pa.array(own)), [s for s, o in zip(sets, own) if o]
                 ends = np.concatenate([[0], np.cumsum(sizes[own])])
                 yield pa.RecordBatch.from_arrays(
-                    [asked, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
+                    [ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
                     ["key", "shingles"],
                 )
 
@@ -133,8 +151,9 @@ def _set_batches(size: int):
 
 
 def signatures(docs: DataFrame, shingle: int = 5, bands: int = BANDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the whole shingle set), the hash of each band (none for empty sets), ``carry``."""
-    columns = ["doc_id long", "n_shingles long", "key long", "bands array<long>", *carried(docs, carry)]
+    """doc_id, n_shingles, key and check (two hashes of the whole shingle set), the hash of each band (none for empty sets),
+    ``carry``."""
+    columns = ["doc_id long", "n_shingles long", "key long", "check long", "bands array<long>", *carried(docs, carry)]
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *carry).mapInArrow(_signature_batches(shingle, bands), ", ".join(columns))
 
 
@@ -280,15 +299,16 @@ def _links_inside(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _class_labels(docs: DataFrame, heads: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, comp): the component of each class (key, rep, n, bands) that has a link."""
-    members = heads.select("key", "n", F.explode("bands").alias("bucket"))
+    """(node, comp): the component of each class (id, key, check, rep, n, bands) that has a link. From here on a class's
+    key is its id."""
+    members = heads.select(F.col("id").alias("key"), "n", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sizes = stage(sizes, "sizes")
     shared = stage(members.join(sizes, "bucket"), "buckets")
     weights = stage(shared.groupBy("key").agg(F.sum("size").alias("weight")), "weights")
     rows = shared.join(weights, "key").drop("size")
-    texts = heads.join(weights.select("key"), "key").select(F.col("rep").alias("doc_id"), "key")
-    sets = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(texts, "doc_id").select("key", "text")
+    texts = heads.join(weights.select(F.col("key").alias("id")), "id").select(F.col("rep").alias("doc_id"), "id", "key", "check")
+    sets = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(texts, "doc_id").select("id", "key", "check", "text")
     sets = sets.mapInArrow(_set_batches(shingle), "key long, shingles array<long>")
     # Rows that repeat a doc_id and its text give one set.
     sets = stage(sets.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "sets")
@@ -316,10 +336,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     Words are split at ASCII white space and A-Z are lower-cased. A document's set holds its distinct word shingles;
     with fewer words than a shingle the whole sequence is its one member; without words it is empty. Documents are
     linked when ``100 * shared >= percent * united``; component_id is the smallest doc_id reachable over links. group_key,
-    a hash, tells components apart even where rows of two texts repeat one doc_id; it is null where component_id is,
-    and for empty sets.
+    a number that may be another in another run, tells components apart even where rows of two texts repeat one doc_id;
+    it is null where component_id is, and for empty sets.
 
-    Documents with equal sets form a class first, so copies are never expanded into pairs, and a class is joined with
+    Documents with equal sets, by two hashes of 64 bits, form a class with an id of its own first, so copies are never expanded into pairs, and a class is joined with
     its documents only through tables that Spark can split at a hot key. In each band bucket classes are compared with
     one leader, and only pairs that then still lie in different components of a bucket are compared afterwards, so no
     link between different texts is lost.
@@ -329,22 +349,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     table gives an empty table.
     """
     found = stage(signatures(docs, shingle, bands, carry), "signatures")
-    heads = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key")
-    # Equal sets have equal sizes and bands, so any row of a class may give them.
-    heads = stage(heads.agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    heads = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key", "check")
+    # Equal sets have equal sizes and bands, so any row of a class may give them. Ids hold once they are written.
+    heads = heads.agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    heads = stage(heads.withColumn("id", F.monotonically_increasing_id()), "classes")
     labels = _class_labels(docs, heads, shingle, percent)
 
-    linked = stage(labels.join(heads.select(F.col("key").alias("node"), "rep"), "node"), "linked")
+    linked = stage(labels.join(heads.select(F.col("id").alias("node"), "rep"), "node"), "linked")
     lowest = stage(linked.groupBy("comp").agg(F.min("rep").alias("component_id")), "lowest")
-    of_link = linked.join(lowest, "comp").select(F.col("node").alias("key"), "component_id", F.col("comp").alias("group_key"))
-    of_class = heads.select("key", "rep").join(of_link, "key", "left")
-    of_class = stage(of_class.select("key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("group_key", "key").alias("group_key")), "groups")
+    of_link = linked.join(lowest, "comp").select(F.col("node").alias("id"), "component_id", F.col("comp").alias("group_key"))
+    of_class = heads.select("id", "key", "check", "rep").join(of_link, "id", "left")
+    of_class = stage(of_class.select("key", "check", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("group_key", "id").alias("group_key")), "groups")
     discard(heads, labels, linked, lowest)
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
     return (
-        found.select("doc_id", "n_shingles", "key", *carry)
-        .join(of_class, "key", "left")
+        found.select("doc_id", "n_shingles", "key", "check", *carry)
+        .join(of_class, ["key", "check"], "left")
         .withColumn("component_id", own)
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
         .withColumn("group_key", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("group_key")))

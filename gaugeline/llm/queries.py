@@ -43,7 +43,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
+    return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80).drop("group_key")
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -96,6 +97,29 @@ def test_minhash_exact_comparison_joins_components(spark, monkeypatch, block, sh
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, shingle=4).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_minhash_long_words_and_one_shingle(spark):
+    """Thue-Morse words and their complements share a polynomial hash modulo 2**64 whatever its base and letters."""
+    rows = []
+    for k in range(8, 17):
+        bits = [n.bit_count() % 2 for n in range(1 << k)]
+        rows += [("".join("ab"[b] for b in bits),), ("".join("ba"[b] for b in bits),)]
+    words = [w for (w,) in rows]
+    docs = [(i, w) for i, w in enumerate(words)] + [(100 + i, f"one two {w} four") for i, w in enumerate(words)]
+    docs += [(200, "p q r s"), (201, "P q r S"), (202, "p p p p"), (203, "p p p p p p"), (204, "p q r"), (205, words[-1].upper())]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = components(docs, 4, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, shingle=4).collect()} == want
+    assert want[201][1] == 200 and want[203][1] == 202 and want[205][1] == len(words) - 1
+
+
+def test_minhash_classes_need_both_hashes(spark, monkeypatch):
+    full = minhash._set_keys
+    monkeypatch.setattr(minhash, "_set_keys", lambda *a: (full(*a)[0] * 0, full(*a)[1]))
+    rows = [(i, f"{'alpha ' if i % 2 else 'beta '} c{i // 4} d{i // 4} e{i // 4} f{i // 4}") for i in range(16)]
+    batches = list(minhash._signature_batches(4, 2)(iter([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])])))
+    assert len({(k, c) for b in batches for k, c in zip(b.column("key").to_pylist(), b.column("check").to_pylist())}) == 8
+
+
 def groups_of(edges):
     """Components as sets of nodes; each is named by one of them."""
     found: dict = {}
