@@ -112,18 +112,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _more_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Proposals of the other kinds that touch neither a base span nor an earlier proposal."""
+    """Proposals of the other kinds that touch neither a base span nor an earlier proposal. Matches of a kind come in order,
+    so one walk along the spans used so far is enough for each kind."""
     found = []
     used = sorted((a, b) for _, a, b in taken)
     for kind, pattern in (("email_text", _EMAIL_TEXT), ("phone_local", _PHONE_LOCAL), ("iban", _IBAN), ("key", _KEY)):
         if kind == "email_text" and " at " not in text and "at)" not in text and "at]" not in text:
             continue
+        new, at, reach = [], 0, 0
         for m in pattern.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y in used):
-                continue
-            used.append((a, b))
-            found.append((kind, a, b))
+            # Of the spans that begin before this one's end, some reach into it or none does.
+            while at < len(used) and used[at][0] < b:
+                reach = max(reach, used[at][1])
+                at += 1
+            if reach <= a:
+                new.append((a, b))
+        found += [(kind, a, b) for a, b in new]
+        used = sorted(used + new)
     return found
 
 
