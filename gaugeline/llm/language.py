@@ -125,19 +125,23 @@ def train(docs: DataFrame, held_out) -> OutputCodes | None:
     """Fit on a sample of documents with a language that are not held out; None where there is no such document.
 
     Every value of lang is learned: SAMPLE texts are spread evenly over the languages, and where that leaves less than
-    LEAST of each, LEAST of each are taken. The driver holds these as rows of 8 kB. A hash of doc_id and text draws a
-    few more than wanted, and the first of each language by that hash are taken, a repeated row once.
+    LEAST of each, LEAST of each are taken. The driver holds these as rows of 8 kB: 4,000 of them, or LEAST times the
+    number of languages where there are more than 1,000. A hash of doc_id and text draws a few more than wanted, counted by
+    distinct hashes, since repeated rows share one, and always a language's first; the first of each language by that hash
+    are taken, a repeated row once.
     """
     rows = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")), "languages")
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text"))
+    place = F.pmod("draw", F.lit(1 << 40))
+    counts = rows.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.min(place).alias("foremost"))
+    counts = stage(counts, "languages")
     languages = counts.count()
     if not languages:
         return None
     each = max(SAMPLE // languages, LEAST)
     drawn = each + 4 * each**0.5 + 10
-    rows = rows.join(counts, "lang").withColumn("draw", F.xxhash64("doc_id", "text"))
-    rows = rows.filter(F.pmod("draw", F.lit(1 << 40)) < F.lit(drawn * (1 << 40)) / F.col("texts"))
+    rows = rows.join(counts, "lang").filter((place < F.lit(drawn * (1 << 40)) / F.col("texts")) | (place == F.col("foremost")))
     rows = rows.groupBy("lang", "draw", "doc_id").agg(F.min("text").alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     rows = rows.withColumn("first", first).filter(F.col("first") <= each).select("doc_id", "text", "lang")
