@@ -176,8 +176,9 @@ def _index_group(top: int, folder: str):
         group = group.sort_values("vec_id")
         ids = group["vec_id"].to_numpy()
         vectors = np.stack(group["embedding"].to_numpy()).astype(np.float64)
-        # Equal vectors are one node: its answers are its smallest ids, and more than top + 1 of them never count.
-        _, first, node = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+        # Equal vectors, and those that only a power of two tells apart, have equal scores and are one node: its answers
+        # are its smallest ids, and more than top + 1 of them never count.
+        _, first, node = np.unique(vectors / np.abs(vectors).max(axis=1, keepdims=True), axis=0, return_index=True, return_inverse=True)
         node = node.ravel()
         by = np.argsort(node, kind="stable")
         place = np.arange(len(by)) - np.searchsorted(node[by], node[by])
@@ -231,8 +232,7 @@ def _search(index: dict, ids: np.ndarray, wanted: np.ndarray, top: int, beam: in
         q = part / np.abs(part).max(axis=1, keepdims=True)
         q = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
         nodes, _ = beam_search(unit, arcs, int(index["start"]), q, beam)
-        # A few nodes beyond the wanted number, so that single precision does not decide their order.
-        nodes = nodes[:, : 2 * top + 2]
+        # The whole beam, so that single precision decides nothing.
         rows, slots = np.nonzero(nodes >= 0)
         score = cosines(part[rows], vectors[nodes[rows, slots]])
         flat = pd.DataFrame({"query_id": np.repeat(own[rows], top + 1), "vec_id": members[nodes[rows, slots]].ravel(), "score": np.repeat(score, top + 1)})
