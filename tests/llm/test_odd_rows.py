@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import tarfile
+import time
 
 import duckdb
 import numpy as np
@@ -215,3 +216,40 @@ def test_toxicity_sample_is_bounded_by_bytes_not_by_length(spark):
     few = toxicity._chosen(measured, 1, 3000, 20_000)
     assert 5 < len(few) < 20 and sum(r[2] for r in few) <= 20_000
     assert len(toxicity._chosen(measured, 1, 3000, 10)) == 1
+
+
+@pytest.mark.parametrize("text", ["gone often", "andere woorden"])
+def test_a_language_of_one_repeated_text_is_learned(spark, text):
+    rows = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words number "), "id").alias("text"), F.lit("en").alias("lang"))
+    often = spark.range(6000).select(F.lit(5000).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit("xx").alias("lang"))
+    found = language.train(rows.unionByName(often), F.lit(False))
+    assert found.languages == ["en", "xx"]
+
+
+def test_many_scaled_copies_tie(spark):
+    base = [0.3, -0.7, 0.11, 0.9]
+    rows = [(2000 + i, [c * 2.0 ** (i - 100) for c in base]) for i in range(200)] + [(0, [c * 2.0**7 for c in base]), (1, [c * 2.0**3 for c in base])]
+    rows += [(4000 + i, [float(i % 7), 1.0, float(i % 3), -float(i)]) for i in range(300)]
+    got = {}
+    for r in graph_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert [got[0][k][0] for k in range(1, 6)] == [1, 2000, 2001, 2002, 2003]
+    assert [got[2000][k][0] for k in range(1, 6)] == [0, 1, 2001, 2002, 2003] and {got[2000][k][1] for k in range(1, 6)} == {got[0][1][1]}
+
+
+def test_very_many_spans_in_one_text():
+    text = " ".join(f"a1b2c3d4e5f6g7h8i9j{i}" for i in range(100_000)) + " x@y.org"
+    began = time.time()
+    assert len(pii._more_spans(text, pii.base_spans(text))) == 100_000 and time.time() - began < 10
+    text, rng = "", np.random.default_rng(2)
+    for _ in range(300):
+        text += rng.choice(["a@b.org", "me at host dot org", "555-123-4567", "DE89370400440532013000", "0123456789abcdef0123", "+49 301234567", "4111 1111 1111 1111", "-", "x"]) + rng.choice([" ", "", ".", "@"])
+    base, want = pii.base_spans(text), []
+    used = [(a, b) for _, a, b in base]
+    for kind, pattern in (("email_text", pii._EMAIL_TEXT), ("phone_local", pii._PHONE_LOCAL), ("iban", pii._IBAN), ("key", pii._KEY)):
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if not any(a < y and x < b for x, y in used):
+                used.append((a, b))
+                want.append((kind, a, b))
+    assert pii._more_spans(text, base) == want and len(want) > 20
