@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.state import Folder, Versions
 
 SESSION = ["id_do_dispositivo", "id_da_sessao_de_boot"]
 
@@ -21,6 +23,39 @@ def deduplicate(rows: DataFrame, by_session: bool = False) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+#: Sequences of a page: runs of held sequences are cut at page ends, so that a long session is spread over tasks.
+PAGE = 1 << 16
+HELD = "id_do_dispositivo string, id_da_sessao_de_boot string, pagina long, primeira long, ultima long"
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """Rows as runs of one sequence each."""
+    at = F.col("numero_de_sequencia")
+    return rows.select(*SESSION, F.floor(at / PAGE).cast("long").alias("pagina"), at.alias("primeira"), at.alias("ultima"))
+
+
+def held_sequences(rows: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Runs of consecutive sequences (SESSION, pagina, primeira, ultima) that rows, and the runs held before, cover
+    together. A window sees one page of a session: no more runs than a page has sequences."""
+    spans = _spans(rows) if held is None else _spans(rows).unionByName(held)
+    order = Window.partitionBy(*SESSION, "pagina").orderBy("primeira", "ultima")
+    reach = F.max("ultima").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.coalesce(F.col("primeira") <= reach + 1, F.lit(False)), 0).otherwise(1)
+    runs = spans.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*SESSION, "pagina", "_run").agg(F.min("primeira").alias("primeira"), F.max("ultima").alias("ultima")).drop("_run")
+
+
+def not_held(batch: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows of a batch whose sequence no run of its session covers. Rows and runs of a page are walked in one sorted pass
+    that carries the last end so far, so the work does not multiply with the number of runs."""
+    rows = batch.select(*SESSION, F.floor(F.col("numero_de_sequencia") / PAGE).cast("long").alias("pagina"), F.col("numero_de_sequencia").alias("primeira"),
+                        F.lit(None).cast("long").alias("ultima"), F.struct(*[F.col(f"`{c}`") for c in batch.columns]).alias("_row"))
+    runs = held.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
+    order = Window.partitionBy(*SESSION, "pagina").orderBy("primeira", F.col("ultima").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(runs).withColumn("_until", F.max("ultima").over(order))
+    return both.filter("_row IS NOT NULL AND (_until IS NULL OR _until < primeira)").select("_row.*")
+
+
 def not_yet_written(batch: DataFrame, journal: DataFrame) -> DataFrame:
     """Rows of a deduplicated batch whose key the journal does not hold. Only sessions present in the batch are read."""
     sessions = batch.select(*SESSION).distinct()
@@ -35,13 +70,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Append to the journal table, one folder per day of observation."""
-    rows.withColumn("dt", F.to_date("instante_observado")).write.mode("append").partitionBy("dt").parquet(path)
+    """Append to the journal table: a folder per day of observation, and in it one of this write."""
+    rows = rows.withColumns({"dt": F.to_date("instante_observado"), "batch_id": F.lit(f"append-{uuid.uuid4().hex[:8]}")})
+    rows.write.mode("append").partitionBy("dt", "batch_id").parquet(path)
 
 
 def read(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """The journal table; with days, only their folders are read."""
+    """The journal table, without folders that a fold has replaced; with days, only their folders are read."""
     rows = spark.read.parquet(path)
+    if exists(spark, f"{path}/_folds"):
+        for day, names in Versions(spark, f"{path}/_folds").latest()[1].items():
+            if names:
+                rows = rows.filter((F.col("dt") != F.lit(day).cast("date")) | ~F.col("batch_id").isin(names))
     rows = rows if since is None else rows.filter(F.col("dt") >= F.lit(since).cast("date"))
     return rows if until is None else rows.filter(F.col("dt") <= F.lit(until).cast("date"))
 
@@ -103,6 +143,69 @@ def prune(journal: DataFrame, cursors: DataFrame, before) -> DataFrame:
     return journal.join(F.broadcast(safe)).filter(~gone).drop("_safe")  # one row by construction
 
 
+def fold_day(spark: SparkSession, path: str, day: str, keep: Column | None = None) -> None:
+    """Rewrite a day's folders as one, with the rows for which ``keep`` holds.
+
+    The list of replaced folders is a versioned document: the new folder is on it while it is written, and one commit takes
+    it off and puts the old ones on, so readers see either. Old folders stay for readers that have listed them, until
+    ``clear_folds``. Folders that a stream adds meanwhile are not on the list and not touched.
+    """
+    folder, versions = Folder(spark, path), Versions(spark, f"{path}/_folds")
+    number, hidden = versions.latest()
+    old = hidden.get(day, [])
+    now = [n.removeprefix("batch_id=") for n in folder.names(f"dt={day}") if n.startswith("batch_id=")]
+    now, new = [n for n in now if n not in old], f"fold-{uuid.uuid4().hex[:8]}"
+    if not now:
+        return
+    versions.commit(number + 1, hidden | {day: [*old, new]})
+    rows = spark.read.parquet(*(f"{path}/dt={day}/batch_id={n}" for n in now))
+    rows = rows if keep is None else rows.filter(keep)
+    rows.coalesce(1 + len(now) // 1000).write.parquet(f"{path}/dt={day}/batch_id={new}")
+    versions.commit(number + 2, hidden | {day: [*old, *now]})
+
+
+def clear_folds(spark: SparkSession, path: str) -> int:
+    """Delete the folders that folds have replaced, once no reader of before needs them. Returns how many."""
+    folder, versions = Folder(spark, path), Versions(spark, f"{path}/_folds")
+    number, hidden = versions.latest()
+    gone = [(day, n) for day, names in hidden.items() for n in names]
+    for day, n in gone:
+        folder.delete(f"dt={day}/batch_id={n}")
+    if gone:
+        versions.commit(number + 1, {})
+    return len(gone)
+
+
+def compact(spark: SparkSession, path: str, before: str) -> list[str]:
+    """Fold the days before ``before`` that have more than one folder; what earlier folds replaced is deleted first. Returns
+    the days folded."""
+    clear_folds(spark, path)
+    folder = Folder(spark, path)
+    days = [n.removeprefix("dt=") for n in folder.names() if n.startswith("dt=")]
+    days = [d for d in days if d < before and len([n for n in folder.names(f"dt={d}") if n.startswith("batch_id=")]) > 1]
+    for day in days:
+        fold_day(spark, path, day)
+    return days
+
+
+def prune_table(spark: SparkSession, path: str, cursors: DataFrame, before) -> tuple[list[str], list[str]]:
+    """``prune`` on the journal table: days of which all rows go are deleted, and days of which some go are rewritten; other
+    folders are not touched. Returns both lists of days; only counts by day reach the driver."""
+    safe = cursors.agg(F.coalesce(F.min("ultimo_id_projetado"), F.lit(0))).first()[0]
+    limit = F.lit(before).cast("timestamp")
+    gone = (F.col("id") <= safe) & (F.col("instante_observado") < limit)
+    days = read(spark, path).filter(F.col("dt") <= F.to_date(limit)).groupBy("dt").agg(F.count(F.lit(1)).alias("all"), F.count_if(gone).alias("gone"))
+    deleted, rewritten = [], []
+    for day, every, some in sorted((str(r["dt"]), r["all"], r["gone"]) for r in days.filter("gone > 0").collect()):
+        if some == every:
+            Folder(spark, path).delete(f"dt={day}")
+            deleted.append(day)
+        else:
+            fold_day(spark, path, day, ~gone)
+            rewritten.append(day)
+    return deleted, rewritten
+
+
 def prune_days(spark: SparkSession, path: str, cursors: DataFrame, before: str) -> list[str]:
     """Delete whole days of the journal table: those before ``before`` whose records every consumer has passed. Other
     rows stay as they are. Returns the days deleted; only ids and counts of days reach the driver."""

@@ -15,6 +15,32 @@ def anchors(journal: DataFrame) -> DataFrame:
     )
 
 
+def arrival_ordinals(rows: DataFrame, instant: str, ties: list[str], slice_ms: int = 1000) -> DataFrame:
+    """Adds _ordinal, from 1 without gaps, by ``instant`` and then ``ties``; together these tell rows apart.
+
+    The order is cut into slices of time, so no task sorts more than one: rows are numbered inside slices, and slices take
+    their offsets from running totals, first inside stretches of ten thousand slices and then over the stretches. Nothing
+    depends on how rows lie in partitions, so a repeated batch gets the same numbers. Null instants come first.
+    """
+    rows = rows.withColumn("_slice", F.floor(F.unix_millis(instant) / slice_ms)).withColumn("_stretch", F.floor(F.col("_slice") / 10_000))
+    sizes = rows.groupBy("_stretch", "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    stretches = sizes.groupBy("_stretch").agg(F.sum("_size").alias("_sum"))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = stretches.select(F.col("_stretch").alias("_of"), F.coalesce(F.sum("_sum").over(before("_stretch")), F.lit(0)).alias("_far"))
+    offsets = sizes.withColumn("_near", F.coalesce(F.sum("_size").over(before("_stretch", "_slice")), F.lit(0)))
+    offsets = offsets.join(ahead, F.col("_stretch").eqNullSafe(F.col("_of"))).select(F.col("_slice").alias("_at"), (F.col("_near") + F.col("_far")).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(instant, *ties))
+    numbered = rows.withColumn("_inside", inside).join(offsets, F.col("_slice").eqNullSafe(F.col("_at")))
+    return numbered.withColumn("_ordinal", F.col("_offset") + F.col("_inside")).drop("_slice", "_stretch", "_inside", "_at", "_offset")
+
+
+def first_receipts(receipts: DataFrame) -> DataFrame:
+    """Anchors with the clocks of the receipt that made them, for ``clock_steps``: the session's first receipt by id."""
+    clocks = F.struct("tempo_ligado_ms", F.col("instante").alias("instante_da_ancora"), F.col("decorrido_ns").alias("decorrido_da_ancora_ns"), "id_da_execucao", "id")
+    first = receipts.groupBy(*SESSION).agg(F.min_by(clocks, "id").alias("a"))
+    return first.select(*SESSION, F.col("a.tempo_ligado_ms").alias("ancora_ms"), "a.instante_da_ancora", "a.decorrido_da_ancora_ns", "a.id_da_execucao", "a.id")
+
+
 def estimate(journal: DataFrame, anchor: DataFrame) -> DataFrame:
     """Adds instante_estimado; null without an anchor and for an uptime before it."""
     later = F.col("tempo_ligado_ms") >= F.col("ancora_ms")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import CATALOG, QUANTITIES
@@ -66,10 +66,11 @@ def mapping_faults(mapping: DataFrame) -> DataFrame:
 
 
 def overlaps(mapping: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of rows with equal keys whose validities meet; keys are the channel, or the point."""
+    """Rows that begin before another with equal keys ends (_id2), each with the earlier row that reaches furthest (_id);
+    keys are the channel, or the point. Rows are walked once by their start, carrying the largest end so far."""
     rows = mapping.withColumn("_a", F.coalesce("vigente_de", F.lit("0001-01-01").cast("timestamp"))).withColumn("_z", F.coalesce("vigente_ate", F.lit("9999-01-01").cast("timestamp")))
     rows = rows.withColumn("_id", F.struct("dispositivo", "modulo", "canal", "ponto", "_a", "_z"))
-    other = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_a").alias("_a2"), F.col("_z").alias("_z2"), F.col("_id").alias("_id2"))
-    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
-    return rows.join(other, same).filter("_id < _id2 AND _a < _z2 AND _a2 < _z").select(*keys, "_id", "_id2")
+    walk = Window.partitionBy(*keys).orderBy("_a", "_z", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.dropna(subset=keys).withColumn("_far", F.max(F.struct("_z", "_id")).over(walk))
+    return rows.filter("_a < _far._z").select(*keys, F.col("_far._id").alias("_id"), F.col("_id").alias("_id2"))
 

@@ -237,6 +237,41 @@ def w3(e):
     return timeline.anchors(_journal(e, by_session=True))
 
 
+_ARRIVED = """, r0 AS (SELECT *, max(obs) OVER (PARTITION BY ship) AS recebida FROM d), o AS (SELECT *, row_number() OVER (ORDER BY recebida, ship, s) AS n FROM r0)
+"""
+
+
+def _arrived(e):
+    """Envelopes of the binary path, with ids in order of arrival."""
+    return ingest.identified(wire.split_refused(wire.decode_shipments(wire.encode_shipments(source.deliveries(e))))[0])
+
+
+@_query("w3_arrival_ids", _ARRIVED + "SELECT ship AS shipment_id, s AS numero_de_sequencia, n AS id FROM o")
+def w3b(e):
+    return _arrived(e).select("shipment_id", "numero_de_sequencia", "id")
+
+
+@_query("w3_arrival_anchors", _ARRIVED + "SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, arg_min(up, n) AS ancora_ms, arg_min(recebida, n) AS instante_da_ancora FROM o GROUP BY 1, 2")
+def w3c(e):
+    return timeline.anchors(_arrived(e))
+
+
+@_query("t1_held_runs", """, i AS (SELECT dev, ses, s, s - row_number() OVER (PARTITION BY dev, ses ORDER BY s) AS g FROM j)
+SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, 0::BIGINT AS pagina, min(s) AS primeira, max(s) AS ultima FROM i GROUP BY dev, ses, g""")
+def t1(e):
+    rows = source.deliveries(e)
+    # Held batch by batch, as the stream merges them.
+    held = journal.held_sequences(rows.filter("id % 3 = 0"))
+    return journal.held_sequences(rows.filter("id % 3 <> 0"), held)
+
+
+@_query("t1_new_beside_held", """, b AS (SELECT * FROM d WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY dev, ses, s ORDER BY id) = 1)
+ SELECT id FROM b WHERE (dev, ses, s) NOT IN (SELECT (dev, ses, s) FROM d WHERE id % 3 <> 0)""")
+def t1b(e):
+    rows = source.deliveries(e)
+    return journal.not_held(journal.deduplicate(rows.filter("id % 3 = 0")), journal.held_sequences(rows.filter("id % 3 <> 0"))).select("id")
+
+
 @_query("d1_estimated_instant", """, a AS (SELECT dev, ses, arg_min(up, id) AS a0, arg_min(obs, id) AS ao FROM j GROUP BY 1, 2)
 SELECT chave AS chave_de_idempotencia, CASE WHEN up >= a0 THEN epoch_us(ao) // 1000 + up - a0 END AS estimado_ms FROM j JOIN a USING (dev, ses)""")
 def d1(e):
@@ -358,6 +393,28 @@ def d2(e):
     return out.select("id_do_dispositivo", "janela", "quantidade", *[F.round(c, 6).alias(c) for c in ("minimo", "maximo", "media", "valor_eficaz")])
 
 
+@_query("d2_windows_by_end", """, a AS (SELECT dev, ses, arg_min(up, id) AS a0, arg_min(obs, id) AS ao FROM j GROUP BY 1, 2),
+p AS (SELECT dev, k + 1 AS n, value, (k + 1) * 60000 AS w, epoch_us(ao) // 1000 + up - a0 AS z FROM j JOIN a USING (dev, ses) WHERE tipo = 'amostra_agregada' AND up >= a0),
+b AS (SELECT *, n * CAST(least(z, (h + 1) * 3600000) - greatest(z - w, h * 3600000) AS DOUBLE) / w AS f FROM p, LATERAL (SELECT unnest(generate_series((z - w) // 3600000, (z - 1) // 3600000)) AS h))
+SELECT dev AS id_do_dispositivo, make_timestamp(h * 3600000000) AS janela, round(sum(f), 6) AS quantidade, round(min(value * 0.5::DOUBLE), 6) AS minimo, round(max(value * 1.5::DOUBLE), 6) AS maximo,
+ round(sum(value * f) / sum(f), 6) AS media, round(sqrt(sum(power(value * 1.1::DOUBLE, 2) * f) / sum(f)), 6) AS valor_eficaz FROM b GROUP BY 1, 2""")
+def d2b(e):
+    rows = _journal(e, by_session=True)
+    # Windows of up to 100 minutes, so that many cross an hour.
+    rows = timeline.estimate(rows, timeline.anchors(rows)).filter("amostra_agregada IS NOT NULL AND instante_estimado IS NOT NULL").select("id_do_dispositivo", "instante_estimado", "amostra_agregada.*")
+    out = rollup.reaggregate_by_end(rows.withColumn("janela_ms", F.col("quantidade") * 60_000), ["id_do_dispositivo"], "instante_estimado")
+    return out.select("id_do_dispositivo", "janela", *[F.round(c, 6).alias(c) for c in ("quantidade", "minimo", "maximo", "media", "valor_eficaz")])
+
+
+@_query("d3_merged_days", """SELECT dev AS id_do_dispositivo, campo AS nome_do_campo, date_trunc('week', obs)::TIMESTAMP AS semana, count(*) AS quantidade, round(min(num), 6) AS minimo, round(max(num), 6) AS maximo,
+ round(avg(num), 6) AS media, round(sqrt(avg(num * num)), 6) AS valor_eficaz FROM leitura WHERE classe = 'sample' AND num IS NOT NULL GROUP BY 1, 2, 3""")
+def d3c(e):
+    keys = ["id_do_dispositivo", "nome_do_campo"]
+    days = rollup.day_parts(_readings(e), keys)
+    weeks = rollup.merge_parts(days.withColumn("semana", F.date_trunc("week", "hora")), [*keys, "semana"])
+    return weeks.select(*keys, "semana", "quantidade", *[F.round(c, 6).alias(c) for c in ("minimo", "maximo", "media", "valor_eficaz")])
+
+
 @_query("d3_retained_rows", "SELECT classe AS classe_de_dado, count(*) AS linhas FROM leitura WHERE CASE WHEN classe = 'sample' THEN date_diff('day', CAST(obs AS DATE), DATE '2024-02-01') <= 7 ELSE date_diff('day', CAST(obs AS DATE), DATE '2024-02-01') <= 1825 END GROUP BY 1")
 def d3(e):
     return rollup.retain(_readings(e), NOW)[0].groupBy("classe_de_dado").agg(F.count(F.lit(1)).alias("linhas"))
@@ -479,6 +536,14 @@ def t9(e):
     return timeline.clock_steps(source.receipts(source.deliveries(e)), first).select("id", "salto_de_relogio")
 
 
+@_query("t9_clock_state", """, q AS (SELECT *, up * 1000000 + CASE WHEN event_id % 19 = 0 THEN 5000000000 ELSE 0 END AS ns, CASE WHEN event_id % 3 = 0 THEN 'run-b' ELSE 'run-a' END AS run FROM d),
+ a AS (SELECT dev, ses, arg_min(obs, id) AS ao, arg_min(ns, id) AS an, arg_min(run, id) AS ar FROM q GROUP BY 1, 2)
+ SELECT id, run = ar AND abs((epoch_us(obs) - epoch_us(ao)) * 1000 - (ns - an)) > 1000000000 AS salto_de_relogio FROM q JOIN a USING (dev, ses)""")
+def t9b(e):
+    got = source.receipts(source.deliveries(e))
+    return timeline.clock_steps(got, timeline.first_receipts(got).drop("ancora_ms", "id")).select("id", "salto_de_relogio")
+
+
 @_query("d5_mute_channels", """, u AS (SELECT dev AS d2, k % 2 AS m2, k % 4 AS c2, max(obs) AS ultimo FROM j WHERE tipo IN ('amostra_escalar', 'leitura_de_contador', 'transicao_digital', 'amostra_agregada', 'mudanca_de_estado_de_maquina') GROUP BY 1, 2, 3)
  SELECT dev AS id_do_dispositivo, CAST(m AS BIGINT) AS modulo, CAST(c AS BIGINT) AS canal, c * 144000000::BIGINT AS periodo_ms, ultimo,
  c > 0 AND (ultimo IS NULL OR epoch_us(TIMESTAMP '2024-02-01') // 1000 - epoch_us(ultimo) // 1000 > 3 * c * 144000000::BIGINT) AS mudo FROM dec LEFT JOIN u ON dev = d2 AND m = m2 AND c = c2""")

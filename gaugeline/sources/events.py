@@ -155,7 +155,7 @@ def receipts(delivered: DataFrame) -> DataFrame:
     """Receipts of the deliveries: the gateway's clocks and run, and the device that authenticated."""
     late = F.when(F.col("event_id") % 19 == 0, 5_000_000_000).otherwise(0)
     return delivered.select(
-        "id", "event_id", "id_do_dispositivo", "id_da_sessao_de_boot", F.col("instante_observado").alias("instante"), (F.col("tempo_ligado_ms") * 1_000_000 + late).alias("decorrido_ns"),
+        "id", "event_id", "id_do_dispositivo", "id_da_sessao_de_boot", "tempo_ligado_ms", F.col("instante_observado").alias("instante"), (F.col("tempo_ligado_ms") * 1_000_000 + late).alias("decorrido_ns"),
         F.when(F.col("event_id") % 3 == 0, "run-b").otherwise("run-a").alias("id_da_execucao"),
         F.when(F.col("event_id") % 43 == 0, "dev-outro").otherwise(F.col("id_do_dispositivo")).alias("id_autenticado"),
     )

@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.catalog import CATALOG, Catalog, Content, in_force, out_of_range, page_limit
@@ -139,7 +140,7 @@ def test_stream_equals_batch(spark, delivered, tmp_path):
     assert keys_of(got) == keys_of(want) and got.select("batch_id").distinct().count() == 3
     # A new checkpoint sends everything again, and a repeated batch writes its rows in their place.
     ingest.ingest(stream, str(tmp_path / "journal"), str(tmp_path / "cp2")).awaitTermination()
-    ingest.journal_batch(str(tmp_path / "journal"))(delivered.filter("id < 500"), 0)
+    ingest.journal_batch(str(tmp_path / "journal"))(delivered.filter("id < 500"), 7)
     again = journal.read(spark, str(tmp_path / "journal"))
     assert keys_of(again.dropDuplicates(["chave_de_idempotencia"])) == keys_of(want) == keys_of(again)
 
@@ -148,7 +149,8 @@ def test_binary_stream_anchors_descriptors_and_projection(spark, tmp_path):
     e = spark.read.parquet(f"{DIR}/events.parquet")
     delivered, mapping, reasons = source.deliveries(e), source.mapping(e), source.reasons(e)
     sent = wire.encode_shipments(delivered).select("shipment_id", "instante_observado", "payload")
-    sent.repartitionByRange(2, "instante_observado").write.parquet(str(tmp_path / "in"))
+    for early in ("instante_observado < '2024-01-15'", "instante_observado >= '2024-01-15'"):
+        sent.filter(early).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     path = {n: str(tmp_path / n) for n in ("journal", "anchors", "descriptors", "readings", "quarantine")}
     ingest.ingest_shipments(stream, path["journal"], str(tmp_path / "c1")).awaitTermination()
@@ -160,9 +162,23 @@ def test_binary_stream_anchors_descriptors_and_projection(spark, tmp_path):
 
     ingest.track(records(), path["anchors"], path["descriptors"], str(tmp_path / "c2")).awaitTermination()
     got = ingest.read_anchors(spark, path["anchors"])
-    assert got.count() == got.select(*timeline.SESSION).distinct().count() == timeline.anchors(rows).count()
+    assert sorted(map(str, got.select(*timeline.anchors(rows).columns).collect())) == sorted(map(str, timeline.anchors(rows).collect()))
+    # The anchor is the first envelope of the first shipment to arrive.
+    uptimes = lambda df: {tuple(r[:2]): r[2] for r in df.select(*timeline.SESSION, "ancora_ms").collect()}
+    arrived = Window.partitionBy("shipment_id")
+    order = F.struct(F.max("instante_observado").over(arrived).alias("a"), F.col("shipment_id").alias("b"), F.col("numero_de_sequencia").alias("c"))
+    want = delivered.withColumn("_order", order).groupBy(*timeline.SESSION).agg(F.min_by("tempo_ligado_ms", "_order").alias("ancora_ms"))
+    assert uptimes(got) == uptimes(want)
+    ids = [r[0] for r in rows.select("id").orderBy("id").collect()]
+    assert len(set(ids)) == len(ids) and ids[-1] <= delivered.count()
     latest = commissioning.latest_descriptors(rows).select("id_do_dispositivo", "id")
-    assert sorted(latest.collect()) == sorted(ingest.read_descriptors(spark, path["descriptors"]).select("id_do_dispositivo", "id").collect())
+    assert sorted(latest.collect()) == sorted(ingest.read_descriptors(spark, path["descriptors"], rows.schema).select("id_do_dispositivo", "id").collect())
+
+    # Without redeliveries shipments arrive in the order of ids: the same anchors as on the decoded path, and no estimate is lost.
+    once = wire.split_refused(wire.decode_shipments(wire.encode_shipments(delivered.filter("id < 10000000"))))[0]
+    once = journal.deduplicate(ingest.identified(once))
+    assert uptimes(timeline.anchors(once)) == uptimes(timeline.anchors(delivered))
+    assert timeline.estimate(once, timeline.anchors(once)).filter("instante_estimado IS NULL").count() == 0
 
     for checkpoint in ("c3", "c4"):  # the second consumer reads everything again and writes nothing
         ingest.projection(records(), mapping, reasons, path["readings"], path["quarantine"], str(tmp_path / checkpoint)).awaitTermination()
