@@ -1,7 +1,8 @@
 """Binary shipments of the telemetry contract: decoding to envelope rows, and encoding of envelope rows.
 
-A shipment is a protocol buffer message. Python only reads the bytes of single shipments, a slice of an Arrow batch at
-a time; spreading, grouping and validation are left to Spark.
+A shipment is a protocol buffer message. A slice of an Arrow batch is decoded level by level, all its shipments, envelopes
+and contents together, into columns; what is malformed or says a thing twice is read again message by message, which also
+states what must come out. Spreading, grouping and validation are left to Spark.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +18,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.catalog import QUANTITIES
+from .scan import PAD, Fields, column, scan, slices
 
 # Limits and field numbers of the contract. Kinds: u unsigned, i signed, f float, b boolean, s text.
 MAX_BODY = 4 << 20
 MAX_ENVELOPES = 1000
-SLICE = 64
+#: Bytes of shipments, about, and number of them at most, that are decoded together.
+SLICE_BYTES, SLICE = 8 << 20, 4096
 SHIPMENT = {1: ("versao_do_esquema", "u"), 2: ("id_da_instalacao", "s"), 3: ("id_do_dispositivo", "s"), 4: ("id_da_sessao_de_boot", "s")}
 ENVELOPES = 5
 ENVELOPE = {1: ("numero_de_sequencia", "u"), 2: ("tempo_ligado_ms", "u")}
@@ -167,6 +171,96 @@ DECODED = ", ".join(
 )
 
 
+def _bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, with PAD bytes after them, and the offsets of its values."""
+    offsets = np.frombuffer(array.buffers()[1], np.int32, len(array) + 1, array.offset * 4).astype(np.int64)
+    raw = array.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return np.concatenate([data[offsets[0] :], np.zeros(PAD, np.uint8)]), offsets - offsets[0]
+
+
+def _count(fields: Fields, mask: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(fields.message[mask], minlength=n)
+
+
+def _addresses(data: np.ndarray, fields: Fields, n: int, odd: np.ndarray) -> list[pa.Array]:
+    """modulo and canal of n messages; marks those with a malformed or a second address."""
+    inner = (fields.number == 1) & (fields.wire == 2)
+    own = fields.where(inner)
+    found, bad = scan(data, own.at, own.at + own.size)
+    odd[own.message[bad]] = True
+    odd |= _count(fields, inner, n) > 1
+    found.message = own.message[found.message]
+    return [column(data, found, n, number, kind) for number, (_, kind) in ADDRESS.items()]
+
+
+def _content_columns(data: np.ndarray, start: np.ndarray, stop: np.ndarray, number: int, kind: pa.StructType) -> tuple[pa.Array, np.ndarray]:
+    """Contents of one type as structs, and which of them must be read one by one."""
+    _, addressed, spec = CONTENTS[number]
+    n = len(start)
+    fields, odd = scan(data, start, stop)
+    columns = _addresses(data, fields, n, odd) if addressed else []
+    columns += [column(data, fields, n, f, k) for f, (_, k) in spec.items()]
+    if number == DESCRIPTOR:
+        inner = (fields.number == CHANNELS) & (fields.wire == 2)
+        own = fields.where(inner)
+        found, bad = scan(data, own.at, own.at + own.size)
+        places = _addresses(data, found, len(own.at), bad)
+        quantity, *others = (column(data, found, len(own.at), f, k) for f, (_, k) in CHANNEL.items())
+        odd[own.message[bad]] = True
+        names = [*QUANTITIES.values(), "desconhecida"]
+        at = {k: i for i, k in enumerate(QUANTITIES)}
+        which = np.array([at.get(q, len(names) - 1) for q in quantity.to_pylist()], np.int32)
+        of = kind.field("canais").type.value_type
+        each = pa.StructArray.from_arrays([*places, pa.array(names).take(pa.array(which)), *others], fields=list(of))
+        ends = np.concatenate([[0], np.cumsum(_count(fields, inner, n))])
+        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each).cast(kind.field("canais").type))
+    return pa.StructArray.from_arrays(columns, fields=list(kind)), odd
+
+
+def _spread(small: pa.Array, rows: np.ndarray, n: int) -> pa.Array:
+    """A column of n rows with values at some of them and nulls elsewhere."""
+    index = np.full(n, -1, np.int64)
+    index[rows] = np.arange(len(rows))
+    return small.take(pa.array(index, mask=index < 0))
+
+
+def _decode_columns(bodies: pa.Array, types: pa.Schema) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """Envelopes of all well-formed shipments of a slice as columns, the shipment of each, and the shipments to be read one
+    by one: absent, refused or malformed ones, and those in which an envelope or a content says a thing twice."""
+    data, offsets = _bytes_of(bodies)
+    n = len(bodies)
+    slow = bodies.is_null().to_numpy(zero_copy_only=False) | (np.diff(offsets) > MAX_BODY)
+    top, bad = scan(data, offsets[:-1], np.where(slow, offsets[:-1], offsets[1:]))
+    slow |= bad
+    inner = (top.number == ENVELOPES) & (top.wire == 2)
+    own, many = top.where(inner), _count(top, inner, n)
+    slow |= (many == 0) | (many > MAX_ENVELOPES)
+    of, rows = own.message, len(own.at)
+    place = np.arange(rows) - (np.cumsum(many) - many)[of]
+    fields, bad = scan(data, own.at, own.at + own.size)
+    slow[of[bad]] = True
+    content = np.isin(fields.number, list(CONTENTS)) & (fields.wire == 2)
+    slow[of[_count(fields, content, rows) > 1]] = True
+    body = fields.where(content)
+    kind = np.zeros(rows, np.int64)
+    kind[body.message] = body.number
+    heads = {name: column(data, top, n, number, k).take(pa.array(of)) for number, (name, k) in SHIPMENT.items()}
+    heads |= {name: column(data, fields, rows, number, k) for number, (name, k) in ENVELOPE.items()}
+    names = pa.array([CONTENTS[c][0] for c in CONTENTS])
+    heads["posicao"] = pa.array(place, pa.int32())
+    heads["tipo_de_conteudo"] = names.take(pa.array(kind - min(CONTENTS), mask=kind == 0))
+    heads["conteudo_bruto"] = _spread(slices(data, body.at, body.size), body.message, rows)
+    for number, (name, _, _) in CONTENTS.items():
+        mine = body.where(body.number == number)
+        structs, odd = _content_columns(data, mine.at, mine.at + mine.size, number, types.field(name).type)
+        slow[of[mine.message[odd]]] = True
+        heads[name] = _spread(structs, mine.message, rows)
+    heads["recusa"] = pa.nulls(rows, pa.string())
+    keep = pa.array(~slow[of])
+    return [heads[f.name].filter(keep) for f in types], of[~slow[of]], np.flatnonzero(slow)
+
+
 def decode_shipments(shipments: DataFrame) -> DataFrame:
     """One row per envelope of the shipments' ``payload``, beside the other columns of its shipment.
 
@@ -181,15 +275,33 @@ def decode_shipments(shipments: DataFrame) -> DataFrame:
     schema = StructType([*rows.schema.fields[1:], *new.fields])
     types = to_arrow_schema(new)
 
+    def one_by_one(bodies: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+        found = [_envelopes(body) for body in bodies.to_pylist()]
+        flat = [row for rows in found for row in rows]
+        return [pa.array([row.get(f.name) for row in flat], f.type) for f in types], np.repeat(np.arange(len(found)), [len(rows) for rows in found])
+
+    def both(bodies: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+        try:
+            fast, of, slow = _decode_columns(bodies, types)
+        except pa.ArrowInvalid:  # text that is none, in one of them
+            return one_by_one(bodies)
+        if not len(slow):
+            return fast, of
+        rest, at = one_by_one(bodies.take(pa.array(slow)))
+        of = np.concatenate([of, slow[at]])
+        order = np.argsort(of, kind="stable")
+        return [pa.concat_arrays([a, b]).take(pa.array(order)) for a, b in zip(fast, rest)], of[order]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = [_envelopes(body) for body in part.column(0).to_pylist()]
-                of = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int32())
-                flat = [row for rows in found for row in rows]
-                beside = [part.column(i).take(of) for i in range(1, part.num_columns)]
-                decoded = [pa.array([row.get(f.name) for row in flat], f.type) for f in types]
+            _, offsets = _bytes_of(batch.column(0)) if batch.num_rows else (None, np.zeros(1, np.int64))
+            at = 0
+            while at < batch.num_rows:
+                stop = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
+                part = batch.slice(at, max(1, min(stop - at, SLICE)))
+                at += part.num_rows
+                decoded, of = both(part.column(0))
+                beside = [part.column(i).take(pa.array(of)) for i in range(1, part.num_columns)]
                 yield pa.RecordBatch.from_arrays(beside + decoded, names=[*kept, *types.names])
 
     return rows.mapInArrow(run, schema)
@@ -199,21 +311,37 @@ def decode_contents(records: DataFrame) -> DataFrame:
     """Records with the structs of their contents decoded again from tipo_de_conteudo and conteudo_bruto. A type that is
     not known, and bytes that are no such content, leave all of them null. Other columns stay."""
     names = [name for name, _, _ in CONTENTS.values()]
-    numbers = {name: n for n, (name, _, _) in CONTENTS.items()}
     new = StructType.fromDDL(", ".join(map(_content_type, CONTENTS)))
     rows = records.drop(*names)
     schema, types = StructType([*rows.schema.fields, *new.fields]), to_arrow_schema(new)
 
-    def one(kind: str | None, body: bytes | None) -> dict:
+    def one(number: int, body: bytes) -> dict | None:
         try:
-            return {kind: _content(numbers[kind], body)} if kind in numbers and body is not None else {}
+            return _content(number, body)
         except Malformed:
-            return {}
+            return None
+
+    def contents(bodies: pa.Array, number: int, kind: pa.StructType) -> pa.Array:
+        data, offsets = _bytes_of(bodies)
+        try:
+            fast, odd = _content_columns(data, offsets[:-1], offsets[1:], number, kind)
+        except pa.ArrowInvalid:
+            return pa.array([one(number, b) for b in bodies.to_pylist()], kind)
+        if not odd.any():
+            return fast
+        slow = pa.array([one(number, b) for b in bodies.filter(pa.array(odd)).to_pylist()], kind)
+        index = np.arange(len(bodies))
+        index[odd] = len(bodies) + np.arange(int(odd.sum()))
+        return pa.concat_arrays([fast, slow]).take(pa.array(index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(k, b) for k, b in zip(batch.column("tipo_de_conteudo").to_pylist(), batch.column("conteudo_bruto").to_pylist())]
-            decoded = [pa.array([row.get(f.name) for row in found], f.type) for f in types]
+            kinds, bodies = batch.column("tipo_de_conteudo"), batch.column("conteudo_bruto")
+            there = bodies.is_valid().to_numpy(zero_copy_only=False)
+            decoded = []
+            for number, (name, _, _) in CONTENTS.items():
+                mine = np.flatnonzero(there & np.array([k == name for k in kinds.to_pylist()], bool))
+                decoded.append(_spread(contents(bodies.take(pa.array(mine)), number, types.field(name).type), mine, batch.num_rows))
             yield pa.RecordBatch.from_arrays([*batch.columns, *decoded], names=[*batch.schema.names, *types.names])
 
     return rows.mapInArrow(run, schema)

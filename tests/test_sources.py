@@ -1,5 +1,8 @@
 """Binary shipments, the installation file and the relational read model."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +130,85 @@ def test_relational_write_is_idempotent(spark, tmp_path):
     for _ in range(2):
         relational.write_readings(rows, url, partitions=2, driver="org.apache.derby.jdbc.EmbeddedDriver")
         assert relational.read_readings(spark, url, driver="org.apache.derby.jdbc.EmbeddedDriver").count() == wanted
+
+
+def random_message(rng, depth=0):
+    """Bytes that are often a message of the contract and often nearly one."""
+    out = b""
+    for _ in range(rng.randint(0, 4)):
+        number, wire = rng.choice((1, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 10, 77)), rng.choice((0, 0, 2, 2, 2, 5, 1))
+        out += wire_number(number << 3 | wire)
+        if wire == 0:
+            out += wire_number(rng.choice((0, 1, 5, 300, 2**31, 2**63, 2**64 - 1)))
+        elif wire == 2:
+            body = random_message(rng, depth + 1) if depth < 4 and rng.random() < 0.8 else rng.choice((b"", b"abc", b"\xff", "é".encode()))
+            out += wire_number(len(body)) + body
+        else:
+            out += rng.randbytes(8 if wire == 1 else 4)
+    if rng.random() < 0.03:
+        out += rng.choice((b"\x0b", b"\x00", b"\xff", b"\x0a\x7f", b"\x80" * 11, b"\x0a" + b"\xff" * 9 + b"\x01"))
+    return out
+
+
+wire_number = wire._number
+
+
+def shipment(rng):
+    body = HEAD if rng.random() < 0.8 else b""
+    for _ in range(rng.choice((0, 1, 1, 2, 5))):
+        head = wire_number(1 << 3) + wire_number(rng.randint(0, 400)) + wire_number(2 << 3) + wire_number(rng.choice((7, 2**62, 2**64 - 1)))
+        for _ in range(rng.choice((0, 1, 1, 1, 1, 2))):
+            content = random_message(rng, 2)
+            head += wire_number(rng.randint(3, 10) << 3 | 2) + wire_number(len(content)) + content
+        body += wire_number(5 << 3 | 2) + wire_number(len(head)) + head
+    return body if rng.random() < 0.97 else body[:-1]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_columns_decode_as_single_messages_do(spark, seed):
+    rng = random.Random(seed)
+    bodies = [None if rng.random() < 0.02 else shipment(rng) for _ in range(300)]
+    if seed % 2:  # texts that are none send a whole slice the slow way
+        bodies = [b for b in bodies if wire._envelopes(b)[0].get("recusa") != "remessa malformada"]
+    types = wire.to_arrow_schema(wire.StructType.fromDDL(wire.DECODED))
+    want = [(i, {f.name: row.get(f.name) for f in types}) for i, b in enumerate(bodies) for row in wire._envelopes(b)]
+    want = [(i, pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in types], names=types.names).to_pylist()[0]) for i, row in want]
+    column = pa.array([b"offset", *bodies], pa.binary()).slice(1)
+    try:
+        columns, of, slow = wire._decode_columns(column, types)
+    except pa.ArrowInvalid:
+        assert not seed % 2 and any(row["recusa"] == "remessa malformada" for _, row in want)
+        return
+    got = pa.RecordBatch.from_arrays(columns, names=types.names).to_pylist()
+    fast = [(i, row) for i, row in want if i not in set(slow.tolist())]
+    assert repr(list(zip(of.tolist(), got))) == repr(fast) and len(fast) > 40
+    assert all(row["recusa"] is None for _, row in fast)
+
+
+def test_mixed_slices_keep_their_order(spark):
+    rng = random.Random(99)
+    bodies = [shipment(rng) for _ in range(400)] + [None]
+    rows = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in enumerate(bodies)], "n int, payload binary").coalesce(1)
+    got = [(r["n"], r["recusa"], r["posicao"], r["tipo_de_conteudo"], None if r["conteudo_bruto"] is None else bytes(r["conteudo_bruto"])) for r in wire.decode_shipments(rows).collect()]
+    want = [(i, *(row.get(c) for c in ("recusa", "posicao", "tipo_de_conteudo", "conteudo_bruto"))) for i, b in enumerate(bodies) for row in wire._envelopes(b)]
+    assert got == want
+
+
+def test_contents_decode_again_as_single_ones_do(spark):
+    rng = random.Random(4)
+    kinds = [name for name, _, _ in wire.CONTENTS.values()]
+    rows = [(i, rng.choice([*kinds, "other", None]), rng.choice([None, *[bytearray(random_message(rng, 2)) for _ in range(9)]])) for i in range(500)]
+    got = wire.decode_contents(spark.createDataFrame(rows, "n int, tipo_de_conteudo string, conteudo_bruto binary")).collect()
+    number = {name: n for n, (name, _, _) in wire.CONTENTS.items()}
+    seen = 0
+    for r in got:
+        kind, body = r["tipo_de_conteudo"], r["conteudo_bruto"]
+        try:
+            want = wire._content(number[kind], bytes(body)) if kind in number and body is not None else None
+        except wire.Malformed:
+            want = None
+        assert [name for name in kinds if r[name] is not None] == ([kind] if want is not None else [])
+        if want is not None:
+            seen += 1
+            assert repr({k: v for k, v in r[kind].asDict(True).items()}) == repr({k: want[k] for k in r[kind].asDict()})
+    assert seen > 100
