@@ -1,6 +1,7 @@
 """Binary shipments, the installation file and the relational read model."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pytest
@@ -126,10 +127,19 @@ def test_relational_write_is_idempotent(spark, tmp_path):
         if "EmbeddedDriver" in str(missing):
             pytest.skip("no Derby driver")
         raise
+    derby = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     wanted = rows.dropDuplicates(projection.ROW_KEY).count()
-    for _ in range(2):
-        relational.write_readings(rows, url, partitions=2, driver="org.apache.derby.jdbc.EmbeddedDriver")
-        assert relational.read_readings(spark, url, driver="org.apache.derby.jdbc.EmbeddedDriver").count() == wanted
+    assert relational.write_readings(rows, url, partitions=2, **derby) == wanted
+    assert relational.write_readings(rows.withColumn("valor_numerico", F.lit(1.0)), url, partitions=2, **derby) == 0
+    assert relational.read_readings(spark, url, **derby).count() == wanted
+    # Two writers at once, with keys in common.
+    moved = rows.withColumn("instante_observado", F.col("instante_observado") + F.expr("INTERVAL 1 YEAR"))
+    with ThreadPoolExecutor(3) as pool:
+        added = list(pool.map(lambda part: relational.write_readings(part, url, partitions=1, **derby), [moved, moved.filter("numero_de_sequencia < 3"), moved.unionByName(rows)]))
+    got = relational.read_readings(spark, url, **derby)
+    assert sum(added) == wanted and got.count() == got.select(*projection.ROW_KEY).distinct().count() == 2 * wanted
+    tables = spark.read.format("jdbc").options(url=url, query="SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'", **derby).load()
+    assert [r[0].lower() for r in tables.collect()] == ["leitura"]
 
 
 def random_message(rng, depth=0):
