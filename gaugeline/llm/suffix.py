@@ -40,7 +40,8 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, codes: np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.int64), sums, down
     grams = n - GRAM + 1
     h = mix64((sums[GRAM:] - sums[:grams]) * down[:grams])
-    mask = _U((1 << n.bit_length()) - 1)
+    # High bits of the hash decide, and of equal ones the leftmost gram: the same choice in blocks of any size.
+    mask = _U((1 << 32) - 1)
     low = (h & ~mask) | np.arange(grams, dtype=_U)
     width, step = length - GRAM + 1, 1
     while step * 2 <= width:
