@@ -21,6 +21,8 @@ _INVERSE = pow(BASE, -1, 1 << 64)
 _U = np.uint64
 #: Shuffle files of a staged table's own query are of no use once it is written.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders that this driver has made in the shared folder.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.sparkContext.setCheckpointDir(base)
     base = base if "://" in base or base.startswith("file:") else f"file://{base}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE.append(made)
+    # What nobody has cleaned goes when the driver ends.
+    _path_of(spark, made, lambda system, path: system.deleteOnExit(path))
+    return made
+
+
+def _path_of(spark: SparkSession, name: str, act) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    act(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all that operators have staged in the shared folder so far, to be called once their results are written.
+    Returns how many folders that were."""
+    gone = 0
+    while _MADE:
+        _path_of(spark, _MADE.pop(), lambda system, path: system.delete(path, True))
+        gone += 1
+    return gone
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -57,9 +78,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _path_of(df.sparkSession, df.staged_at, lambda system, path: system.delete(path, True))
 
 
 def carried(docs: DataFrame, names: tuple[str, ...]) -> list[str]:

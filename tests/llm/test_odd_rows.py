@@ -253,3 +253,26 @@ def test_very_many_spans_in_one_text():
                 used.append((a, b))
                 want.append((kind, a, b))
     assert pii._more_spans(text, base) == want and len(want) > 20
+
+
+def test_nothing_staged_is_left_after_cleaning(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "_MADE", [])
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    docs = spark.createDataFrame([(i, f"a text of some words {i % 3}") for i in range(9)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    for result in (minhash.near_duplicates(docs), mixing.mix(docs), pii.find(docs), suffix.remove_repeats(docs)):
+        result.write.format("noop").mode("overwrite").save()
+    assert [p for p in tmp_path.rglob("*.parquet")]
+    assert shared.clean(spark) > 0 and not list(tmp_path.rglob("*.parquet")) and shared.clean(spark) == 0
+
+
+def test_equal_passages_choose_one_anchor_in_blocks_of_any_size():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(97, 101, 400).astype(np.uint8)
+    codes, found = np.ones(256, np.uint64), []  # every gram hashes by its place only: all ties
+    for before in (0, 5, 70_000):
+        data = np.concatenate([rng.integers(97, 101, before).astype(np.uint8), passage])
+        starts, anchors, _, _ = suffix._anchors(data, np.array([0, len(data)]), 100, codes)
+        found.append(((anchors - starts)[starts >= before]).tolist())
+        starts, anchors, _, _ = suffix._anchors(data, np.array([0, len(data)]), 100, shared.byte_codes(31))
+        found.append(((anchors - starts)[starts >= before]).tolist())
+    assert found[0] == found[2] == found[4] and found[1] == found[3] == found[5]
