@@ -5,6 +5,7 @@ import hashlib
 import io
 import tarfile
 import time
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -255,14 +256,14 @@ def test_very_many_spans_in_one_text():
     assert pii._more_spans(text, base) == want and len(want) > 20
 
 
-def test_nothing_staged_is_left_after_cleaning(spark, tmp_path, monkeypatch):
+def test_nothing_staged_is_left_after_cleaning(spark, monkeypatch):
     monkeypatch.setattr(shared, "_MADE", [])
-    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
     docs = spark.createDataFrame([(i, f"a text of some words {i % 3}") for i in range(9)], "doc_id long, text string").withColumn("source", F.lit("s"))
     for result in (minhash.near_duplicates(docs), mixing.mix(docs), pii.find(docs), suffix.remove_repeats(docs)):
         result.write.format("noop").mode("overwrite").save()
-    assert [p for p in tmp_path.rglob("*.parquet")]
-    assert shared.clean(spark) > 0 and not list(tmp_path.rglob("*.parquet")) and shared.clean(spark) == 0
+    made = [Path(m.removeprefix("file://").removeprefix("file:")) for m in shared._MADE]
+    assert [p for m in made for p in m.rglob("*.parquet")]
+    assert shared.clean(spark) == len(made) and not [m for m in made if m.exists()] and shared.clean(spark) == 0
 
 
 def test_equal_passages_choose_one_anchor_in_blocks_of_any_size():
