@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeline import lag_bucketed
+
 CHANNEL = ["id_do_dispositivo", "id_da_sessao_de_boot", "modulo", "canal"]
 
 
@@ -83,6 +85,12 @@ def increments(counters: DataFrame) -> DataFrame:
     return counters.withColumn("incremento", F.col("contagem_acumulada") - F.coalesce(F.lag("contagem_acumulada").over(w), F.lit(0)))
 
 
+def increments_bucketed(counters: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """The same increments for channels with too many readings for one task, in buckets of sequences."""
+    rows = lag_bucketed(counters, CHANNEL, "contagem_acumulada", "numero_de_sequencia", [], width, "_before")
+    return rows.withColumn("incremento", F.col("contagem_acumulada") - F.coalesce("_before", F.lit(0))).drop("_before")
+
+
 def time_in_state(states: DataFrame, subject: str) -> DataFrame:
     """Milliseconds that each subject spent in each state between transitions; the last interval is open and not counted."""
     w = Window.partitionBy(subject).orderBy("instante_observado", "id_da_sessao_de_boot", "numero_de_sequencia")

@@ -75,6 +75,31 @@ def sampling_pauses(samples: DataFrame, nominal_ms: int, factor: int = 3) -> Dat
     return rows.filter("maior_passo_ms IS NOT NULL").withColumn("alarme", F.col("maior_passo_ms") > factor * nominal_ms)
 
 
+def lag_bucketed(rows: DataFrame, keys: list[str], value: str, order: str, ties: list[str], width: int, out: str) -> DataFrame:
+    """Adds the ``value`` of the row before within keys, by a whole number ``order`` and then ``ties``, for keys with too
+    many rows for one task: inside buckets of ``order``, and for a bucket's first row from the last row of the nearest
+    bucket before it. Only one row per bucket crosses buckets."""
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    at = F.struct(order, *ties)
+    here = rows.withColumn("_bucket", F.expr(f"{order} div {width}"))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
+    # A struct tells a null value from no row before.
+    here = here.withColumn("_inner", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
+    last = here.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), at).alias("_last"))
+    edge = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))
+    edges = last.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_bucket"]], edge.alias("_edge"))
+    both = here.join(edges, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_bucket"]])
+    return both.select(*kept, F.coalesce("_inner", "_edge")["v"].alias(out))
+
+
+def sampling_pauses_bucketed(samples: DataFrame, nominal_ms: int, factor: int = 3, width: int = 86_400_000) -> DataFrame:
+    """The same pauses for channels with too many samples for one task, in buckets of uptime."""
+    channel = [*SESSION, "modulo", "canal"]
+    rows = lag_bucketed(samples.select(*channel, "tempo_ligado_ms", "numero_de_sequencia"), channel, "tempo_ligado_ms", "tempo_ligado_ms", ["numero_de_sequencia"], width, "_before")
+    steps = rows.groupBy(*channel).agg(F.max(F.col("tempo_ligado_ms") - F.col("_before")).alias("maior_passo_ms"))
+    return steps.filter("maior_passo_ms IS NOT NULL").withColumn("alarme", F.col("maior_passo_ms") > factor * nominal_ms)
+
+
 def clock_steps(receipts: DataFrame, anchor: DataFrame, tolerance_ms: int = 1000) -> DataFrame:
     """Marks receipts whose wall clock has moved away from the monotonic one since the anchor, within one gateway run.
     receipts: session columns, instante, decorrido_ns, id_da_execucao; anchor: instante_da_ancora, decorrido_da_ancora_ns,

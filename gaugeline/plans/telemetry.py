@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.catalog import ACTIONS, CATALOG, page_limit, policy
+from ..functions.catalog import CATALOG, page_limit, policy
 from ..operators import commissioning, journal, monitoring, projection, rollup, timeline, validate
 from ..sources import events as source
 from ..sources import legacy, wire
+from ..sources.state import Cursors, scratch
 from ..streaming import ingest
 
 NOW = "2024-02-01 00:00:00"
@@ -293,12 +294,20 @@ def w4b(e):
     return timeline.sequence_gaps_bucketed(_journal(e), 4)
 
 
-@_query("w5_sampling_pauses", """, p AS (SELECT dev, ses, k % 2 AS m, k % 4 AS c, up - lag(up) OVER (PARTITION BY dev, ses, k % 2, k % 4 ORDER BY up, s) AS passo FROM j WHERE tipo = 'amostra_escalar')
-SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, CAST(m AS BIGINT) AS modulo, CAST(c AS BIGINT) AS canal, max(passo) AS maior_passo_ms, max(passo) > 10800000 AS alarme FROM p WHERE passo IS NOT NULL GROUP BY 1, 2, 3, 4""")
+_W5 = """, p AS (SELECT dev, ses, k % 2 AS m, k % 4 AS c, up - lag(up) OVER (PARTITION BY dev, ses, k % 2, k % 4 ORDER BY up, s) AS passo FROM j WHERE tipo = 'amostra_escalar')
+SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, CAST(m AS BIGINT) AS modulo, CAST(c AS BIGINT) AS canal, max(passo) AS maior_passo_ms, max(passo) > 10800000 AS alarme FROM p WHERE passo IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
+@_query("w5_sampling_pauses", _W5)
 def w5(e):
     return timeline.sampling_pauses(projection.with_address(_journal(e, by_session=True).filter("amostra_escalar IS NOT NULL")), 3_600_000)
 
 
+@_query("w5_sampling_pauses_bucketed", _W5)
+def w5b(e):
+    return timeline.sampling_pauses_bucketed(projection.with_address(_journal(e).filter("amostra_escalar IS NOT NULL")), 3_600_000)
+
+
 @_query("w6_bindings", "SELECT ponto, mdev AS dispositivo, CAST(mm AS BIGINT) AS modulo, CAST(cc AS BIGINT) AS canal, coalesce(de, TIMESTAMP '1970-01-01') AS desde, ate FROM map")
 def w6(e):
     return commissioning.bindings(source.mapping(e))
@@ -326,7 +335,8 @@ def w7b(e):
 b AS (SELECT coalesce(dev, mdev) AS dv, coalesce(m, mm) AS m, coalesce(c, cc) AS c, dg, du, g, u, ponto, CASE WHEN ponto IS NULL THEN 1 WHEN dev IS NULL THEN 2 WHEN dg <> g THEN 3 WHEN du <> u THEN 4 END AS n
  FROM dec FULL OUTER JOIN dm ON dev = mdev AND m = mm AND c = cc)
 SELECT dv AS id_do_dispositivo, dv || '@' || m || '/' || c AS canal_texto, ['unconfigured_channel', 'missing_channel', 'quantity_mismatch', 'unit_mismatch'][n] AS especie, ponto,
- CASE n WHEN 1 THEN dg || ' em ' || du WHEN 3 THEN dg WHEN 4 THEN du END AS declarado, CASE n WHEN 2 THEN g || ' em ' || u WHEN 3 THEN g WHEN 4 THEN u END AS esperado, """ + "[" + ", ".join(f"'{t}'" for t in ACTIONS.values()) + "][n] AS acao FROM b WHERE n IS NOT NULL")
+ CASE n WHEN 1 THEN dg || ' em ' || du WHEN 3 THEN dg WHEN 4 THEN du END AS declarado, CASE n WHEN 2 THEN g || ' em ' || u WHEN 3 THEN g WHEN 4 THEN u END AS esperado, ['nenhum ponto usa este canal; inclua-o na instalacao ou desligue-o na origem', 'a origem nao declara este canal; verifique ligacao e numero do canal',
+ 'grandeza declarada nao e a do ponto; compare os fios com o desenho', 'unidade declarada nao e a do ponto; ajuste o instrumento ou a instalacao'][n] AS acao FROM b WHERE n IS NOT NULL""")
 def j5(e):
     rows = commissioning.divergences(commissioning.latest_descriptors(_journal(e)), source.mapping(e), NOW)
     return rows.select("id_do_dispositivo", "canal_texto", "especie", "ponto", "declarado", "esperado", "acao")
@@ -426,10 +436,21 @@ def d3b(e):
     return rollup.retain(_readings(e), NOW)[1].withColumn("media", F.round("media", 6))
 
 
-@_query("d4_increments", "SELECT chave AS chave_de_idempotencia, s * 10 - coalesce(lag(s * 10) OVER (PARTITION BY dev, ses, k % 2, k % 4 ORDER BY s), 0) AS incremento FROM j WHERE tipo = 'leitura_de_contador'")
+_D4 = "SELECT chave AS chave_de_idempotencia, s * 10 - coalesce(lag(s * 10) OVER (PARTITION BY dev, ses, k % 2, k % 4 ORDER BY s), 0) AS incremento FROM j WHERE tipo = 'leitura_de_contador'"
+
+
+def _counters(e):
+    return projection.with_address(_journal(e).filter("leitura_de_contador IS NOT NULL")).withColumn("contagem_acumulada", F.col("leitura_de_contador.contagem_acumulada"))
+
+
+@_query("d4_increments", _D4)
 def d4(e):
-    rows = projection.with_address(_journal(e).filter("leitura_de_contador IS NOT NULL")).withColumn("contagem_acumulada", F.col("leitura_de_contador.contagem_acumulada"))
-    return rollup.increments(rows).select("chave_de_idempotencia", "incremento")
+    return rollup.increments(_counters(e)).select("chave_de_idempotencia", "incremento")
+
+
+@_query("d4_increments_bucketed", _D4)
+def d4b(e):
+    return rollup.increments_bucketed(_counters(e), 3).select("chave_de_idempotencia", "incremento")
 
 
 @_query("d6_silent_minutes", """, c AS (SELECT date_trunc('minute', obs) AS minuto, dev, count(*) AS n FROM leitura GROUP BY 1, 2),
@@ -605,7 +626,9 @@ def r5(e):
 
 
 @_query("r6_content_types", """, c(tipo, classe) AS (SELECT DISTINCT tipo, classe FROM j)
-SELECT tipo AS tipo_de_conteudo, classe AS classe_de_dado, CASE tipo """ + " ".join(f"WHEN '{c.name}' THEN '{c.description}'" for c in CATALOG.by_name.values()) + """ END AS descricao,
+SELECT tipo AS tipo_de_conteudo, classe AS classe_de_dado, CASE tipo WHEN 'amostra_escalar' THEN 'scalar sample' WHEN 'leitura_de_contador' THEN 'counter reading' WHEN 'transicao_digital' THEN 'digital transition'
+ WHEN 'amostra_agregada' THEN 'aggregated sample' WHEN 'mudanca_de_estado_de_maquina' THEN 'machine state change' WHEN 'saude_da_origem' THEN 'source health' WHEN 'lacuna_de_buffer' THEN 'buffer gap'
+ WHEN 'descritor_da_origem' THEN 'source descriptor' END AS descricao,
  (SELECT count(*) FROM j WHERE j.tipo = c.tipo) AS registros FROM c""")
 def r6(e):
     types = [(c.name, c.data_class, c.description) for c in CATALOG.by_name.values()]
@@ -627,6 +650,82 @@ def s1(e):
     )
 
 
+# Stored tables: what the writers of the library leave behind, read again.
+
+
+@_query("s2_journal_table", "SELECT id, chave AS chave_de_idempotencia, tipo AS tipo_de_conteudo, obs AS instante_observado FROM j WHERE CAST(obs AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+def s2(e):
+    rows, path = _journal(e), scratch(e.sparkSession)
+    for half in ("id % 2 = 0", "id % 2 = 1"):
+        journal.append(rows.filter(half), path)
+    return journal.read(e.sparkSession, path, "2024-01-05", "2024-01-20").select("id", "chave_de_idempotencia", "tipo_de_conteudo", "instante_observado")
+
+
+_READINGS = "SELECT chave AS chave_de_idempotencia, campo AS nome_do_campo, num AS valor_numerico, txt AS valor_texto, log AS valor_logico, ponto AS id_do_ponto_de_medicao FROM leitura"
+_READ = ("chave_de_idempotencia", "nome_do_campo", "valor_numerico", "valor_texto", "valor_logico", "id_do_ponto_de_medicao")
+
+
+@_query("s3_readings_written_once", _READINGS)
+def s3(e):
+    rows, path = _readings(e).persist(), scratch(e.sparkSession)
+    for part in ("numero_de_sequencia % 3 <> 0", "numero_de_sequencia % 3 <> 1", "true"):
+        projection.write_readings(rows.filter(part), path)
+    rows.unpersist()
+    return e.sparkSession.read.parquet(path).select(*_READ)
+
+
+@_query("s6_legacy_table", " SELECT ts AS time, event_type AS tag, round(value, 6) AS value, 'C' AS unit FROM e")
+def s6(e):
+    path = scratch(e.sparkSession)
+    legacy.append(e.select(F.col("ts").alias("time"), F.col("event_type").alias("tag"), "value", F.lit("C").alias("unit")), path)
+    rows = legacy.read_legacy(e.sparkSession.read.parquet(path))
+    return rows.select("time", "tag", F.round(F.col("value").cast("double"), 6).alias("value"), "unit")
+
+
+@_query("t1_ingested_batches", "SELECT id, dev || ':' || ses || ':' || s AS chave_de_idempotencia FROM d QUALIFY row_number() OVER (PARTITION BY dev, ses, s ORDER BY id % 3, id) = 1")
+def t1c(e):
+    rows, path = source.deliveries(e), scratch(e.sparkSession)
+    ingest_batch = ingest.journal_batch(path)
+    for n in range(3):
+        ingest_batch(rows.filter(f"id % 3 = {n}"), n)
+    return journal.read(e.sparkSession, path).select("id", "chave_de_idempotencia")
+
+
+@_query("t2_projection_cycles", _READINGS)
+def t2(e):
+    spark, path = e.sparkSession, scratch(e.sparkSession)
+    journal.append(_journal(e), f"{path}/journal")
+    cursors, mapping, reasons = Cursors(spark, f"{path}/cursors"), source.mapping(e), source.reasons(e)
+    while ingest.project_cycle(spark, f"{path}/journal", cursors, "leitura", mapping, reasons, f"{path}/readings", f"{path}/quarantine", 5000):
+        pass
+    return spark.read.parquet(f"{path}/readings").select(*_READ)
+
+
+@_query("t6_anchor_table", "SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, arg_min(up, (id % 2, id)) AS ancora_ms, arg_min(obs, (id % 2, id)) AS instante_da_ancora FROM j GROUP BY 1, 2")
+def t6(e):
+    rows, path = _journal(e), scratch(e.sparkSession)
+    for n in range(2):
+        ingest.anchor_batch(path)(rows.filter(f"id % 2 = {n}"), n)
+    return ingest.read_anchors(e.sparkSession, path).drop("decorrido_da_ancora_ns", "id_da_execucao", "id")
+
+
+@_query("t7_descriptor_table", "SELECT dev AS id_do_dispositivo, id, obs AS declarado_em FROM des")
+def t7(e):
+    rows, path = _journal(e), scratch(e.sparkSession)
+    for n in range(3):
+        ingest.descriptor_batch(path)(rows.filter(f"id % 3 = {n}"), n)
+    return ingest.read_descriptors(e.sparkSession, path, rows.schema).select("id_do_dispositivo", "id", "declarado_em")
+
+
+@_query("t8_pruned_table", "SELECT id FROM j WHERE NOT (id <= 5000 AND obs < TIMESTAMP '2024-01-20 12:00:00')")
+def t8b(e):
+    path = scratch(e.sparkSession)
+    journal.append(_journal(e), path)
+    cursors = e.sparkSession.createDataFrame([("a", 5000), ("b", 7000)], "nome string, ultimo_id_projetado long")
+    journal.prune_table(e.sparkSession, path, cursors, "2024-01-20 12:00:00")
+    return journal.read(e.sparkSession, path).select("id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: (lambda spark, sf_dir, f=f: _plain(f(_events(spark, sf_dir)))) for name, f in Q.items()
 }

@@ -8,6 +8,7 @@ own keys and then takes the next number, so readers see all of a batch or nothin
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -70,6 +71,18 @@ class Folder:
             raise
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors see, for tables that go when the driver ends. Where that
+    is unset a folder of this machine is taken in local mode; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = Folder(spark, f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/tables-{uuid.uuid4().hex}")
+    folder.fs.deleteOnExit(folder.at())
+    return folder.path
+
+
 class Versions:
     """Numbered JSON documents, of which the largest number counts."""
 
