@@ -10,8 +10,6 @@ from ..sources.wire import decode_contents
 from .journal import read_days
 
 DERIVED = ("instante_estimado", "id_do_ponto_de_medicao", "grandeza", "unidade", "fora_de_faixa", "rotulo_do_motivo")
-#: The stop-reason catalogue comes from one file of 4 MiB at most; a table of so many rows is broadcast, no larger one.
-BROADCAST_REASONS = 100_000
 ROW_KEY = ["id_do_dispositivo", "id_da_sessao_de_boot", "numero_de_sequencia", "nome_do_campo", "instante_observado"]
 
 
@@ -47,7 +45,9 @@ def enrich(resolved: DataFrame, reasons: DataFrame, strict_null_range: bool = Fa
     """Adds fora_de_faixa and rotulo_do_motivo, both only for resolved channels, and motivo_desconhecido.
 
     fora_de_faixa is set for scalar samples, false where no range is declared; with ``strict_null_range`` it is null
-    there. A reason that the catalogue does not know keeps its event and counts as an anomaly; 0 is no reason.
+    there. A reason that the catalogue does not know keeps its event and counts as an anomaly; 0 is no reason. Spark
+    broadcasts the catalogue while it is small. Beyond that records without a reason do not meet in one task: each joins
+    under a number below zero, which no reason has.
     """
     value = F.col("amostra_escalar.valor").cast("double")
     flag = F.when(F.col("id_do_ponto_de_medicao").isNotNull() & F.col("amostra_escalar").isNotNull(), out_of_range(value, F.col("faixa_minima"), F.col("faixa_maxima")))
@@ -56,13 +56,8 @@ def enrich(resolved: DataFrame, reasons: DataFrame, strict_null_range: bool = Fa
     code = F.when(F.col("id_do_ponto_de_medicao").isNotNull(), F.col("mudanca_de_estado_de_maquina.codigo_do_motivo"))
     known = reasons.select(F.col("codigo").alias("_codigo"), F.col("rotulo").alias("rotulo_do_motivo"))
     rows = resolved.withColumn("fora_de_faixa", flag).withColumn("_motivo", F.when(code != 0, code))
-    on = F.col("_motivo") == F.col("_codigo")
-    if known.limit(BROADCAST_REASONS + 1).count() <= BROADCAST_REASONS:
-        joined = rows.join(F.broadcast(known), on, "left")
-    else:
-        # Only records with a reason move: the others share a null key and would meet in one task.
-        rest = rows.filter("_motivo IS NULL").select("*", F.lit(None).cast("long").alias("_codigo"), F.lit(None).cast("string").alias("rotulo_do_motivo"))
-        joined = rows.filter("_motivo IS NOT NULL").join(known, on, "left").unionByName(rest)
+    none = -1 - F.pmod(F.xxhash64("id_do_dispositivo", "numero_de_sequencia"), F.lit(1 << 40))
+    joined = rows.withColumn("_junta", F.coalesce("_motivo", none)).join(known, F.col("_junta") == F.col("_codigo"), "left").drop("_junta")
     return joined.withColumn("motivo_desconhecido", F.col("_motivo").isNotNull() & F.col("_codigo").isNull()).drop("_motivo", "_codigo")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,4 +173,5 @@ def legacy_buffer(events: DataFrame) -> DataFrame:
 
 def reasons(events: DataFrame) -> DataFrame:
     """The stop-reason catalogue, version 1."""
-    return events.sparkSession.createDataFrame([(10, "Troca de ferramenta"), (40, "Falha eletrica"), (41, "Falha mecanica")], "codigo long, rotulo string")
+    # From Arrow, Spark knows the table's size and so may broadcast it.
+    return events.sparkSession.createDataFrame(pa.table({"codigo": [10, 40, 41], "rotulo": ["Troca de ferramenta", "Falha eletrica", "Falha mecanica"]}))

@@ -6,6 +6,7 @@ import datetime as dt
 import re
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,4 +111,6 @@ def load_installation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     for keys in (["dispositivo", "modulo", "canal"], ["ponto"]):
         if clash := overlaps(mapping, keys).select("_id.ponto", F.col("_id2.ponto").alias("other")).first():
             raise ValueError(f"validities overlap: {clash['ponto']} and {clash['other']}")
-    return mapping, spark.createDataFrame(reasons, "codigo long, rotulo string"), {"id": name, "versao_dos_motivos": _whole(kinds.get("versao", 0), "versao")}
+    # From Arrow, Spark knows the table's size and so may broadcast it.
+    known = pa.table({"codigo": pa.array([c for c, _ in reasons], pa.int64()), "rotulo": pa.array([t for _, t in reasons], pa.string())})
+    return mapping, spark.createDataFrame(known), {"id": name, "versao_dos_motivos": _whole(kinds.get("versao", 0), "versao")}

@@ -220,15 +220,25 @@ def test_legacy_table(spark, tmp_path):
     assert legacy.latest(legacy.read_legacy(spark.read.parquet(str(tmp_path / "old"))), 5).count() == 2
 
 
-def test_reasons_never_shuffle_the_journal(spark, monkeypatch):
+def test_reasons_never_gather_the_journal(spark):
     plan = telemetry.QUERIES["r2_long_projection"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
-    assert "_motivo" in plan and not [line for line in plan.split("\n") if "Exchange hashpartitioning(_motivo" in line]
+    assert "_motivo" in plan and not [line for line in plan.split("\n") if "Exchange hashpartitioning(_motivo" in line or "Exchange hashpartitioning(_junta" in line]
     e = spark.read.parquet(f"{DIR}/events.parquet")
     rows = projection.resolve(journal.deduplicate(source.deliveries(e)), source.mapping(e))
     want = projection.enrich(rows, source.reasons(e)).select("chave_de_idempotencia", "rotulo_do_motivo", "motivo_desconhecido")
-    monkeypatch.setattr(projection, "BROADCAST_REASONS", 1)
-    got = projection.enrich(rows, source.reasons(e)).select("chave_de_idempotencia", "rotulo_do_motivo", "motivo_desconhecido")
-    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.filter("motivo_desconhecido").count() > 0
+    want = sorted(map(tuple, want.collect()), key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = projection.enrich(rows, source.reasons(e))
+        assert "Exchange hashpartitioning(_junta" in got._jdf.queryExecution().executedPlan().toString()
+        # Records without a reason are spread, not gathered under one key.
+        tasks = got.filter("rotulo_do_motivo IS NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1 and sorted(map(tuple, got.select("chave_de_idempotencia", "rotulo_do_motivo", "motivo_desconhecido").collect()), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r for r in want if r[2]]
 
 
 def test_sessions_share_one_exchange(spark):
