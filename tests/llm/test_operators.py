@@ -286,6 +286,32 @@ def test_bpe_small_automaton_against_merging():
     assert ids.tolist() == sum(want, []) and count.tolist() == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_bpe_gadget_by_gadget(seed):
+    """The compiled table against the arcs of an automaton that grows by one gadget after the other."""
+    rng = random.Random(seed)
+    tokens = [*"abc", *(c + "</w>" for c in "abc")]
+    arcs = {t: set(tokens) for t in tokens}
+    merges = []
+    for _ in range(rng.randint(1, 14)):
+        u = rng.choice([t for t in tokens if not t.endswith("</w>")])
+        v = rng.choice(tokens)
+        if u + v in tokens or len(u + v) > 12 or v not in arcs[u]:
+            continue
+        merges.append((u, v))
+        arcs[u + v] = set(arcs[v])
+        arcs[u].discard(v)
+        for out in arcs.values():
+            if u in out:
+                out.add(u + v)
+        tokens.append(u + v)
+    automaton = bpe.MergeAutomaton({t: i for i, t in enumerate(tokens)}, merges)
+    for i, state in enumerate(tokens):
+        got = automaton.has_arc(np.full(len(tokens), i), np.arange(len(tokens)))
+        # No arc leaves a token that ends a word; nobody asks for one.
+        assert state.endswith("</w>") or {t for t, g in zip(tokens, got) if g} == arcs[state], (merges, state)
+
+
 def test_bpe_long_and_colliding_words(monkeypatch):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         encoder = bpe.TextEncoder(f.read())
@@ -500,6 +526,13 @@ def test_pipeline(spark):
     assert out.count() > 0 and "ids" in out.columns
 
 
+def test_pipeline_runs_give_the_same_rows(spark):
+    import corpus_pipeline as pipeline
+
+    once, again = (sorted(map(str, pipeline.run(spark, DIR).drop("ids").collect())) for _ in range(2))
+    assert once == again and len(once) > 0
+
+
 def test_pipeline_stages_on_odd_and_repeated_rows(spark, odd, empty, tmp_path):
     import corpus_pipeline as pipeline
 
