@@ -123,6 +123,60 @@ def page(journal: DataFrame, cursor: int, limit: int = 500) -> DataFrame:
     return journal.filter(F.col("id") > cursor).orderBy("id").limit(limit)
 
 
+def note_ids(spark: SparkSession, path: str, rows: DataFrame, batch: str) -> None:
+    """Note which ids a batch's rows (with dt) have and in which days they lie, for ``next_rows``. The ids are in the note's
+    name, so finding the next ones takes a list of names."""
+    n, first, last, days = rows.agg(F.count(F.lit(1)), F.min("id"), F.max("id"), F.collect_set(F.col("dt").cast("string"))).first()
+    if n:
+        Folder(spark, path).replace(f"_ids/{first:019d}-{last:019d}-{n}-{batch}", "\n".join(sorted(days)))
+
+
+def forget_ids(spark: SparkSession, path: str, batch: str) -> None:
+    folder = Folder(spark, path)
+    for name in folder.names("_ids"):
+        if name.split("-", 3)[3] == batch:
+            folder.delete(f"_ids/{name}")
+
+
+def next_rows(spark: SparkSession, path: str, cursor: int, limit: int = 500) -> DataFrame:
+    """The journal's next ``limit`` rows after a cursor, by id. Where batches have noted their ids, only the folders are read
+    that can hold these rows, however long the journal is; a folder that a fold has replaced is read by its day."""
+    folder = Folder(spark, path)
+    notes = sorted((int(first), int(last), int(n), name) for name in folder.names("_ids") for first, last, n, _ in [name.split("-", 3)])
+    if not notes:
+        return page(read(spark, path), cursor, limit)
+    ahead = [note for note in notes if note[1] > cursor]
+    bound, whole, at = cursor, 0, 0
+    while True:
+        # As many batches as hold the wanted number of rows past the cursor; rows beyond their last id wait.
+        while at < len(ahead) and whole < limit:
+            first, last, n, _ = ahead[at]
+            bound, whole, at = max(bound, last), whole + (n if first > cursor else 0), at + 1
+        # Batches whose ids overlap those count too.
+        paths, sure = _folders_of(folder, [name for first, _, _, name in ahead if first <= bound])
+        rows = spark.read.option("basePath", path).parquet(*paths).filter(F.col("id") <= bound) if paths else read(spark, path).limit(0)
+        rows = page(rows, cursor, limit)
+        # Notes do not know what has been pruned: where it is all of these batches, the next ones have a turn.
+        if sure or at == len(ahead) or not rows.isEmpty():
+            return rows
+        whole = 0
+
+
+def _folders_of(folder: Folder, notes: list[str]) -> tuple[list[str], bool]:
+    """Folders that hold the rows of noted batches, and whether all are still as they were noted."""
+    wanted: dict[str, set[str]] = {}
+    for name in notes:
+        for day in folder.text(f"_ids/{name}").split():
+            wanted.setdefault(day, set()).add(f"batch_id={name.split('-', 3)[3]}")
+    hidden = Versions(folder.spark, f"{folder.path}/_folds").latest()[1]
+    paths, sure = [], True
+    for day, batches in wanted.items():
+        there = set(folder.names(f"dt={day}")) - {f"batch_id={n}" for n in hidden.get(day, [])}
+        sure &= batches <= there
+        paths += [f"{folder.path}/dt={day}/{n}" for n in sorted(batches if batches <= there else there)]
+    return paths, sure
+
+
 def readings_page(journal: DataFrame, limit: int = 100, latest: bool = False) -> DataFrame:
     """The oldest rows, or with ``latest`` the newest ones."""
     return journal.orderBy(F.desc("id") if latest else F.asc("id")).limit(limit)

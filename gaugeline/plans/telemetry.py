@@ -694,7 +694,9 @@ def t1c(e):
 @_query("t2_projection_cycles", _READINGS)
 def t2(e):
     spark, path = e.sparkSession, scratch(e.sparkSession)
-    journal.append(_journal(e), f"{path}/journal")
+    rows, ingest_batch = source.deliveries(e), ingest.journal_batch(f"{path}/journal")
+    for n, sent in enumerate(("id < 10000000", "id >= 10000000")):  # redeliveries come later
+        ingest_batch(rows.filter(sent), n)
     cursors, mapping, reasons = Cursors(spark, f"{path}/cursors"), source.mapping(e), source.reasons(e)
     while ingest.project_cycle(spark, f"{path}/journal", cursors, "leitura", mapping, reasons, f"{path}/readings", f"{path}/quarantine", 5000):
         pass

@@ -30,7 +30,7 @@ class Folder:
     """A folder on any file system that Spark knows."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.jvm, self.path = spark.sparkContext._jvm, path
+        self.spark, self.jvm, self.path = spark, spark.sparkContext._jvm, path
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self.at().getFileSystem(self.conf)
 
@@ -51,12 +51,16 @@ class Folder:
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
 
+    def replace(self, name: str, text: str) -> None:
+        """Write a file, in the place of one of that name."""
+        stream = self.fs.create(self.at(name), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def create(self, name: str, text: str) -> None:
         """Write a file that is not there yet: it appears whole under its name, or Moved is raised."""
         held = self.at(f".{uuid.uuid4().hex}")
-        stream = self.fs.create(held, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        self.replace(held.getName(), text)
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.at().toUri(), self.conf)
         rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         never = self.jvm.java.lang.reflect.Array.newInstance(rename.NONE.getClass(), 1)

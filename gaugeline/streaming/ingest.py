@@ -33,9 +33,13 @@ def stream_of(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
+def _name(spark: SparkSession, batch_id: int) -> str:
+    return f"{stream_of(spark)[:8] or 'batch'}-{batch_id}"
+
+
 def _replace(rows: DataFrame, path: str, batch_id: int) -> None:
     """Write a batch's rows to folders of its own, of which a repeated batch leaves none behind."""
-    name = f"{stream_of(rows.sparkSession)[:8] or 'batch'}-{batch_id}"
+    name = _name(rows.sparkSession, batch_id)
     rows.withColumn("batch_id", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(path)
 
 
@@ -73,10 +77,12 @@ def _append_new(batch: DataFrame, batch_id: int, journal_path: str, prepare: Cal
     last = ok.agg(F.max("id")).first()[0]
     if last is not None:
         _replace(rows, journal_path, batch_id)
+        table.note_ids(spark, journal_path, rows, _name(spark, batch_id))
         try:
             now.commit(table.held_sequences(first, held), buckets, stream, batch_id, last_id=max(last, now.fact("last_id", 0)))
         except Moved:
-            name = f"{stream[:8] or 'batch'}-{batch_id}"
+            name = _name(spark, batch_id)
+            table.forget_ids(spark, journal_path, name)
             for (day,) in ok.select(F.col("dt").cast("string")).distinct().collect():
                 Folder(spark, journal_path).delete(f"dt={day}/batch_id={name}")
             raise
@@ -158,7 +164,7 @@ def project_cycle(spark: SparkSession, journal_path: str, cursors: Cursors, name
     many there were. A cycle that fails, or whose cursor another has moved, is repeated without harm: readings and
     quarantine are guarded by their keys."""
     at = cursors.position(name)
-    page = table.page(table.read(spark, journal_path), at, limit).drop("dt", "batch_id").persist()
+    page = table.next_rows(spark, journal_path, at, limit).drop("dt", "batch_id").persist()
     count, last = page.agg(F.count(F.lit(1)), F.max("id")).first()
     if count:
         write_readings(project(page, mapping, reasons), readings_path)

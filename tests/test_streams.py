@@ -182,6 +182,41 @@ def test_projection_cycles_are_bounded_and_move_after_the_write(spark, events, d
     assert spark.read.parquet(path["readings"]).count() == want.count()
 
 
+def test_the_next_rows_come_from_their_own_folders(spark, loose, tmp_path):
+    path = str(tmp_path / "journal")
+    for n in range(6):
+        ingest.journal_batch(path)(small(spark, [(10 * n + i, "s", 10 * n + i, 5 * n + i) for i in range(1, 9)]), n)
+    # A batch whose ids lie between others', as redelivered ones of the decoded path may.
+    ingest.journal_batch(path)(small(spark, [(19, "s", 99, 2), (45, "t", 1, 2)]), 6)
+    every = [r[0] for r in journal.read(spark, path).select("id").orderBy("id").collect()]
+
+    def pages(limit):
+        at, found, files = 0, [], []
+        while True:
+            page = journal.next_rows(spark, path, at, limit)
+            rows = [r[0] for r in page.select("id").orderBy("id").collect()]
+            if not rows:
+                break
+            found.append(rows)
+            files.append(len(page.inputFiles()))
+            at = rows[-1]
+        return found, files
+
+    for limit in (3, 8, 20, 100):
+        found, _ = pages(limit)
+        assert sum(found, []) == every and [len(p) for p in found[:-1]] == [limit] * (len(found) - 1)
+    everything = len(journal.read(spark, path).inputFiles())
+    assert max(pages(3)[1]) < everything
+    journal.compact(spark, path, "2024-01-02")
+    assert sum(pages(7)[0], []) == every
+    journal.clear_folds(spark, path)
+    assert sum(pages(7)[0], []) == every
+    cursors = spark.createDataFrame([("a", 30)], "nome string, ultimo_id_projetado long")
+    journal.prune_table(spark, path, cursors, "2024-01-01 12:00:00")
+    left = [r[0] for r in journal.read(spark, path).select("id").orderBy("id").collect()]
+    assert sum(pages(7)[0], []) == left and len(left) < len(every)
+
+
 def test_clock_marks_of_a_stream(spark, delivered, tmp_path):
     got = source.receipts(delivered)
     for low, high in ((0, 400), (400, 10**8)):
