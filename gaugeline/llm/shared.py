@@ -60,14 +60,15 @@ def clean(spark: SparkSession) -> int:
     return gone
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, and outlives a lost executor."""
+def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, and outlives a lost executor. ``codec`` is
+    for tables whose size on disk matters more than the time to write them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}"
     was = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
     staged = spark.read.schema(df.schema).parquet(path)

@@ -291,6 +291,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUC
     contexts = stage(
         contexts.mapInArrow(_context_batches(length), "gram long, context long, doc_id long, row long, start int, size int, bytes binary"),
         "contexts",
+        "zstd",
     )
     discard(hits)
     at = F.struct("doc_id", "row", "start")
@@ -305,7 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, max_bucket: int = MAX_BUC
     keys = ["gram", "context", "doc_id", "row", "start"]
     # Equal rows of the table give a context twice.
     several = contexts.join(known, keys).dropDuplicates(keys).select("gram", "doc_id", "row", "start", "size", "bytes", "weight")
-    several = stage(several, "several")
+    several = stage(several, "several", "zstd")
     # Only short rows and the buckets' bytes are left when these are shuffled once more.
     discard(contexts, firsts, buckets)
     sorted_ = several.filter(F.col("weight") <= max_bucket).drop("weight").repartition("gram").sortWithinPartitions("gram")
