@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,10 +138,11 @@ def reprocess(quarantine: DataFrame, mapping: DataFrame, reasons: DataFrame) ->
 
 
 def write_readings(rows: DataFrame, path: str) -> None:
-    """Append readings that the table does not hold yet, one folder per day. Only the days at hand are read back, so a
-    repeated write changes nothing."""
+    """Append readings that the table does not hold yet: a folder per day, and in it one of this write, which
+    ``journal.compact`` joins. Only the days at hand are read back, so a repeated write changes nothing."""
     new = rows.withColumn("dt", F.to_date("instante_observado")).dropDuplicates(ROW_KEY)
     known = read_days(new, path)
     if known is not None:
         new = new.join(known.select(*ROW_KEY), ROW_KEY, "left_anti")
-    new.write.mode("append").partitionBy("dt").parquet(path)
+    new = new.withColumn("batch_id", F.lit(f"lot-{uuid.uuid4().hex[:8]}"))
+    new.write.mode("append").partitionBy("dt", "batch_id").parquet(path)

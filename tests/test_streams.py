@@ -249,6 +249,20 @@ def test_compaction_keeps_rows_and_running_readers(spark, loose, tmp_path):
     assert sorted(r[0] for r in journal.read(spark, str(path)).select("id").collect()) == [*want, 91]
 
 
+def test_readings_are_compacted_and_still_written_once(spark, events, delivered, tmp_path):
+    path = str(tmp_path / "readings")
+    readings = projection.project(journal.deduplicate(delivered), source.mapping(events), source.reasons(events)).filter("instante_observado < '2024-01-04'").persist()
+    for n in range(4):
+        projection.write_readings(readings.filter(f"numero_de_sequencia % 4 <= {n}"), path)
+    want = sorted(map(str, readings.select(*projection.ROW_KEY, "valor_numerico").collect()))
+    assert len(folders_of(tmp_path / "readings")) > 6
+    assert len(journal.compact(spark, path, "2024-01-04")) == 3 and journal.clear_folds(spark, path) > 3
+    assert len(folders_of(tmp_path / "readings")) == 3
+    projection.write_readings(readings, path)
+    assert sorted(map(str, journal.read(spark, path).select(*projection.ROW_KEY, "valor_numerico").collect())) == want
+    readings.unpersist()
+
+
 def test_pruning_rewrites_only_what_it_must(spark, delivered, tmp_path):
     path, kept = tmp_path / "journal", journal.deduplicate(delivered)
     journal.append(kept.filter("id % 2 = 0"), str(path))
