@@ -28,6 +28,8 @@ LARGEST = 64 << 20
 #: Queries that visit a shard together.
 BLOCK = 4096
 DEGREE, BUILD_BEAM, QUERY_BEAM, RELAX = 24, 32, 96, 1.2
+#: Beam of the first of two passes over the nodes, which only has to bring order into random arcs.
+FIRST_BEAM = 8
 #: Up to so many visits of a block to a shard are tasks of their own; of more, 16 share one.
 VISITS = 4096
 #: Nodes whose arcs a search follows in one step.
@@ -135,11 +137,11 @@ def build_graph(unit: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM,
     rng = np.random.default_rng(5)
     arcs = np.full((n + 1, room), n)
     arcs[:n, : degree // 2] = rng.integers(0, n, (n, degree // 2))
-    for spread in (1.0, relax):
+    for spread, width in ((1.0, min(beam, FIRST_BEAM)), (relax, beam)):
         order = rng.permutation(n)
         for at in range(0, n, 512):
             own = order[at : at + 512]
-            nodes, _ = beam_search(unit, arcs, start, unit[own], beam)
+            nodes, _ = beam_search(unit, arcs, start, unit[own], width)
             old = arcs[own]
             kept = robust_prune(unit, own, np.concatenate([nodes, np.where(old < n, old, -1)], axis=1), degree, spread)
             arcs[own, :degree], arcs[own, degree:] = kept, n
