@@ -17,9 +17,9 @@ from gaugeline.sources import events, wire
 
 HEADLINES = ("w1_deduplicate", "r2_long_projection", "a7_out_of_range", "a1_acknowledge", "w4_sequence_gaps", "j5_commissioning", "d2_reaggregate", "v_validate")
 #: Corpus operators that are timed once each, beside the headline.
-OPERATORS = ("op4_mixing", "op11_packing", "op12_whitening", "op13_filter_audit")
+OPERATORS = ("op12_whitening", "op13_filter_audit")
 #: Copies of the deliveries, each with devices of its own, over which rates are measured.
-COPIES = 20
+COPIES = 10
 
 
 def seconds(df: DataFrame) -> float:
