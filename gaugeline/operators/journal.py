@@ -56,6 +56,17 @@ def not_held(batch: DataFrame, held: DataFrame) -> DataFrame:
     return both.filter("_row IS NOT NULL AND (_until IS NULL OR _until < primeira)").select("_row.*")
 
 
+def first_not_held(batch: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """``not_held`` of the deduplicated batch in one sorted pass: a row is new where neither a run of its session nor an
+    earlier row reaches its sequence, and of rows of one sequence the smallest id comes first."""
+    rows = batch.select(*SESSION, F.floor(F.col("numero_de_sequencia") / PAGE).cast("long").alias("pagina"), F.col("numero_de_sequencia").alias("primeira"), F.col("numero_de_sequencia").alias("ultima"),
+                        F.lit(1).alias("_own"), F.col("id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in batch.columns]).alias("_row"))
+    if held is not None:
+        rows = rows.unionByName(held.withColumns({"_own": F.lit(0), "_id": F.lit(None).cast("long"), "_row": F.lit(None).cast(rows.schema["_row"].dataType)}))
+    before = Window.partitionBy(*SESSION, "pagina").orderBy("primeira", "_own", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_until", F.max("ultima").over(before)).filter("_own = 1 AND (_until IS NULL OR _until < primeira)").select("_row.*")
+
+
 def not_yet_written(batch: DataFrame, journal: DataFrame) -> DataFrame:
     """Rows of a deduplicated batch whose key the journal does not hold. Only sessions present in the batch are read."""
     sessions = batch.select(*SESSION).distinct()
@@ -86,12 +97,12 @@ def read(spark: SparkSession, path: str, since: str | None = None, until: str |
     return rows if until is None else rows.filter(F.col("dt") <= F.lit(until).cast("date"))
 
 
-def read_days(new: DataFrame, path: str, days_before: int = 0) -> DataFrame | None:
-    """What a table with a folder per day holds of the days of ``new`` (its column dt), and so many before; None before
-    the first write or without rows."""
+def read_days(new: DataFrame, path: str, days_before: int = 0, span: tuple | None = None) -> DataFrame | None:
+    """What a table with a folder per day holds of the days of ``new`` (its column dt; ``span`` where they are known), and so
+    many before; None before the first write or without rows."""
     if not exists(new.sparkSession, path):
         return None
-    span = new.agg(F.min("dt"), F.max("dt")).first()
+    span = new.agg(F.min("dt"), F.max("dt")).first() if span is None else span
     if span[0] is None:
         return None
     return read(new.sparkSession, path, str(span[0] - timedelta(days=days_before)), str(span[1]))
@@ -123,12 +134,40 @@ def page(journal: DataFrame, cursor: int, limit: int = 500) -> DataFrame:
     return journal.filter(F.col("id") > cursor).orderBy("id").limit(limit)
 
 
-def note_ids(spark: SparkSession, path: str, rows: DataFrame, batch: str) -> None:
-    """Note which ids a batch's rows (with dt) have and in which days they lie, for ``next_rows``. The ids are in the note's
-    name, so finding the next ones takes a list of names."""
-    n, first, last, days = rows.agg(F.count(F.lit(1)), F.min("id"), F.max("id"), F.collect_set(F.col("dt").cast("string"))).first()
-    if n:
-        Folder(spark, path).replace(f"_ids/{first:019d}-{last:019d}-{n}-{batch}", "\n".join(sorted(days)))
+#: Rows of a page that one task may sort; larger ones are found by counting.
+SORTED = 20_000
+
+
+def up_to(rows: DataFrame, cursor: int, limit: int) -> DataFrame:
+    """The next ``limit`` rows after a cursor, by id and unordered, of any number: the last one's id is found by counting ids
+    in ever narrower stretches, so no task sees more than its own rows."""
+    ahead = rows.filter(F.col("id") > cursor).select("id")
+    low, high = ahead.agg(F.min("id"), F.max("id")).first()
+    want = limit
+    while low is not None and low < high:
+        width = -(-(high - low + 1) // 4096)
+        counts = ahead.filter(F.col("id").between(low, high)).groupBy(F.expr(f"(id - {low}L) div {width}L").alias("_at")).count().collect()
+        for at, n in sorted(map(tuple, counts)):
+            if n >= want:
+                low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+                break
+            want -= n
+        else:
+            break  # fewer rows than wanted
+        if width == 1:
+            break
+    return rows.filter((F.col("id") > cursor) & (F.col("id") <= high)) if high is not None else rows.limit(0)
+
+
+def note_ids(spark: SparkSession, path: str, days: list[str], batch: str) -> None:
+    """Note which ids a batch's rows have and in which of ``days`` they lie, for ``next_rows``; its folders tell, so what was
+    written is not made again. The ids are in the note's name, so finding the next ones takes a list of names."""
+    folder = Folder(spark, path)
+    days = [d for d in sorted(days) if folder.names(f"dt={d}/batch_id={batch}")]
+    if days:
+        rows = spark.read.schema("id long").parquet(*(f"{path}/dt={d}/batch_id={batch}" for d in days))
+        n, first, last = rows.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
+        folder.replace(f"_ids/{first:019d}-{last:019d}-{n}-{batch}", "\n".join(days))
 
 
 def forget_ids(spark: SparkSession, path: str, batch: str) -> None:
@@ -144,7 +183,7 @@ def next_rows(spark: SparkSession, path: str, cursor: int, limit: int = 500) ->
     folder = Folder(spark, path)
     notes = sorted((int(first), int(last), int(n), name) for name in folder.names("_ids") for first, last, n, _ in [name.split("-", 3)])
     if not notes:
-        return page(read(spark, path), cursor, limit)
+        return page(read(spark, path), cursor, limit) if limit <= SORTED else up_to(read(spark, path), cursor, limit)
     ahead = [note for note in notes if note[1] > cursor]
     bound, whole, at = cursor, 0, 0
     while True:
@@ -155,7 +194,7 @@ def next_rows(spark: SparkSession, path: str, cursor: int, limit: int = 500) ->
         # Batches whose ids overlap those count too.
         paths, sure = _folders_of(folder, [name for first, _, _, name in ahead if first <= bound])
         rows = spark.read.option("basePath", path).parquet(*paths).filter(F.col("id") <= bound) if paths else read(spark, path).limit(0)
-        rows = page(rows, cursor, limit)
+        rows = page(rows, cursor, limit) if limit <= SORTED else up_to(rows, cursor, limit)
         # Notes do not know what has been pruned: where it is all of these batches, the next ones have a turn.
         if sure or at == len(ahead) or not rows.isEmpty():
             return rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import CATALOG, COMMON, in_force, out_of_range, struct_of
@@ -13,6 +13,8 @@ from .journal import read_days
 
 DERIVED = ("instante_estimado", "id_do_ponto_de_medicao", "grandeza", "unidade", "fora_de_faixa", "rotulo_do_motivo")
 ROW_KEY = ["id_do_dispositivo", "id_da_sessao_de_boot", "numero_de_sequencia", "nome_do_campo", "instante_observado"]
+#: Tasks that a day's readings are spread over while they are written.
+SHARES = 16
 
 
 def with_address(journal: DataFrame) -> DataFrame:
@@ -137,12 +139,18 @@ def reprocess(quarantine: DataFrame, mapping: DataFrame, reasons: DataFrame) ->
     return project(again, mapping, reasons), rest
 
 
-def write_readings(rows: DataFrame, path: str) -> None:
+def write_readings(rows: DataFrame, path: str, days: tuple | None = None) -> None:
     """Append readings that the table does not hold yet: a folder per day, and in it one of this write, which
-    ``journal.compact`` joins. Only the days at hand are read back, so a repeated write changes nothing."""
-    new = rows.withColumn("dt", F.to_date("instante_observado")).dropDuplicates(ROW_KEY)
-    known = read_days(new, path)
+    ``journal.compact`` joins. Only the days at hand are read back, so a repeated write changes nothing. ``days`` are the
+    first and the last one, where the caller knows them.
+
+    Keys of the table and new rows meet in one shuffle, by day and share of the keys, and in one sort that begins with the
+    day and with a hash of the key, whose eight bytes tell rows apart where device names do not."""
+    new = rows.withColumns({"dt": F.to_date("instante_observado"), "_new": F.lit(1)})
+    known = read_days(new, path, span=days)
     if known is not None:
-        new = new.join(known.select(*ROW_KEY), ROW_KEY, "left_anti")
-    new = new.withColumn("batch_id", F.lit(f"lot-{uuid.uuid4().hex[:8]}"))
-    new.write.mode("append").partitionBy("dt", "batch_id").parquet(path)
+        new = new.unionByName(known.select("dt", *ROW_KEY, F.lit(0).alias("_new")), allowMissingColumns=True)
+    new = new.withColumn("_key", F.xxhash64(*ROW_KEY)).withColumn("_share", F.pmod("_key", F.lit(SHARES))).repartition("dt", "_share")
+    first = F.row_number().over(Window.partitionBy("dt", "_share", "_key", *ROW_KEY).orderBy("_new"))
+    new = new.withColumn("_n", first).filter("_n = 1 AND _new = 1").drop("_n", "_new", "_key", "_share")
+    new.withColumn("batch_id", F.lit(f"lot-{uuid.uuid4().hex[:8]}")).write.mode("append").partitionBy("dt", "batch_id").parquet(path)

@@ -75,6 +75,22 @@ class Folder:
             raise
 
 
+#: Whether Spark may choose the partitions of a kept frame by its size, as it does for other frames.
+_SIZED = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame, persisted in partitions by its size: a small one would else keep all of spark.sql.shuffle.partitions, and
+    each shuffle of it would write a file for every pair of them."""
+    conf = df.sparkSession.conf
+    was = conf.get(_SIZED)
+    conf.set(_SIZED, "true")
+    try:
+        return df.persist()
+    finally:
+        conf.set(_SIZED, was)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors see, for tables that go when the driver ends. Where that
     is unset a folder of this machine is taken in local mode; on a cluster that is an error."""

@@ -21,10 +21,12 @@ from ..operators.projection import project, reprocess, split_decodable, write_re
 from ..operators.timeline import SESSION, anchors, arrival_ordinals, clock_steps, first_receipts
 from ..operators.validate import validate
 from ..sources.wire import decode_shipments, split_refused
-from ..sources.state import Cursors, Folder, KeyedTable, Moved, Snapshot
+from ..sources.state import Cursors, Folder, KeyedTable, Moved, Snapshot, kept
 
 #: Records of a projection cycle at most.
 CYCLE = 500
+#: How many times as many the next cycle takes of a backlog.
+GROWTH = 4
 ANCHORS = "id_do_dispositivo string, id_da_sessao_de_boot string, ancora_ms long, instante_da_ancora timestamp, decorrido_da_ancora_ns long, id_da_execucao string, id long"
 
 
@@ -70,20 +72,19 @@ def _append_new(batch: DataFrame, batch_id: int, journal_path: str, prepare: Cal
     now = _held_now(spark, journal_path)
     if stream and now.has(stream, batch_id):
         return
-    ok = validate(prepare(batch, now.fact("last_id", 0))).filter("motivo IS NULL").drop("motivo").withColumn("dt", F.to_date("instante_observado")).persist()
-    first = table.deduplicate(ok)
+    ok = kept(validate(prepare(batch, now.fact("last_id", 0))).filter("motivo IS NULL").drop("motivo").withColumn("dt", F.to_date("instante_observado")))
     buckets, held = now.near(ok)
-    rows = table.not_held(first, held)
-    last = ok.agg(F.max("id")).first()[0]
+    last, days = ok.agg(F.max("id"), F.collect_set(F.col("dt").cast("string"))).first()
     if last is not None:
-        _replace(rows, journal_path, batch_id)
-        table.note_ids(spark, journal_path, rows, _name(spark, batch_id))
+        name = _name(spark, batch_id)
+        _replace(table.first_not_held(ok, held if now.number else None), journal_path, batch_id)
+        table.note_ids(spark, journal_path, days, name)
         try:
-            now.commit(table.held_sequences(first, held), buckets, stream, batch_id, last_id=max(last, now.fact("last_id", 0)))
+            # Runs take rows of one sequence together, so these need not be deduplicated for them.
+            now.commit(table.held_sequences(ok, held), buckets, stream, batch_id, last_id=max(last, now.fact("last_id", 0)))
         except Moved:
-            name = _name(spark, batch_id)
             table.forget_ids(spark, journal_path, name)
-            for (day,) in ok.select(F.col("dt").cast("string")).distinct().collect():
+            for day in days:
                 Folder(spark, journal_path).delete(f"dt={day}/batch_id={name}")
             raise
     ok.unpersist()
@@ -110,7 +111,7 @@ def shipment_batch(journal_path: str) -> Callable[[DataFrame, int], None]:
     refused whole has no rows."""
     def run(batch: DataFrame, batch_id: int) -> None:
         envelopes, _ = split_refused(decode_shipments(batch))
-        envelopes = envelopes.persist()
+        envelopes = kept(envelopes)
         _append_new(envelopes, batch_id, journal_path, identified)
         envelopes.unpersist()
 
@@ -143,7 +144,7 @@ def projection(journal: DataFrame, mapping: DataFrame, reasons: DataFrame, readi
     write; readings are guarded by their row key, so neither a repeated batch nor a new checkpoint writes one twice. Each
     consumer of the journal has a checkpoint of its own."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.drop("dt", "batch_id").persist()
+        batch = kept(batch.drop("dt", "batch_id"))
         write_readings(project(batch, mapping, reasons), readings_path)
         _, lost = split_decodable(batch)
         _replace(lost.withColumn("dt", F.to_date("instante_observado")), quarantine_path, batch_id)
@@ -164,10 +165,11 @@ def project_cycle(spark: SparkSession, journal_path: str, cursors: Cursors, name
     many there were. A cycle that fails, or whose cursor another has moved, is repeated without harm: readings and
     quarantine are guarded by their keys."""
     at = cursors.position(name)
-    page = table.next_rows(spark, journal_path, at, limit).drop("dt", "batch_id").persist()
-    count, last = page.agg(F.count(F.lit(1)), F.max("id")).first()
+    page = kept(table.next_rows(spark, journal_path, at, limit).drop("dt", "batch_id"))
+    day = F.to_date("instante_observado")
+    count, last, *days = page.agg(F.count(F.lit(1)), F.max("id"), F.min(day), F.max(day)).first()
     if count:
-        write_readings(project(page, mapping, reasons), readings_path)
+        write_readings(project(page, mapping, reasons), readings_path, tuple(days))
         _, lost = split_decodable(page)
         # Pages of one consumer begin at different ids, so a repeated page replaces its own folder.
         lost.withColumns({"dt": F.to_date("instante_observado"), "batch_id": F.lit(f"{name}-{at}")}).write.mode("overwrite").option(
@@ -177,6 +179,16 @@ def project_cycle(spark: SparkSession, journal_path: str, cursors: Cursors, name
     return count
 
 
+def project_backlog(spark: SparkSession, journal_path: str, cursors: Cursors, name: str, mapping: DataFrame, reasons: DataFrame, readings_path: str, quarantine_path: str, limit: int = CYCLE) -> int:
+    """Cycles until a consumer has caught up; returns how many records there were. The first takes ``limit`` records at most and
+    each one after it GROWTH times as many as the one before, spread over tasks: a consumer far behind needs a number of
+    cycles that grows with the logarithm of what waits, and what the cycles read back is in proportion to it."""
+    total = 0
+    while count := project_cycle(spark, journal_path, cursors, name, mapping, reasons, readings_path, quarantine_path, limit):
+        total, limit = total + count, limit * GROWTH
+    return total
+
+
 def project_forever(cycle: Callable[[], int], every: float = 2.0, until: Callable[[], bool] = lambda: False) -> None:
     """Run cycles: one after the other while there are records, and otherwise after a pause."""
     while not until():
@@ -209,7 +221,7 @@ def clock_batch(path: str, marks_path: str) -> Callable[[DataFrame, int], None]:
     an anchor get one with the clocks of their first receipt, and every receipt is marked where the gateway's wall clock
     has moved away from its monotonic one since. Marked, never dropped."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = kept(batch)
         known = anchor_table(batch.sparkSession, path).merge(first_receipts(batch), _first_wins, stream_of(batch.sparkSession), batch_id)
         _replace(clock_steps(batch, known.drop("id", "ancora_ms")).withColumn("dt", F.to_date("instante")), marks_path, batch_id)
         batch.unpersist()
@@ -246,7 +258,7 @@ def track(journal: DataFrame, anchors_path: str, descriptors_path: str, checkpoi
     first, last = anchor_batch(anchors_path), descriptor_batch(descriptors_path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.drop("dt", "batch_id").persist()
+        batch = kept(batch.drop("dt", "batch_id"))
         first(batch, batch_id)
         last(batch, batch_id)
         batch.unpersist()

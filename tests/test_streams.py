@@ -319,3 +319,58 @@ def test_overlaps_name_a_witness_and_join_nothing(spark, events):
 def test_an_envelope_without_receipt_instant_is_an_error(spark, delivered):
     with pytest.raises(Exception, match="receipt instant"):
         validate.validate(delivered.limit(1).withColumn("instante_observado", F.lit(None).cast("timestamp"))).collect()
+
+
+def test_a_backlog_is_projected_in_few_cycles_and_whole(spark, events, delivered, tmp_path, monkeypatch):
+    path = {n: str(tmp_path / n) for n in ("journal", "cursors", "readings", "quarantine")}
+    ingest.journal_batch(path["journal"])(delivered, 0)
+    cursors, mapping, reasons = Cursors(spark, path["cursors"]), source.mapping(events), source.reasons(events)
+    sizes, cycle = [], ingest.project_cycle
+    monkeypatch.setattr(journal, "SORTED", 50)
+    monkeypatch.setattr(ingest, "project_cycle", lambda *a: sizes.append(cycle(*a)) or sizes[-1])
+    total = ingest.project_backlog(spark, path["journal"], cursors, "leitura", mapping, reasons, path["readings"], path["quarantine"], 20)
+    assert sizes == [20, 80, 320, 552, 0] and total == 972
+    want = projection.project(journal.deduplicate(delivered), mapping, reasons)
+    key = [*projection.ROW_KEY, "valor_numerico"]
+    assert sorted(map(str, spark.read.parquet(path["readings"]).select(*key).collect())) == sorted(map(str, want.select(*key).collect()))
+
+
+@pytest.mark.parametrize("limit", [1, 3, 40, 41, 500])
+def test_the_next_rows_are_found_by_counting(spark, limit):
+    ids = [*range(5, 30), 77, *range(5000, 5040), 10**9, 10**12]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    for cursor in (0, 5, 29, 5010, 10**12):
+        assert sorted(r[0] for r in journal.up_to(rows, cursor, limit).collect()) == [i for i in ids if i > cursor][:limit]
+
+
+def test_new_rows_of_a_batch_in_one_pass(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("ab"), rng.choice((rng.randint(0, 30), journal.PAGE + rng.randint(-3, 3))), i) for i in range(120)]
+    batch = small(spark, rows)
+    held = journal.held_sequences(small(spark, [(0, "a", s, 0) for s in (3, 4, 5, 9, journal.PAGE)]))
+    for known in (held, held.limit(0)):
+        want = journal.not_held(journal.deduplicate(batch), known)
+        assert sorted(r[0] for r in journal.first_not_held(batch, known).select("id").collect()) == sorted(r[0] for r in want.select("id").collect())
+    assert journal.first_not_held(batch).count() == len({r[1:3] for r in rows})
+
+
+def test_a_small_batch_is_kept_in_few_partitions(spark, delivered):
+    from gaugeline.sources.state import kept
+
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = kept(journal.deduplicate(delivered))
+        assert rows.count() == 972 and rows.rdd.getNumPartitions() < 20
+        rows.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_readings_of_repeated_and_null_keys_are_written_once(spark, tmp_path):
+    path = str(tmp_path / "readings")
+    rows = spark.createDataFrame([("d", s, n, "value", float(n)) for s in ("s", None) for n in (1, 1, 2)], "id_do_dispositivo string, id_da_sessao_de_boot string, numero_de_sequencia long, nome_do_campo string, valor_numerico double")
+    rows = rows.withColumn("instante_observado", F.lit("2024-01-03 01:00:00").cast("timestamp"))
+    for _ in range(2):
+        projection.write_readings(rows, path)
+    assert spark.read.parquet(path).count() == 4
