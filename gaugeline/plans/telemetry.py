@@ -11,7 +11,7 @@ from ..functions.catalog import CATALOG, page_limit, policy
 from ..operators import commissioning, journal, monitoring, projection, rollup, timeline, validate
 from ..sources import events as source
 from ..sources import legacy, wire
-from ..sources.state import Cursors, scratch
+from ..sources.state import Cursors, kept, scratch
 from ..streaming import ingest
 
 NOW = "2024-02-01 00:00:00"
@@ -667,7 +667,7 @@ _READ = ("chave_de_idempotencia", "nome_do_campo", "valor_numerico", "valor_text
 
 @_query("s3_readings_written_once", _READINGS)
 def s3(e):
-    rows, path = _readings(e).persist(), scratch(e.sparkSession)
+    rows, path = kept(_readings(e)), scratch(e.sparkSession)
     for part in ("numero_de_sequencia % 3 <> 0", "numero_de_sequencia % 3 <> 1", "true"):
         projection.write_readings(rows.filter(part), path)
     rows.unpersist()
