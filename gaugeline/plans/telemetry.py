@@ -698,8 +698,7 @@ def t2(e):
     for n, sent in enumerate(("id < 10000000", "id >= 10000000")):  # redeliveries come later
         ingest_batch(rows.filter(sent), n)
     cursors, mapping, reasons = Cursors(spark, f"{path}/cursors"), source.mapping(e), source.reasons(e)
-    while ingest.project_cycle(spark, f"{path}/journal", cursors, "leitura", mapping, reasons, f"{path}/readings", f"{path}/quarantine", 5000):
-        pass
+    ingest.project_backlog(spark, f"{path}/journal", cursors, "leitura", mapping, reasons, f"{path}/readings", f"{path}/quarantine", 5000)
     return spark.read.parquet(f"{path}/readings").select(*_READ)
 
 
