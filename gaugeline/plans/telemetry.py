@@ -704,17 +704,19 @@ def t2(e):
 
 @_query("t6_anchor_table", "SELECT dev AS id_do_dispositivo, ses AS id_da_sessao_de_boot, arg_min(up, (id % 2, id)) AS ancora_ms, arg_min(obs, (id % 2, id)) AS instante_da_ancora FROM j GROUP BY 1, 2")
 def t6(e):
-    rows, path = _journal(e), scratch(e.sparkSession)
+    rows, path = kept(_journal(e).select(*timeline.SESSION, "id", "tempo_ligado_ms", "instante_observado")), scratch(e.sparkSession)
     for n in range(2):
         ingest.anchor_batch(path)(rows.filter(f"id % 2 = {n}"), n)
+    rows.unpersist()
     return ingest.read_anchors(e.sparkSession, path).drop("decorrido_da_ancora_ns", "id_da_execucao", "id")
 
 
 @_query("t7_descriptor_table", "SELECT dev AS id_do_dispositivo, id, obs AS declarado_em FROM des")
 def t7(e):
-    rows, path = _journal(e), scratch(e.sparkSession)
+    rows, path = kept(_journal(e).filter("descritor_da_origem IS NOT NULL")), scratch(e.sparkSession)
     for n in range(3):
         ingest.descriptor_batch(path)(rows.filter(f"id % 3 = {n}"), n)
+    rows.unpersist()
     return ingest.read_descriptors(e.sparkSession, path, rows.schema).select("id_do_dispositivo", "id", "declarado_em")
 
 

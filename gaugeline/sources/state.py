@@ -230,8 +230,9 @@ class KeyedTable:
     def merge(self, batch: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame], writer: str = "", batch_id: int | None = None) -> DataFrame:
         """Merge a batch: ``merged`` makes the new rows of its buckets from the old ones and the batch. A batch that is in
         the table already changes nothing. Returns the rows of the batch's buckets afterwards."""
-        now = self.snapshot()
+        now, batch = self.snapshot(), kept(batch)  # made once for its buckets and for its rows
         buckets, old = now.near(batch)
         if batch_id is None or not now.has(writer, batch_id):
             now.commit(merged(old, batch), buckets, writer, -1 if batch_id is None else batch_id)
+        batch.unpersist()
         return now.rows(buckets)

@@ -374,3 +374,10 @@ def test_readings_of_repeated_and_null_keys_are_written_once(spark, tmp_path):
     for _ in range(2):
         projection.write_readings(rows, path)
     assert spark.read.parquet(path).count() == 4
+
+
+def test_a_merged_batch_is_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+    rows = spark.range(40).rdd.map(lambda r: made.add(1) or (r[0], 1)).toDF("k long, v long")
+    KeyedTable(spark, str(tmp_path / "t"), ["k"], "k long, v long", buckets=4).merge(rows, lambda old, new: old.unionByName(new), "w", 0)
+    assert made.value == 40
