@@ -277,3 +277,19 @@ def test_equal_passages_choose_one_anchor_in_blocks_of_any_size():
         starts, anchors, _, _ = suffix._anchors(data, np.array([0, len(data)]), 100, shared.byte_codes(31))
         found.append(((anchors - starts)[starts >= before]).tolist())
     assert found[0] == found[2] == found[4] and found[1] == found[3] == found[5]
+
+
+def test_toxicity_learns_from_rows_beyond_the_sample(spark):
+    prose = "alpha beta gamma delta epsilon zeta eta theta "
+    # Each toxic text has one of 8 words; a warm-up of 2 rows a label cannot have seen them all.
+    rows = [(i, prose + (f"vile{i % 8}q" if i % 2 else f"kind{i % 8}q") + " " + prose) for i in range(600)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    told = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample=2).collect()
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in told) > 570
+
+
+def test_toxicity_parameters_move_and_thresholds_split_cells():
+    model = toxicity.TextCnn.start(np.zeros(toxicity.BUCKETS), 3)
+    by = np.random.default_rng(1).normal(0, 0.1, len(model.flat()))
+    assert np.allclose(model.moved(by).flat()[:-15], (model.flat() + by)[:-15], atol=1e-5)
+    assert toxicity._threshold(np.array([3.0, 2.0, 2.0, 1.0]), np.array([1, 1, 0, 0]), np.array([5.0, 5.0, 1.0, 9.0])) == 1.5
