@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,17 +61,24 @@ def clean(spark: SparkSession) -> int:
     return gone
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when each ends."""
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was)
+
+
 def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, and outlives a lost executor. ``codec`` is
     for tables whose size on disk matters more than the time to write them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}"
-    was = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with brief_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, was)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged

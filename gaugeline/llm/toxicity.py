@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, byte_codes, carried, discard, lower_table, stage, text_blocks
+from .shared import Words, brief_shuffles, byte_codes, carried, discard, lower_table, stage, text_blocks
 
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 15, 16, 16, (1, 2, 3), (4, 6, 8)
 #: Bounds of the sample that the model warms up on before all rows train it: so many rows of each label, and so many bytes
@@ -330,11 +330,11 @@ def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return seen, texts
 
 
-def _trained(model: TextCnn, rows: DataFrame, count: int) -> TextCnn:
-    """The model after a pass over all rows (doc_id, text, toxic): shards train by themselves, and the mean of their changes,
+def _trained(model: TextCnn, texts: DataFrame, known: DataFrame, count: int) -> TextCnn:
+    """The model after a pass over all texts (doc_id, text) with a label (doc_id, toxic), shuffled once: shards train by themselves, and the mean of their changes,
     weighted by their rows, is taken. Shards go by doc_id and are sorted, so a repeated run gives the same model."""
-    spark = rows.sparkSession
-    dealt = rows.repartition(int(min(SHARDS, max(1, count // SHARD))), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("text", "toxic")
+    spark, shards = texts.sparkSession, int(min(SHARDS, max(1, count // SHARD)))
+    dealt = texts.repartition(shards, "doc_id").join(known.repartition(shards, "doc_id").hint("merge"), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("text", "toxic")
     changes = dealt.mapInArrow(_shard_batches(spark.sparkContext.broadcast(model)), ", ".join(["at int", *(f"c{k} long" for k in range(DIM))]))
     sums = changes.groupBy("at").agg(*(F.sum(f"c{k}") for k in range(DIM))).collect()
     total = max(sum(r[1] for r in sums if r[0] < 0), 1)
@@ -374,11 +374,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     if known.select("toxic").distinct().count() < 2:
         return None
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    every = texts.join(known, "doc_id")
-    rows = every.filter("_fold <> 0").select("doc_id", "text", "toxic")
+    every, mine = texts.join(known, "doc_id"), known.filter("_fold <> 0")
+    rows = texts.join(mine, "doc_id").select("doc_id", "text", "toxic")
     seen, count = _counted(rows.select("text", "toxic"))
     if not count.min():  # too few rows to keep a fifth of them apart
-        rows = every.select("doc_id", "text", "toxic")
+        mine, rows = known, every.select("doc_id", "text", "toxic")
         seen, count = _counted(rows.select("text", "toxic"))
         if not count.min():
             return None
@@ -393,8 +393,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     y = np.array([r["toxic"] for r in few])
     ids = [np.frombuffer(r["ids"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in few]
     model = fit(ids, y, np.array([r["lang"] for r in few]), share, odds=_odds(seen, share))
-    model = _trained(model, rows, int(count.sum()))
-    _set_thresholds(model, every.filter("_fold = 0").select("text", "toxic"))
+    model = _trained(model, texts, mine.select("doc_id", "toxic"), int(count.sum()))
+    _set_thresholds(model, texts.join(known.filter("_fold = 0"), "doc_id").select("text", "toxic"))
     return model
 
 
@@ -423,7 +423,9 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **bou
     one; of labels that repeat one, the larger counts. Without rows of both labels every score is 0. Texts of any length
     are scored whole, blocks of about 500 kB at a time. Extra columns are ignored; an empty table gives an empty table.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **bounds))
+    with brief_shuffles(docs.sparkSession):
+        learned = train(docs, labels, **bounds)
+    model = docs.sparkSession.sparkContext.broadcast(learned)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *carry)
     scored = texts.mapInArrow(_score_batches(model), ", ".join(["doc_id long", *carried(docs, carry), "score double"]))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry)
