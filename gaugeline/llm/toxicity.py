@@ -319,6 +319,12 @@ def _cell_batches(shared):
     return run
 
 
+def _labelled(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Texts with their labels, merged whatever the size of the labels: a small table then costs what a large one costs, in
+    proportion, and no task or driver holds all labels."""
+    return texts.join(known.hint("merge"), "doc_id")
+
+
 def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Texts by label and bucket, and texts by label, over all rows; at most one row a bucket reaches the driver."""
     seen, texts = np.zeros((2, BUCKETS)), np.zeros(2)
@@ -334,7 +340,7 @@ def _trained(model: TextCnn, texts: DataFrame, known: DataFrame, count: int) ->
     """The model after a pass over all texts (doc_id, text) with a label (doc_id, toxic), shuffled once: shards train by themselves, and the mean of their changes,
     weighted by their rows, is taken. Shards go by doc_id and are sorted, so a repeated run gives the same model."""
     spark, shards = texts.sparkSession, int(min(SHARDS, max(1, count // SHARD)))
-    dealt = texts.repartition(shards, "doc_id").join(known.repartition(shards, "doc_id").hint("merge"), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("text", "toxic")
+    dealt = _labelled(texts.repartition(shards, "doc_id"), known.repartition(shards, "doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("text", "toxic")
     changes = dealt.mapInArrow(_shard_batches(spark.sparkContext.broadcast(model)), ", ".join(["at int", *(f"c{k} long" for k in range(DIM))]))
     sums = changes.groupBy("at").agg(*(F.sum(f"c{k}") for k in range(DIM))).collect()
     total = max(sum(r[1] for r in sums if r[0] < 0), 1)
@@ -374,8 +380,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     if known.select("toxic").distinct().count() < 2:
         return None
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    every, mine = texts.join(known, "doc_id"), known.filter("_fold <> 0")
-    rows = texts.join(mine, "doc_id").select("doc_id", "text", "toxic")
+    every, mine = _labelled(texts, known), known.filter("_fold <> 0")
+    rows = _labelled(texts, mine).select("doc_id", "text", "toxic")
     seen, count = _counted(rows.select("text", "toxic"))
     if not count.min():  # too few rows to keep a fifth of them apart
         mine, rows = known, every.select("doc_id", "text", "toxic")
@@ -394,29 +400,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     ids = [np.frombuffer(r["ids"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in few]
     model = fit(ids, y, np.array([r["lang"] for r in few]), share, odds=_odds(seen, share))
     model = _trained(model, texts, mine.select("doc_id", "toxic"), int(count.sum()))
-    _set_thresholds(model, texts.join(known.filter("_fold = 0"), "doc_id").select("text", "toxic"))
+    _set_thresholds(model, _labelled(texts, known.filter("_fold = 0")).select("text", "toxic"))
     return model
 
 
-def _score_batches(shared):
+def _score_batches(shared, whole: bool = False):
+    """Scores beside the other columns, and with ``whole`` beside the text too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         codes, breaks, common = byte_codes(17)[lower_table()], _breaks(), _common_hashes()
         for batch in batches:
+            names = [batch.schema.names[0], *batch.schema.names[1 if whole else 2 :]]
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                ids, first, whole = _buckets(data, offsets, codes, breaks)
+                ids, first, hashes = _buckets(data, offsets, codes, breaks)
                 if model is None:
                     score = np.zeros(hi - lo)
                 else:
-                    z = model.logits(ids, first) - model.thresholds[_languages(whole, first, common)]
+                    z = model.logits(ids, first) - model.thresholds[_languages(hashes, first, common)]
                     score = np.round(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40))), 6)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in [batch.column(0), *batch.columns[2:]]), pa.array(score)], [batch.schema.names[0], *batch.schema.names[2:], "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in names), pa.array(score)], [*names, "score"])
 
     return run
 
 
 def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **bounds: int) -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on), and the columns of ``carry``.
+    """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on), and the columns of ``carry``,
+    which may name the text.
 
     Only text is an input of a score. Labels are learned from documents that are not held out. Null text is scored
     like empty text; null doc_id is not held out and never a training row. Rows that repeat a doc_id are scored one by
@@ -426,6 +435,8 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **bou
     with brief_shuffles(docs.sparkSession):
         learned = train(docs, labels, **bounds)
     model = docs.sparkSession.sparkContext.broadcast(learned)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *carry)
-    scored = texts.mapInArrow(_score_batches(model), ", ".join(["doc_id long", *carried(docs, carry), "score double"]))
+    others = tuple(c for c in carry if c != "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *others)
+    columns = ["doc_id long", *(["text string"] if "text" in carry else []), *carried(docs, others), "score double"]
+    scored = texts.mapInArrow(_score_batches(model, "text" in carry), ", ".join(columns))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry)

@@ -513,6 +513,12 @@ def test_empty_tables(spark, empty):
     assert [r.count() for r in results] == [0] * len(results)
 
 
+def test_toxicity_has_one_plan_at_every_size(spark):
+    d, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
+    plan = toxicity._labelled(d.select("doc_id", "text"), labels.select("doc_id", "toxic"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
