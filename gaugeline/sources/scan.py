@@ -1,4 +1,5 @@
-"""Fields of many protocol buffer messages at once: one pass of array operations reads the next field of every message."""
+"""Fields of many protocol buffer messages at once: one pass of array operations reads the next field of every message, or
+writes a field of all of them."""
 
 from __future__ import annotations
 
@@ -97,3 +98,24 @@ def column(data: np.ndarray, fields: Fields, n: int, number: int, kind: str) ->
     whole = np.zeros(n, np.int64)
     whole[own.message] = own.value.view(np.int64)
     return pa.array(whole != 0) if kind == "b" else pa.array(whole)
+
+
+def varint_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of 64-bit numbers, in rows as wide as the longest, and how many of a row are the number's."""
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += values >= _U(1 << 7 * k)
+    rows = np.empty((len(values), int(size.max(initial=1))), np.uint8)
+    for k in range(rows.shape[1]):
+        rows[:, k] = (values >> _U(7 * k)) & _U(127)
+        rows[:, k] |= (size > k + 1).astype(np.uint8) << 7
+    return rows, size
+
+
+def packed(prefix: bytes, rows: np.ndarray, size: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """The prefix and the first bytes of each row, so many as ``size`` says, as a binary column; empty where not ``there``."""
+    whole = np.hstack([np.tile(np.frombuffer(prefix, np.uint8), (len(rows), 1)), rows])
+    size = size + len(prefix) if there is None else np.where(there, size + len(prefix), 0)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    raw = whole[np.arange(whole.shape[1]) < size[:, None]]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw)])

@@ -2,7 +2,7 @@
 
 A shipment is a protocol buffer message. A slice of an Arrow batch is decoded level by level, all its shipments, envelopes
 and contents together, into columns; what is malformed or says a thing twice is read again message by message, which also
-states what must come out. Spreading, grouping and validation are left to Spark.
+states what must come out. Envelopes are encoded field by field, all rows of a batch together. Spreading, grouping and validation are left to Spark.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.catalog import QUANTITIES
-from .scan import PAD, Fields, column, scan, slices
+from .scan import PAD, Fields, column, packed, scan, slices, varint_bytes
 
 # Limits and field numbers of the contract. Kinds: u unsigned, i signed, f float, b boolean, s text.
 MAX_BODY = 4 << 20
@@ -362,41 +363,81 @@ def _number(value: int) -> bytes:
     return bytes(out)
 
 
-def _sized(number: int, body: bytes) -> bytes:
-    return _number(number << 3 | 2) + _number(len(body)) + body
+def _sized(number: int, bodies: pa.Array) -> pa.Array:
+    """Bodies as inner messages or texts of a field; null where there is none."""
+    size = pc.binary_length(bodies).fill_null(0).to_numpy().astype(np.uint64)
+    heads = packed(_number(number << 3 | 2), *varint_bytes(size))
+    return pc.binary_join_element_wise(heads, bodies, b"")
 
 
-def _encoded(row: dict, spec: dict[int, tuple[str, str]]) -> dict[int, bytes]:
+def _encoded(columns: dict[str, pa.Array], spec: dict[int, tuple[str, str]]) -> dict[int, pa.Array]:
+    """The fields of a message that have a column, by number; null where the value is."""
     out = {}
     for number, (name, kind) in spec.items():
-        value = row.get(name)
-        if value is None:
+        if (values := columns.get(name)) is None:
             continue
         if kind == "s":
-            out[number] = _sized(number, value.encode())
+            out[number] = _sized(number, values.cast(pa.binary()))
+            continue
+        if kind == "f":
+            given = values.cast(pa.float64()).fill_null(0.0).to_numpy()
+            with np.errstate(over="ignore"):
+                short = given.astype("<f4")
+            if (np.isinf(short) & np.isfinite(given)).any():
+                raise OverflowError(f"{name}: too large for a float of 4 bytes")
+            body = np.ascontiguousarray(short).view(np.uint8).reshape(-1, 4), np.full(len(short), 4)
         else:
-            out[number] = _number(number << 3 | WIRE[kind]) + (struct.pack("<f", value) if kind == "f" else _number(int(value)))
+            body = varint_bytes(pc.cast(values, pa.int64(), safe=False).fill_null(0).to_numpy().view(np.uint64))
+        out[number] = packed(_number(number << 3 | WIRE[kind]), *body, values.is_valid().to_numpy(zero_copy_only=False))
     return out
 
 
-def _joined(fields: dict[int, bytes]) -> bytes:
-    return b"".join(fields[n] for n in sorted(fields))
+def _joined(fields: dict[int, pa.Array], n: int) -> pa.Array:
+    """Messages from their fields, in order of their numbers."""
+    none = pa.array([b""], pa.binary()).take(pa.array(np.zeros(n, np.int64)))
+    return pc.binary_join_element_wise(none, *(fields[k] for k in sorted(fields)), b"", null_handling="skip")
+
 
+def _with_address(columns: dict[str, pa.Array], spec: dict[int, tuple[str, str]], n: int) -> pa.Array:
+    return _joined({1: _sized(1, _joined(_encoded(columns, ADDRESS), n))} | _encoded(columns, spec), n)
 
-def _with_address(row: dict, spec: dict[int, tuple[str, str]]) -> bytes:
-    return _joined({1: _sized(1, _joined(_encoded(row, ADDRESS)))} | _encoded(row, spec))
 
+def _columns(structs: pa.Array) -> dict[str, pa.Array]:
+    return {structs.type.field(i).name: structs.field(i) for i in range(structs.type.num_fields)}
 
-def _encode_content(number: int, row: dict) -> bytes:
+
+def _encode_contents(number: int, structs: pa.Array) -> pa.Array:
+    """Bytes of contents of one type, none of them null."""
     _, addressed, spec = CONTENTS[number]
+    n, columns = len(structs), _columns(structs)
     if addressed:
-        return _with_address(row, spec)
-    fields = _encoded(row, spec)
+        return _with_address(columns, spec, n)
+    fields = _encoded(columns, spec)
     if number == DESCRIPTOR:
+        lists = columns["canais"]
+        each = lists.flatten()
+        if each.null_count:
+            raise TypeError("canais: a channel is null")
         numbers = {v: k for k, v in QUANTITIES.items()}
-        channels = [_with_address(c | {"grandeza": numbers.get(c["grandeza"], 0)}, CHANNEL) for c in row["canais"] or []]
-        fields[CHANNELS] = b"".join(_sized(CHANNELS, c) for c in channels)
-    return _joined(fields)
+        channel = _columns(each)
+        at = pc.index_in(channel["grandeza"], value_set=pa.array(list(numbers)))
+        channel["grandeza"] = pa.array(list(numbers.values()), pa.int64()).take(at).fill_null(0)
+        bodies = _sized(CHANNELS, _with_address(channel, CHANNEL, len(each)))
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())]).astype(np.int64)
+        data, offsets = _bytes_of(bodies)
+        fields[CHANNELS] = slices(data, offsets[ends[:-1]], np.diff(offsets[ends]))
+    return _joined(fields, n)
+
+
+def _encode_envelopes(batch: pa.RecordBatch, contents: list[str]) -> pa.Array:
+    """Each row of a batch as an envelope of a shipment: one pass of array operations a field, over all rows."""
+    fields = _encoded({name: batch.column(name) for name, _ in ENVELOPE.values()}, ENVELOPE)
+    for number, (name, _, _) in CONTENTS.items():
+        mine = np.flatnonzero(batch.column(name).is_valid().to_numpy(zero_copy_only=False)) if name in contents else []
+        if len(mine):
+            own = _sized(number, _encode_contents(number, batch.column(name).take(pa.array(mine))))
+            fields[number] = _spread(own, mine, batch.num_rows)
+    return _sized(ENVELOPES, _joined(fields, batch.num_rows))
 
 
 def encode_shipments(envelopes: DataFrame, keys: tuple[str, ...] = ("shipment_id",)) -> DataFrame:
@@ -413,16 +454,10 @@ def encode_shipments(envelopes: DataFrame, keys: tuple[str, ...] = ("shipment_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, tops = [], []
-            for row in batch.select([*heads, "numero_de_sequencia", "tempo_ligado_ms", *contents]).to_pylist():
-                fields = _encoded(row, ENVELOPE)
-                for number, (name, _, _) in CONTENTS.items():
-                    if row[name] is not None:
-                        fields[number] = _sized(number, _encode_content(number, row[name]))
-                bodies.append(_sized(ENVELOPES, _joined(fields)))
-                tops.append(_joined(_encoded(row, SHIPMENT)))
+            bodies = _encode_envelopes(batch, contents)
+            tops = _joined(_encoded({name: batch.column(name) for name in heads}, SHIPMENT), batch.num_rows)
             same = [batch.column(i) for i in range(len(carried))]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(bodies, pa.binary()), pa.array(tops, pa.binary())], names=[*carried, "envelope", "cabecalho"])
+            yield pa.RecordBatch.from_arrays([*same, bodies, tops], names=[*carried, "envelope", "cabecalho"])
 
     parts = F.array_sort(F.collect_list(F.struct("numero_de_sequencia", "envelope")))
     body = F.aggregate(parts, F.first("cabecalho"), lambda done, x: F.concat(done, x["envelope"]))

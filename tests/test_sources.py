@@ -1,6 +1,8 @@
 """Binary shipments, the installation file and the relational read model."""
 
 import random
+import struct
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
@@ -222,3 +224,64 @@ def test_contents_decode_again_as_single_ones_do(spark):
             seen += 1
             assert repr({k: v for k, v in r[kind].asDict(True).items()}) == repr({k: want[k] for k in r[kind].asDict()})
     assert seen > 100
+
+
+def by_rows(row, spec):
+    """The fields of one message, value by value, as the contract writes them."""
+    out = {}
+    for n, (name, kind) in spec.items():
+        if (value := row.get(name)) is not None:
+            tag = wire_number(n << 3 | wire.WIRE[kind])
+            text = value.encode() if kind == "s" else b""
+            out[n] = tag + (wire_number(len(text)) + text if kind == "s" else struct.pack("<f", value) if kind == "f" else wire_number(int(value)))
+    return out
+
+
+def content_by_rows(number, row, spec, addressed):
+    whole = lambda n, body: wire_number(n << 3 | 2) + wire_number(len(body)) + body
+    fields = by_rows(row, spec)
+    if addressed:
+        fields[1] = whole(1, b"".join(by_rows(row, wire.ADDRESS).values()))
+    if number == wire.DESCRIPTOR:
+        codes = {v: k for k, v in wire.QUANTITIES.items()}
+        channels = [c | {"grandeza": codes.get(c["grandeza"], 0)} for c in row["canais"] or []]
+        fields[wire.CHANNELS] = b"".join(whole(wire.CHANNELS, content_by_rows(0, c, wire.CHANNEL, True)) for c in channels)
+    return b"".join(fields[n] for n in sorted(fields))
+
+
+def test_envelopes_are_encoded_by_columns(spark):
+    """The same bytes as value by value, for nulls, numbers of every length, repeated contents and empty lists too, and in
+    far less time."""
+    rng = random.Random(3)
+    kinds = [name for name, _, _ in wire.CONTENTS.values()]
+    types = wire.to_arrow_schema(wire.StructType.fromDDL(", ".join(["numero_de_sequencia bigint, tempo_ligado_ms bigint", *map(wire._content_type, wire.CONTENTS)])))
+
+    def value(t):
+        if rng.random() < 0.15:
+            return None
+        if pa.types.is_struct(t):
+            return {f.name: value(f.type) for f in t}
+        if pa.types.is_list(t):
+            return [{f.name: value(f.type) for f in t.value_type} for _ in range(rng.choice([0, 1, 3]))]
+        return rng.choice({"int64": [0, 1, 127, 128, 300, 2**31, 2**62, -1, -(2**63)], "bool": [False, True], "string": ["", "é€", "x" * 200, "pressao"], "double": [0.0, -0.0, 1.1, 1e-46, float("inf")]}[str(t)])
+
+    rows = [{"numero_de_sequencia": value(pa.int64()), "tempo_ligado_ms": value(pa.int64())} | {k: value(types.field(k).type) for k in rng.sample(kinds, rng.choice([0, 1, 1, 1, 2]))} for _ in range(20_000)]
+    batch = pa.RecordBatch.from_pylist(rows, types)
+    began = time.perf_counter()
+    want = []
+    for row in batch.to_pylist():
+        fields = by_rows(row, wire.ENVELOPE)
+        for number, (name, addressed, spec) in wire.CONTENTS.items():
+            if row[name] is not None:
+                body = content_by_rows(number, row[name], spec, addressed)
+                fields[number] = wire_number(number << 3 | 2) + wire_number(len(body)) + body
+        body = b"".join(fields[n] for n in sorted(fields))
+        want.append(wire_number(wire.ENVELOPES << 3 | 2) + wire_number(len(body)) + body)
+    middle = time.perf_counter()
+    got = wire._encode_envelopes(batch, kinds)
+    end = time.perf_counter()
+    assert got.to_pylist() == want and (end - middle) * 2 < middle - began
+    assert wire._encode_envelopes(batch.slice(7, 100), kinds).to_pylist() == want[7:107]
+    wide = pa.RecordBatch.from_pylist([{"amostra_escalar": {"valor": 1e39}}], types)
+    with pytest.raises(OverflowError):
+        wire._encode_envelopes(wide, kinds)
