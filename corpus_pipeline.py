@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gaugeline.llm.bpe import encode
 from gaugeline.llm.minhash import near_duplicates
 from gaugeline.llm.mixing import mix
-from gaugeline.llm.pii import find, redact
+from gaugeline.llm.pii import find, redacted
 from gaugeline.llm.shared import stage
 from gaugeline.llm.toxicity import score
 
@@ -39,9 +39,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic. It learns from labels of the documents at hand; without rows of
     both labels all stay. Null and empty texts and null doc_ids are scored like others; rows that repeat a doc_id go or
     stay by their own text. An empty table gives an empty table."""
-    rows, labels = _marked(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    toxic = score(rows, labels, carry=(MARK,)).filter("predicted = 1").select("doc_id", MARK).distinct()
-    return rows.join(*_same_row(toxic), "left_anti").select(*COLUMNS)
+    rows, labels = docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score(rows, labels, carry=tuple(COLUMNS[1:])).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +62,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data spans replaced by their kind; n_chars follows the text. A null text stays null, with null n_chars;
     every row stays, repeated ones and those without doc_id too, each masked by its own text."""
-    rows = _marked(docs)
-    found = stage(find(rows, carry=(MARK,)).filter("spans <> ''").select("doc_id", MARK, "spans").distinct(), "pii")
-    return redact(rows, found, keys=("doc_id", MARK)).select(*COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
+    found = find(docs.select(*COLUMNS), carry=tuple(COLUMNS[1:]))
+    return redacted(found.select("spans", *COLUMNS)).select(*COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,7 +184,8 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
     return code, sum(1 << i for i, x in enumerate(bits) if x)
 
 
-def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _span_batches(batches: Iterator[pa.RecordBatch], keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Spans of each text beside the other columns, and with ``keep`` beside the text too."""
     schema = pa.list_(pa.struct([("kind", pa.int32()), ("first", pa.int32()), ("stop", pa.int32()), ("vote", pa.int32()), ("bits", pa.int32())]))
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
@@ -198,7 +199,8 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     vote, bits = votes(text, kind, a, b)
                     row.append({"kind": KINDS.index(kind), "first": a, "stop": b, "vote": vote, "bits": bits})
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, schema), *batch.columns[2:]], ["doc_id", "spans", *batch.schema.names[2:]])
+            others = batch.schema.names[1 if keep else 2 :]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, schema), *map(batch.column, others)], ["doc_id", "spans", *others])
 
 
 def reliabilities(counts: Counter, rounds: int = 50) -> tuple[np.ndarray, dict]:
@@ -277,16 +279,18 @@ def _decision_batches(shared):
 
 
 def find(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and the columns of ``carry``.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and the columns of ``carry``,
+    which may name the text.
 
     Whole texts are searched; positions are code points, ends exclusive; null counts as empty and has no spans.
     spans lists base spans and those of the other kinds that the classifier accepts, by kind and start. Vote counts
     cover all documents: there are at most 8 * 243 * 256 patterns, and only these counts reach the driver. Repeated
     rows give repeated rows, a null doc_id stays, extra columns are ignored, an empty table gives an empty table.
     """
-    more = carried(docs, carry)
-    proposed = docs.select("doc_id", F.col("text").cast("string").alias("text"), *carry).mapInArrow(
-        _span_batches, ", ".join(["doc_id long", "spans array<struct<kind:int,first:int,stop:int,vote:int,bits:int>>", *more])
+    others = tuple(c for c in carry if c != "text")
+    more = [*(["text string"] if "text" in carry else []), *carried(docs, others)]
+    proposed = docs.select("doc_id", F.col("text").cast("string").alias("text"), *others).mapInArrow(
+        lambda batches: _span_batches(batches, "text" in carry), ", ".join(["doc_id long", "spans array<struct<kind:int,first:int,stop:int,vote:int,bits:int>>", *more])
     )
     proposed = stage(proposed, "spans")
     patterns = proposed.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.vote", "s.bits").count()
@@ -312,11 +316,17 @@ def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
 
 
+def redacted(rows: DataFrame, spans: str = "spans") -> DataFrame:
+    """The rows with every span that their own column ``spans`` lists replaced by its kind in angle brackets; that column
+    goes."""
+    names = [c for c in rows.columns if c not in ("text", spans)]
+    return rows.select("text", spans, *names).mapInArrow(_redact_batches, ", ".join(["text string", *carried(rows, tuple(names))]))
+
+
 def redact(docs: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The documents with every span of ``found`` (the keys, spans) replaced by its kind in angle brackets. The keys,
     nulls included, are unique in ``found``; documents without a row there stay as they are."""
     names = [c for c in docs.columns if c != "text"]
     spans = found.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("spans").alias("_spans"))
     joined = docs.join(spans, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left")
-    kept = ", ".join(carried(docs, tuple(names)))
-    return joined.select("text", "_spans", *names).mapInArrow(_redact_batches, f"text string, {kept}").select(*docs.columns)
+    return redacted(joined.select("text", "_spans", *names), "_spans").select(*docs.columns)

@@ -532,6 +532,15 @@ def test_pipeline(spark):
     assert out.count() > 0 and "ids" in out.columns
 
 
+def test_pipeline_stages_that_only_read_texts_shuffle_none(spark):
+    import corpus_pipeline as pipeline
+
+    d = spark.read.parquet(f"{DIR}/documents.parquet")
+    for stage in (pipeline.drop_toxic, pipeline.mask_personal_data):
+        plan = stage(spark, d, DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan, stage.__name__
+
+
 def test_pipeline_runs_give_the_same_rows(spark):
     import corpus_pipeline as pipeline
 
